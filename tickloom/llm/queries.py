@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .quality import OP10_SQL, op10_quality_cascade
 from .simhash import op6_simhash
+from .tokens import op8_token_counts
 
 QUERIES = {
     "op6_simhash": op6_simhash,
+    "op8_token_counts": op8_token_counts,
+    "op10_quality_cascade": op10_quality_cascade,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_quality_cascade": OP10_SQL,
+}
