@@ -39,7 +39,7 @@ RULES = (
     Rule("repeated_windows", ("n_words", "n_repeat_words"), "100 * n_repeat_words > 30 * n_words"),
     Rule("symbols", ("n_words", "n_symbols"), "10 * n_symbols > n_words"),
     Rule("word_length", ("n_words", "word_chars"), "word_chars < 2 * n_words or word_chars > 20 * n_words"),
-    Rule("repeated_lines", ("n_lines", "n_dup_lines"), "n_lines >= 5 and 10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated_lines", ("n_lines", "n_dup_lines"), "n_dup_lines >= 4 and 10 * n_dup_lines > 3 * n_lines"),
 )
 BASE = ("few_words", "repeated_windows")
 
@@ -227,5 +227,5 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
        n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
        not (n_words < 20 or 100 * n_repeat_words > 30 * n_words or 10 * n_symbols > n_words
             or word_chars < 2 * n_words or word_chars > 20 * n_words
-            or (n_lines >= 5 and 10 * n_dup_lines > 3 * n_lines)) as kept
+            or (n_dup_lines >= 4 and 10 * n_dup_lines > 3 * n_lines)) as kept
 from f"""

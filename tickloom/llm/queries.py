@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .packing import op5_packing
 from .quality import OP10_SQL, op10_quality_cascade
 from .simhash import op6_simhash
 from .tokens import op8_token_counts
 
 QUERIES = {
+    "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op8_token_counts": op8_token_counts,
     "op10_quality_cascade": op10_quality_cascade,
