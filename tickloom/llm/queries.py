@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .decontam import OP4_SQL, op4_decontaminate
 from .packing import op5_packing
 from .quality import OP10_SQL, op10_quality_cascade
 from .simhash import op6_simhash
 from .tokens import op8_token_counts
 
 QUERIES = {
+    "op4_decontaminate": op4_decontaminate,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op8_token_counts": op8_token_counts,
@@ -15,5 +17,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": OP4_SQL,
     "op10_quality_cascade": OP10_SQL,
 }
