@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .decontam import OP4_SQL, op4_decontaminate
 from .packing import op5_packing
+from .pii import op2_pii
 from .quality import OP10_SQL, op10_quality_cascade
 from .simhash import op6_simhash
 from .tokens import op8_token_counts
 
 QUERIES = {
+    "op2_pii": op2_pii,
     "op4_decontaminate": op4_decontaminate,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
