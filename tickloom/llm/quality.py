@@ -44,17 +44,23 @@ RULES = (
 BASE = ("few_words", "repeated_windows")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _windows(w: Column) -> Column:
     """One 64-bit hash per window of WINDOW words, from hashes of 2, 4 and 8 neighbours."""
     n = F.size(w)
-    one = F.transform(w, lambda x: F.xxhash64(x))
 
-    def pair(h: Column, gap: int) -> Column:
+    def pair(gap: int):
         # zip_with pads the shorter side with nulls; the ends it makes are cut off below
-        return F.zip_with(h, F.slice(h, gap + 1, F.greatest(F.size(h) - gap, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+        return lambda h: F.zip_with(h, F.slice(h, gap + 1, F.greatest(F.size(h) - gap, F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
-    eight = pair(pair(pair(one, 1), 2), 4)
-    return F.when(n >= WINDOW, F.slice(eight, 1, F.greatest(n - (WINDOW - 1), F.lit(1))))
+    hashes = F.transform(w, lambda x: F.xxhash64(x))
+    for gap in (1, 2, 4):
+        hashes = _let(hashes, pair(gap))
+    return F.when(n >= WINDOW, F.slice(hashes, 1, F.greatest(n - (WINDOW - 1), F.lit(1))))
 
 
 def _covered(h: Column) -> Column:
@@ -72,16 +78,15 @@ def _covered(h: Column) -> Column:
             lambda x: x["s"]["i"],
         )
 
-    # one-element transforms name a value, so that it is computed once
-    places = F.transform(F.array(tagged), equal_to_neighbour)[0]
-    return F.transform(
-        F.array(F.array_sort(places)),
+    places = F.array_sort(_let(tagged, equal_to_neighbour))
+    return _let(
+        places,
         lambda p: F.aggregate(
             F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW))),
             F.lit(0).cast("long"),
             lambda acc, x: acc + x,
         ),
-    )[0]
+    )
 
 
 def _split(df: DataFrame) -> DataFrame:
@@ -102,12 +107,9 @@ def _feature(name: str) -> Column:
     if name == "n_lines":
         return F.size(_lines(text)).cast("long")
     if name == "n_dup_lines":
-        return F.transform(F.array(_lines(text)), lambda a: F.size(a) - F.size(F.array_distinct(a)))[0].cast("long")
+        return _let(_lines(text), lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long")
     if name == "n_repeat_words":
-        return F.transform(
-            F.array(_windows(w)),
-            lambda h: F.when(h.isNull() | (F.size(F.array_distinct(h)) == F.size(h)), F.lit(0).cast("long")).otherwise(_covered(h)),
-        )[0]
+        return _let(_windows(w), lambda h: F.when(h.isNull() | (F.size(F.array_distinct(h)) == F.size(h)), F.lit(0).cast("long")).otherwise(_covered(h)))
     raise KeyError(name)
 
 
@@ -124,12 +126,15 @@ def _verdict(rules: list[Rule] | tuple[Rule, ...], given: set[str]) -> Column:
         lazy = [n for n in r.needs if n not in given]
         if lazy:
             made = F.array(F.struct(*[_feature(n).alias(n) for n in lazy]))
-            text = r.rejects
-            test = F.transform(made, lambda s, text=text, lazy=lazy: _substitute(text, s, lazy))[0]
+            test = F.transform(made, _substituted(r.rejects, lazy))[0]
         out = F.when(test, F.lit(False)).otherwise(out)
     return out
 
 
+def _substituted(text: str, lazy: list[str]):
+    return lambda s: _substitute(text, s, lazy)
+
+
 def _substitute(text: str, s: Column, lazy: list[str]) -> Column:
     """The predicate text over struct fields. Predicates are sums and comparisons of features and whole numbers."""
     import ast
