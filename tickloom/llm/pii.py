@@ -7,8 +7,8 @@ that reaches the driver. Expectation-maximisation on it estimates each labeler's
 per kind, and a logistic span classifier is trained on the resulting soft labels. The classifier is then an expression
 over each candidate. Matches of the base patterns that pass their own test are always kept.
 
-Two constraints make the two classes of the mixture identifiable: a true span is seldom voted against (at most
-MISS of them by one labeler), and no kind's prior exceeds PRIOR.
+An abstention says nothing. Two constraints make the two classes of the mixture identifiable: a true span is seldom
+voted against (at most MISS of them by one labeler), and no kind's prior exceeds PRIOR.
 
 Defined results: null text counts as empty; repeated rows give repeated results; null ids stay null; other columns are
 ignored by find() and kept by redact(); an empty table gives an empty result. Positions are code points, end exclusive.
@@ -226,32 +226,25 @@ def _with_candidates(docs: DataFrame) -> DataFrame:
 
 
 def estimate(counts: dict[tuple, int]) -> tuple[dict[int, float], list[dict[tuple[int, int], float]], dict[tuple, float]]:
-    """Expectation-maximisation on (rank, votes, size) -> count: the prior of each kind, P(vote | class) of each
-    labeler, and the posterior of each row."""
-    chance = [{(1, 1): 0.8, (0, 1): 0.19, (-1, 1): MISS, (1, 0): 0.2, (0, 0): 0.4, (-1, 0): 0.4} for _ in range(LABELERS)]
+    """Expectation-maximisation on (rank, votes, size) -> count: the prior of each kind, P(vote | class, no
+    abstention) of each labeler, and the posterior of each row."""
+    chance = [{(1, 1): 1 - MISS, (-1, 1): MISS, (1, 0): 0.3, (-1, 0): 0.7} for _ in range(LABELERS)]
     first = [dict(c) for c in chance]
     prior = dict.fromkeys(range(len(KINDS)), 0.5)
     posterior: dict[tuple, float] = {}
     for _ in range(ROUNDS):
         for key in counts:
-            odds = math.log(prior[key[0]] / (1 - prior[key[0]])) + sum(math.log(chance[j][v, 1] / chance[j][v, 0]) for j, v in enumerate(key[1]))
+            odds = math.log(prior[key[0]] / (1 - prior[key[0]])) + sum(math.log(chance[j][v, 1] / chance[j][v, 0]) for j, v in enumerate(key[1]) if v)
             posterior[key] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
         for j in range(LABELERS):
             mass = {k: BELIEF * p for k, p in first[j].items()}
             for key, n in counts.items():
-                mass[key[1][j], 1] += n * posterior[key]
-                mass[key[1][j], 0] += n * (1 - posterior[key])
-            for y in (1, 0):
-                total = sum(mass[v, y] for v in (1, 0, -1))
-                for v in (1, 0, -1):
-                    chance[j][v, y] = mass[v, y] / total
-            over = chance[j][-1, 1] - MISS
-            if over > 0:
-                rest = chance[j][1, 1] + chance[j][0, 1]
-                chance[j][-1, 1] = MISS
-                for v in (1, 0):
-                    chance[j][v, 1] *= 1 + over / rest
-            chance[j][-1, 0] = max(chance[j][-1, 0], 0.1)  # a false span is voted against now and then
+                if v := key[1][j]:
+                    mass[v, 1] += n * posterior[key]
+                    mass[v, 0] += n * (1 - posterior[key])
+            miss = min(MISS, mass[-1, 1] / (mass[1, 1] + mass[-1, 1]))
+            false = min(0.9, mass[1, 0] / (mass[1, 0] + mass[-1, 0]))  # a vote for a span never counts against it
+            chance[j] = {(1, 1): 1 - miss, (-1, 1): miss, (1, 0): false, (-1, 0): 1 - false}
         for rank in prior:
             seen = [(n, posterior[k]) for k, n in counts.items() if k[0] == rank]
             prior[rank] = min(PRIOR, max(0.05, (1 + sum(n * p for n, p in seen)) / (2 + sum(n for n, _ in seen))))
@@ -259,7 +252,7 @@ def estimate(counts: dict[tuple, int]) -> tuple[dict[int, float], list[dict[tupl
 
 
 def _features(rank: int, votes: tuple, size: int) -> list[str]:
-    return ["bias", f"kind{rank}", f"size{size}"] + [f"vote{j}:{v}" for j, v in enumerate(votes)]
+    return ["bias", f"kind{rank}", f"size{size}"] + [f"vote{j}:{v}" for j, v in enumerate(votes) if v]
 
 
 def train(counts: dict[tuple, int]) -> dict[str, float]:
@@ -269,7 +262,7 @@ def train(counts: dict[tuple, int]) -> dict[str, float]:
     for rank, p in prior.items():  # what rows are too few to correct stays at the mixture's own log-odds
         weights[f"kind{rank}"] = math.log(p / (1 - p))
     for j in range(LABELERS):
-        for v in (1, 0, -1):
+        for v in (1, -1):
             weights[f"vote{j}:{v}"] = math.log(chance[j][v, 1] / chance[j][v, 0])
     start = dict(weights)
     total = sum(counts.values()) or 1
@@ -302,7 +295,7 @@ def _score(c: Column, weights: dict[str, float]) -> Column:
 
     total = F.lit(weights.get("bias", -10.0)) + pick(c["rank"], {i: f"kind{i}" for i in range(len(KINDS))}) + pick(c["size"], {i: f"size{i}" for i in range(3)})
     for j in range(LABELERS):
-        total = total + pick(F.get(c["votes"], F.lit(j)), {v: f"vote{j}:{v}" for v in (1, 0, -1)})
+        total = total + pick(F.get(c["votes"], F.lit(j)), {v: f"vote{j}:{v}" for v in (1, -1)})
     return total
 
 
