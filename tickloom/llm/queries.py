@@ -7,10 +7,12 @@ from .packing import op5_packing
 from .pii import op2_pii
 from .quality import OP10_SQL, op10_quality_cascade
 from .simhash import op6_simhash
+from .suffix_tree import op3_suffix_tree
 from .tokens import op8_token_counts
 
 QUERIES = {
     "op2_pii": op2_pii,
+    "op3_suffix_tree": op3_suffix_tree,
     "op4_decontaminate": op4_decontaminate,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
