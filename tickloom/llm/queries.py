@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import OP4_SQL, op4_decontaminate
+from .html import op9_text_density
 from .packing import op5_packing
 from .pii import op2_pii
 from .quality import OP10_SQL, op10_quality_cascade
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op8_token_counts": op8_token_counts,
+    "op9_text_density": op9_text_density,
     "op10_quality_cascade": op10_quality_cascade,
 }
 
