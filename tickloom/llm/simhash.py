@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -46,18 +46,17 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, *more: Column) -> DataFrame:
+    """(doc_id, fp), and `key` if an expression for it is given; fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.binary() if pa.types.is_string(b.schema.types[1]) else pa.large_binary())
+            texts = b.column(0).cast(pa.binary() if pa.types.is_string(b.schema.types[0]) else pa.large_binary())
             fps = np.fromiter((fingerprint(t.as_py() or b"", width) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([*b.columns[1:], pa.array(fps.view(np.int64))], names=[*b.schema.names[1:], "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fp long"
-    )
+    wanted = [F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *[c.alias("key") for c in more]]
+    return docs.select(*wanted).mapInArrow(run, "doc_id long, " + "key long, " * len(more) + "fp long")
 
 
 def covering_masks(radius: int = 3, bits: int = BITS) -> list[int]:
@@ -115,19 +114,43 @@ def links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
     return groups.where(F.size("fps") > 1).select("fps").mapInArrow(run, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """documents -> (doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most
-    `radius` differing bits. Copies meet in one fingerprint before any pair is looked at."""
-    scratch = Scratch(docs.sparkSession, "simhash")
-    fps = scratch.keep(fingerprints(docs, width))
+def _labelled(fps: DataFrame, scratch: Scratch, radius: int) -> DataFrame:
+    """fps(doc_id, fp, ...) with component_id. Copies meet in one fingerprint before any pair is looked at."""
     reps = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     edges = links(reps, radius)
     labels = scratch.keep(components(edges, scratch))
     merged = scratch.keep(reps.join(labels, F.col("fp") == F.col("node")).select("fp", "rep", "label"))
-    least = scratch.keep(merged.groupBy("label").agg(F.min("rep").alias("least")))
-    merged = scratch.keep(merged.join(least, "label").select("fp", "least"))
-    known = scratch.keep(reps.join(merged, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
-    return fps.join(known, "fp").select("doc_id", "fp", "component_id")
+    least = scratch.keep(merged.groupBy("label").agg(F.min("rep").alias("least"), F.min("fp").alias("root")))
+    merged = scratch.keep(merged.join(least, "label").select("fp", "least", "root"))
+    known = reps.join(merged, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return fps.join(scratch.keep(known), "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
+    """documents -> (doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most
+    `radius` differing bits."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    return _labelled(scratch.keep(fingerprints(docs, width)), scratch, radius).select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
+    """docs with one row of each component, that of the smallest doc_id (nulls last), with all columns. Rows are named
+    by a hash of id and text, so repeated ids do no harm."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    key = F.xxhash64("doc_id", "text")
+    fps = scratch.keep(fingerprints(docs, width, key))
+    all_ = scratch.keep(_labelled(fps, scratch, radius).select("doc_id", "key", "root"))
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
+    first = scratch.keep(all_.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.key").alias("chosen")))
+    dropped = scratch.keep(all_.select("key").distinct().join(first, F.col("key") == F.col("chosen"), "left_anti"))
+    kept = docs.withColumn("__key", key).join(dropped, F.col("__key") == F.col("key"), "left_anti")
+    same = all_.join(first, F.col("key") == F.col("chosen"), "left_semi").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    same = scratch.keep(same.select("key"))
+    if same.isEmpty():
+        return kept.drop("__key")
+    # rows repeated as a whole: one of each stays
+    twice = kept.join(same, F.col("__key") == F.col("key"), "left_semi").dropDuplicates(["__key"])
+    return kept.join(same, F.col("__key") == F.col("key"), "left_anti").unionByName(twice).drop("__key")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
