@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.columns import by, rounded
+from ..operators import indicators as ind
+from ..sources.panels import Panels
+from . import windows  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    return None
