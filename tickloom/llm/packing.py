@@ -14,6 +14,7 @@ included, are packed one by one; other columns are ignored; an empty table gives
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
@@ -33,44 +34,79 @@ ROUNDS, STEP, RATE = 500, 0.2, 6.0
 #: Shares of the fractional counts that are rounded down in turn; the packing with the fewest sequences stays.
 SHARES = (1.0, 0.9, 0.75, 0.5)
 #: Words whose ids a worker remembers.
-MEMORY = 400_000
+MEMORY = 600_000
 CLOSING = frozenset(b".,;:!?")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
 class WordIds:
     """Token ids of whole texts, word by word: the normaliser and the pre-tokenizer of the vocabulary treat each run
     without white space by itself (white space is dropped and ends every token), so the ids of a text are those of its
-    words in turn. Words are remembered as bytes of little-endian unsigned 32-bit ids."""
+    words in turn. Words are remembered as bytes of unsigned 32-bit ids. A word of Latin letters only is one piece to
+    the pre-tokenizer, so after lower-casing it goes straight to the library's model; all others go through the whole
+    tokenizer."""
 
     def __init__(self, path: str):
-        self.tok, self.known = tokenizer(path), {}
+        self.tok, self.known, self.letters = tokenizer(path), {}, _byte_letters()
+        self.model = self.tok.model
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.known) > MEMORY:  # the words met first are the frequent ones
+            self.known = dict(islice(self.known.items(), MEMORY // 2))
+        get = self.known.get
         # A-Z are lower-cased by the normaliser anyway, unless they are in a special string, which begins with <|
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.known) > MEMORY:  # the words met first are the frequent ones
-            self.known = dict(islice(self.known.items(), MEMORY // 3))
+        found = [list(map(get, words)) for words in split]
+        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
+        if new:
+            self._learn(new)
+            found = [list(map(get, words)) if None in ids else ids for words, ids in zip(split, found, strict=True)]
+        return list(map(b"".join, found))
+
+    def _learn(self, new: set[bytes]) -> None:
         known = self.known
-        new = {w for words in split for w in words if w not in known}
         # one closing mark after a letter or digit is a token of its own
         closed = [w for w in new if len(w) > 1 and w[-1] in CLOSING and w[-2:-1].isalnum()]
         new.difference_update(closed)
         new.update(x for w in closed for x in (w[:-1], w[-1:]) if x not in known)
-        todo = list(new)
+        todo = []
+        for w in new:
+            s = w.decode().lower()
+            if s.isalpha() and max(s) < "\u0250":
+                if not s.isascii():
+                    s = s.encode().decode("latin-1").translate(self.letters)
+                known[w] = array("I", [t.id for t in self.model.tokenize(s)]).tobytes()
+            else:
+                todo.append(w)
         for i in range(0, len(todo), 1024):
             part = todo[i : i + 1024]
             for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+                known[w] = array("I", e.ids).tobytes()
         for w in closed:
             known[w] = known[w[:-1]] + known[w[-1:]]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+
+_WORDS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The remembered words of this Python worker, which serves many tasks."""
+    if path not in _WORDS:
+        _WORDS[path] = WordIds(path)
+    return _WORDS[path]
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     """documents -> (doc_id, piece, start, length, ids_crc32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = WordIds(path), np.array([END_ID], dtype="<u4").tobytes()
+        ids, end = word_ids(path), np.array([END_ID], dtype="<u4").tobytes()
         for b in batches:
             out: list[list[int]] = [[], [], [], [], []]
             texts = b.column(1).cast(pa.binary() if pa.types.is_string(b.schema.types[1]) else pa.large_binary())
