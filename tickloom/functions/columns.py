@@ -103,11 +103,12 @@ def probabilities(n: int) -> list[float]:
 
 def bin_of(c: Column | str, edges: Column, n: int, whole: bool = False) -> Column:
     """Right-closed quantile bin (1-based) of a value among the group's n + 1 linear quantile edges. Equal edges are
-    merged and bins renumbered; with whole=True a group with any equal edges has no bins at all."""
+    merged and bins renumbered; with whole=True a group with any equal edges has no bins at all. A value that equals an
+    edge but for the last bits of the interpolation counts as equal to it."""
     c = as_col(c)
     distinct = F.array_distinct(edges)
     inner = F.slice(distinct, 2, F.greatest(F.size(distinct) - 2, F.lit(0)))
-    bins = F.lit(1) + F.size(F.filter(inner, lambda e: e < c))
+    bins = F.lit(1) + F.size(F.filter(inner, lambda e: e < c - F.abs(c) * 1e-12))
     enough = F.size(distinct) == n + 1 if whole else F.size(distinct) >= 2
     return F.when(c.isNotNull() & enough, bins.cast("int"))
 

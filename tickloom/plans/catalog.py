@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.columns import by, rounded
 from ..operators import indicators as ind
 from ..sources.panels import Panels
-from . import windows  # noqa: F401
+from . import aggregates, factors, tables, windows  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
