@@ -12,7 +12,9 @@ from ..operators import text as tx
 from ..sources.panels import with_views
 from .registry import query
 
-W = by("symbol", order="date")
+def _w():
+    """The panel window; made per use, since a window needs a session."""
+    return by("symbol", order="date")
 
 
 def _sql(body: str, *views: str) -> str:
@@ -24,7 +26,7 @@ def _sql(body: str, *views: str) -> str:
 
 
 def _returns(p):
-    return p.px_day.withColumn("r", change("close", 1, W)).select("symbol", "date", "r")
+    return p.px_day.withColumn("r", change("close", 1, _w())).select("symbol", "date", "r")
 
 
 def _pairs(p):
@@ -137,7 +139,7 @@ select g.symbol, {_round('max(b_beta)', 'b_beta')}, {_round('max(b1_beta)', 'b1_
     ),
 )
 def _(p):
-    d = _pairs(p).withColumn("b1", F.lag("b").over(W))
+    d = _pairs(p).withColumn("b1", F.lag("b").over(_w()))
     return st.attribution(d, "r", ["b", "b1"], ["symbol"]).select("symbol", *[rounded(c).alias(c) for c in ("b_beta", "b1_beta", "residual_return", "r_squared")])
 
 
@@ -145,7 +147,7 @@ _FACTOR = "f as (select symbol, date, close / nullif(lag(close, 3) over (partiti
 
 
 def _factor(p):
-    return p.px_month.select("symbol", "date", change("close", 3, W).alias("factor"), (safe_div(F.lead("close", 1).over(W), "close") - 1).alias("forward"))
+    return p.px_month.select("symbol", "date", change("close", 3, _w()).alias("factor"), (safe_div(F.lead("close", 1).over(_w()), "close") - 1).alias("forward"))
 
 
 _BINS = ", q as (select *, list_distinct(e) as d from (select *, quantile_cont(factor, [0, 0.2, 0.4, 0.6000000000000001, 0.8, 1]) over (partition by date) as e from f))\n, z as (select symbol, date, factor, forward, case when factor is not null and len(d) = 6 then 1 + len(list_filter(e[2:5], lambda x: x < factor - abs(factor) * 1e-12)) end as bin from q)\n"
@@ -200,7 +202,7 @@ def _(p):
 @query("a18_transitions", _sql(_FACTOR + _BINS + "select cast(bin as integer) as now, cast(nxt as integer) as next, count(*) as n from (select bin, lead(bin) over (partition by symbol order by date) as nxt from z) where bin is not null and nxt is not null group by 1, 2", "px_month"))
 def _(p):
     d = _factor(p).withColumn("now", quantile_bins("factor", 5, "date", whole=True))
-    return cx.transitions(d.withColumn("next", F.lead("now").over(W)), "now", "next")
+    return cx.transitions(d.withColumn("next", F.lead("now").over(_w())), "now", "next")
 
 
 @query("a19_best_worst", with_views(f"select date, arg_min(symbol, (-r, symbol)) as best, arg_min(symbol, (r, symbol)) as worst, {_round('avg(r)', 'average')} from ret_day where r is not null group by date", "ret_day"))

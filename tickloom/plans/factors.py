@@ -14,13 +14,15 @@ from ..sources.panels import with_views
 from .aggregates import _pairs, _round, _sql
 from .registry import query
 
-W = by("symbol", order="date")
+def _w():
+    """The panel window; made per use, since a window needs a session."""
+    return by("symbol", order="date")
 
 _F = "f as (select symbol, date, close / nullif(lag(close, 3) over (partition by symbol order by date), 0) - 1 as x from px_month)"
 
 
 def _f(p):
-    return p.px_month.select("symbol", "date", change("close", 3, W).alias("x"))
+    return p.px_month.select("symbol", "date", change("close", 3, _w()).alias("x"))
 
 
 def _fs(p):
@@ -100,7 +102,7 @@ when a > 2 and c <= 2 then 'move to high' when a < 4 and c >= 4 then 'drop to lo
 )
 def _(p):
     d = _f(p).withColumn("k", cx.rank_labels(quantile_bins("x", 5, "date")))
-    d = d.select("symbol", "date", "k", F.lead("k", 1).over(W).alias("k1"), F.lead("k", 2).over(W).alias("k2"))
+    d = d.select("symbol", "date", "k", F.lead("k", 1).over(_w()).alias("k1"), F.lead("k", 2).over(_w()).alias("k2"))
     return d.select("symbol", "date", cx.transition_label([F.col("k"), F.col("k1"), F.col("k2")], ["rank1", "rank2"], ["rank4", "rank5"]).alias("label"))
 
 
@@ -136,7 +138,7 @@ def _(p):
 
 @query("x14_active_return", with_views(f"select r.symbol, r.date, {_round('r.r - b.b', 'active')} from ret_month r left join bret_month b on r.date = b.date", "ret_month", "bret_month"))
 def _(p):
-    r = p.px_month.select("symbol", "date", change("close", 1, W).alias("r"))
+    r = p.px_month.select("symbol", "date", change("close", 1, _w()).alias("r"))
     b = p.bench_month.select("date", change("bench", 1, by(order="date")).alias("b"))
     return cx.active_return(r, b, ["date"]).select("symbol", "date", rounded("active").alias("active"))
 
@@ -156,8 +158,8 @@ def _(p):
 
 @query("x17_acceleration", _sql("g as (select symbol, date, quantity / nullif(lag(quantity, 3) over w, 0) - 1 as g from metrics window w as (partition by symbol order by date)), h as (select *, lag(g, 3) over (partition by symbol order by date) as g0 from g)\nselect symbol, date, " + _round("case when g is not null and g0 is not null then greatest(-3.0, least(3.0, (g - g0) / greatest(abs(g0), 0.01))) end", "relative") + ", " + _round("case when g is not null and g0 is not null then greatest(-3.0, least(3.0, g - g0)) end", "absolute") + " from h", "metrics"))
 def _(p):
-    g = p.metrics.select("symbol", "date", finite(change("quantity", 3, W)).alias("g"))
-    rel, abs_ = cx.acceleration(F.col("g"), F.lag("g", 3).over(W), 0.01, 3.0)
+    g = p.metrics.select("symbol", "date", finite(change("quantity", 3, _w())).alias("g"))
+    rel, abs_ = cx.acceleration(F.col("g"), F.lag("g", 3).over(_w()), 0.01, 3.0)
     return g.select("symbol", "date", rounded(rel).alias("relative"), rounded(abs_).alias("absolute"))
 
 
@@ -246,7 +248,7 @@ def _(p):
 
 @query("b6_integrated", with_views(f"select r.symbol, {_round('avg(r) * 252', 'annual_return')}, {_round('stddev_samp(r) * sqrt(252)', 'annual_volatility')}, {_round('max_by(s3, date)', 'last_sma', 4)}, count(r) as n from (select *, case when count(close) over w3 >= 3 then avg(close) over w3 end as s3 from ret_day window w3 as (partition by symbol order by date rows between 2 preceding and current row)) r group by r.symbol", "ret_day"))
 def _(p):
-    d = p.px_day.select("symbol", "date", change("close", 1, W).alias("r"), ind.sma("close", W, 3).alias("s3"))
+    d = p.px_day.select("symbol", "date", change("close", 1, _w()).alias("r"), ind.sma("close", _w(), 3).alias("s3"))
     return d.groupBy("symbol").agg(rounded(F.avg("r") * 252).alias("annual_return"), rounded(F.stddev_samp("r") * F.sqrt(F.lit(252.0))).alias("annual_volatility"), rounded(F.max_by("s3", "date"), 4).alias("last_sma"), F.count("r").alias("n"))
 
 
@@ -306,7 +308,7 @@ def _(p):
 @query("w30_rolling_betas")
 def _(p):
     """Betas over 60 days on the benchmark and its lag, cleaned within each window."""
-    d = _pairs(p).withColumn("b1", F.lag("b").over(W))
+    d = _pairs(p).withColumn("b1", F.lag("b").over(_w()))
     return ln.rolling_betas(d, "r", ["b", "b1"], 60, "string")
 
 

@@ -16,7 +16,9 @@ from ..streaming import incremental as inc
 from .aggregates import _round, _sql
 from .registry import query
 
-W = by("symbol", order="date")
+def _w():
+    """The panel window; made per use, since a window needs a session."""
+    return by("symbol", order="date")
 
 _TRACK = " or ".join(f"starts_with(k, '{t}')" if t.endswith("_") else f"k = '{t}'" for t in tx.TRACKING)
 
@@ -171,7 +173,7 @@ def _(p):
     *_rest, product = fu.dupont(c("discount"), c("price"), c("quantity"), c("tax"))
     return p.metrics.select(
         "symbol", "date", rounded(w).alias("wacc"), rounded(fu.economic_profit(c("discount"), c("tax"), c("quantity")), 4).alias("profit"),
-        rounded(fu.incremental_roic("price", "quantity", W, 3), 3).alias("incremental"), rounded(product, 4).alias("dupont"), rounded(fu.capitalised("quantity", W, 12), 2).alias("capitalised"),
+        rounded(fu.incremental_roic("price", "quantity", _w(), 3), 3).alias("incremental"), rounded(product, 4).alias("dupont"), rounded(fu.capitalised("quantity", _w(), 12), 2).alias("capitalised"),
     )
 
 
@@ -180,7 +182,7 @@ _REGIME = "g as (select date, bench, case when bench > (select median(bench) fro
 
 @query("f20_regimes", _sql(_REGIME + f"\nselect regime, count(r) as n, {_round('avg(r)', 'mean')}, {_round('stddev_samp(r)', 'std')} from ret_month join h using (date) group by regime", "bench_month", "ret_month"))
 def _(p):
-    r = p.px_month.select("symbol", "date", change("close", 1, W).alias("r"))
+    r = p.px_month.select("symbol", "date", change("close", 1, _w()).alias("r"))
     g = fu.by_regime(r, fu.regimes(p.bench_month, "bench"))
     return g.select("regime", "n", rounded("mean").alias("mean"), rounded("std").alias("std"))
 

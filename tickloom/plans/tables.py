@@ -12,7 +12,9 @@ from ..sources import tables as tb
 from ..sources.panels import with_views
 from .registry import query
 
-W = by("symbol", order="date")
+def _w():
+    """The panel window; made per use, since a window needs a session."""
+    return by("symbol", order="date")
 
 
 @query("s1_parquet_scan", "select r_regionkey, r_name from region")
@@ -176,7 +178,7 @@ def _(p):
 
 @query("p11_drop_missing", with_views("select symbol, date, round(ret + 1e-8, 6) as ret from (select symbol, date, close / nullif(lag(close, 3) over (partition by symbol order by date), 0) - 1 as ret from px_month) where ret is not null", "px_month"))
 def _(p):
-    r = p.px_month.select("symbol", "date", change("close", 3, W).alias("ret"))
+    r = p.px_month.select("symbol", "date", change("close", 3, _w()).alias("ret"))
     return r.dropna(how="any", subset=["ret"]).withColumn("ret", rounded("ret"))
 
 
@@ -200,7 +202,7 @@ def _(p):
 
 @query("j1_align", with_views("select date, symbol, round(r + 1e-8, 6) as r, round(b + 1e-8, 6) as b from ret_day join bret_day using (date) where r is not null and b is not null", "ret_day", "bret_day"))
 def _(p):
-    a = p.px_day.select("date", "symbol", change("close", 1, W).alias("r"))
+    a = p.px_day.select("date", "symbol", change("close", 1, _w()).alias("r"))
     b = p.bench_day.select("date", change("bench", 1, by(order="date")).alias("b"))
     return jn.align(a, b, ["date"]).select("date", "symbol", rounded("r").alias("r"), rounded("b").alias("b"))
 

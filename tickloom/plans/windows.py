@@ -10,7 +10,9 @@ from ..operators import returns as ret
 from ..sources.panels import with_views
 from .registry import query
 
-W = by("symbol", order="date")
+def _w():
+    """The panel window; made per use, since a window needs a session."""
+    return by("symbol", order="date")
 
 
 def _win(name: str, agg: str, n: int) -> str:
@@ -23,7 +25,7 @@ def _frame(*ns: int) -> str:
 
 @query("w1_sma", with_views(f"select symbol, date, round({_win('close', 'avg(close)', 3)} + 1e-8, 6) as sma_3, round({_win('close', 'avg(close)', 12)} + 1e-8, 6) as sma_12 from px_month {_frame(3, 12)}", "px_month"))
 def _(p):
-    return p.px_month.select("symbol", "date", rounded(ind.sma("close", W, 3)).alias("sma_3"), rounded(ind.sma("close", W, 12)).alias("sma_12"))
+    return p.px_month.select("symbol", "date", rounded(ind.sma("close", _w(), 3)).alias("sma_3"), rounded(ind.sma("close", _w(), 12)).alias("sma_12"))
 
 
 @query("w2_ema", with_views("select a.symbol, a.date, round(sum(b.close * pow(1 - 2.0/13, a.i - b.i)) / sum(pow(1 - 2.0/13, a.i - b.i)) + 1e-6, 4) as ema from n a join n b on a.symbol = b.symbol and b.i <= a.i group by a.symbol, a.date", "px_month").replace("\nselect a.symbol", ",\nn as (select *, row_number() over (partition by symbol order by date) as i from px_month)\nselect a.symbol", 1))
@@ -33,18 +35,18 @@ def _(p):
 
 @query("w3_returns", with_views("select symbol, date, round(close / nullif(lag(close, 3) over w, 0) - 1 + 1e-8, 6) as ret_3, round(ln(close / nullif(lag(close, 3) over w, 0)) + 1e-8, 6) as log_3 from px_month " + _frame(), "px_month"))
 def _(p):
-    return p.px_month.select("symbol", "date", rounded(ind.simple_return("close", W, 3)).alias("ret_3"), rounded(ind.log_return("close", W, 3)).alias("log_3"))
+    return p.px_month.select("symbol", "date", rounded(ind.simple_return("close", _w(), 3)).alias("ret_3"), rounded(ind.log_return("close", _w(), 3)).alias("log_3"))
 
 
 @query("w4_volatility", with_views(f"select symbol, date, round({_win('r', 'stddev_samp(r)', 20)} * sqrt(252.0) + 1e-8, 6) as vol from ret_day {_frame(20)}", "ret_day"))
 def _(p):
-    r = p.px_day.withColumn("r", ind.simple_return("close", W))
-    return r.select("symbol", "date", rounded(ind.rolling_volatility("r", W, 20)).alias("vol"))
+    r = p.px_day.withColumn("r", ind.simple_return("close", _w()))
+    return r.select("symbol", "date", rounded(ind.rolling_volatility("r", _w(), 20)).alias("vol"))
 
 
 @query("w5_bollinger", with_views(f"select symbol, date, round(m + 2 * s + 1e-6, 4) as upper, round(m + 1e-6, 4) as middle, round(m - 2 * s + 1e-6, 4) as lower from (select symbol, date, {_win('close', 'avg(close)', 12)} as m, {_win('close', 'stddev_samp(close)', 12)} as s from px_month {_frame(12)})", "px_month"))
 def _(p):
-    up, mid, low = ind.bollinger("close", W, 12)
+    up, mid, low = ind.bollinger("close", _w(), 12)
     return p.px_month.select("symbol", "date", rounded(up, 4).alias("upper"), rounded(mid, 4).alias("middle"), rounded(low, 4).alias("lower"))
 
 
@@ -104,18 +106,18 @@ _PAIR_VIEWS = ("ret_day", "bret_day")
 
 def _pairs(p):
     b = p.bench_day.withColumn("b", change("bench", 1, by(order="date"))).select("date", "b")
-    r = p.px_day.withColumn("r", ind.simple_return("close", W)).select("symbol", "date", "r")
+    r = p.px_day.withColumn("r", ind.simple_return("close", _w())).select("symbol", "date", "r")
     return r.join(b, "date")
 
 
 @query("w9_rolling_corr", (with_views(_PAIR + f"select symbol, date, round({_CORR} + 1e-6, 4) as corr_60 from j window f as (partition by symbol order by date rows between 59 preceding and current row)", *_PAIR_VIEWS)).replace("\n, j as", ",\nj as", 1))
 def _(p):
-    return _pairs(p).select("symbol", "date", rounded(ind.rolling_correlation("r", "b", W, 60, 20), 4).alias("corr_60"))
+    return _pairs(p).select("symbol", "date", rounded(ind.rolling_correlation("r", "b", _w(), 60, 20), 4).alias("corr_60"))
 
 
 @query("w10_rolling_beta", with_views(_PAIR + "select symbol, date, round(case when count(case when r is not null and b is not null then 1 end) over f >= 20 and count(b) over f >= 20 then covar_samp(r, b) over f / nullif(var_samp(b) over f, 0) end + 1e-6, 4) as beta_60 from j window f as (partition by symbol order by date rows between 59 preceding and current row)", *_PAIR_VIEWS).replace("\n, j as", ",\nj as", 1))
 def _(p):
-    return _pairs(p).select("symbol", "date", rounded(ind.rolling_beta("r", "b", W, 60, 20), 4).alias("beta_60"))
+    return _pairs(p).select("symbol", "date", rounded(ind.rolling_beta("r", "b", _w(), 60, 20), 4).alias("beta_60"))
 
 
 @query("w11_kalman_beta")
@@ -126,7 +128,7 @@ def _(p):
 
 @query("w12_momentum", with_views("select symbol, date, round(lag(close, 1) over w / nullif(lag(close, 12) over w, 0) - 1 + 1e-8, 6) as momentum from px_month " + _frame(), "px_month"))
 def _(p):
-    return p.px_month.select("symbol", "date", rounded(ind.momentum("close", W, 12, 1)).alias("momentum"))
+    return p.px_month.select("symbol", "date", rounded(ind.momentum("close", _w(), 12, 1)).alias("momentum"))
 
 
 _DENSE = """,
@@ -137,54 +139,54 @@ dense as (select symbol, date, last_value(close ignore nulls) over (partition by
 
 def _dense(p):
     grid = ind.densify(p.px_month, p.px_month.select("date").distinct())
-    return grid.select("symbol", "date", filled("close", W).alias("padded"))
+    return grid.select("symbol", "date", filled("close", _w()).alias("padded"))
 
 
 @query("w13_reversal", with_views(_DENSE.strip("\n") + "\nselect symbol, date, round(-(padded / nullif(lag(padded, 3) over w, 0) - 1) + 1e-8, 6) as reversal from dense " + _frame(), "px_month").replace("\n,\n", ",\n", 1))
 def _(p):
-    return _dense(p).select("symbol", "date", rounded(-change("padded", 3, W)).alias("reversal"))
+    return _dense(p).select("symbol", "date", rounded(-change("padded", 3, _w())).alias("reversal"))
 
 
 @query("w14_volatility_factor", with_views(_DENSE.strip("\n") + f", pr as (select symbol, date, padded / nullif(lag(padded) over (partition by symbol order by date), 0) - 1 as r from dense)\nselect symbol, date, round({_win('r', 'stddev_samp(r)', 12)} * sqrt(252.0) + 1e-8, 6) as vol from pr {_frame(12)}", "px_month").replace("\n,\n", ",\n", 1))
 def _(p):
-    r = _dense(p).withColumn("r", change("padded", 1, W))
-    return r.select("symbol", "date", rounded(ind.rolling_volatility("r", W, 12)).alias("vol"))
+    r = _dense(p).withColumn("r", change("padded", 1, _w()))
+    return r.select("symbol", "date", rounded(ind.rolling_volatility("r", _w(), 12)).alias("vol"))
 
 
 @query("w15_multi_horizon", with_views(_DENSE.strip("\n") + "\nselect symbol, date, round((padded / nullif(lag(padded, 3) over w, 0) - 1) * 4 + 1e-8, 6) as past_3m, round((padded / nullif(lag(padded, 12) over w, 0) - 1) * 1 + 1e-8, 6) as past_12m, round((lead(padded, 3) over w / nullif(padded, 0) - 1) * 4 + 1e-8, 6) as forward_3m from dense " + _frame(), "px_month").replace("\n,\n", ",\n", 1))
 def _(p):
     d = _dense(p)
-    forward = safe_div(F.lead("padded", 3).over(W), "padded") - 1
-    return d.select("symbol", "date", rounded(ind.annualised(change("padded", 3, W), 3)).alias("past_3m"), rounded(ind.annualised(change("padded", 12, W), 12)).alias("past_12m"), rounded(ind.annualised(forward, 3)).alias("forward_3m"))
+    forward = safe_div(F.lead("padded", 3).over(_w()), "padded") - 1
+    return d.select("symbol", "date", rounded(ind.annualised(change("padded", 3, _w()), 3)).alias("past_3m"), rounded(ind.annualised(change("padded", 12, _w()), 12)).alias("past_12m"), rounded(ind.annualised(forward, 3)).alias("forward_3m"))
 
 
 @query("w16_forward_return", with_views("select symbol, date, round(lead(close, 1) over w + 1e-6, 4) as next_close, round(lead(close, 3) over w / nullif(close, 0) - 1 + 1e-8, 6) as forward from px_month " + _frame(), "px_month"))
 def _(p):
-    return p.px_month.select("symbol", "date", rounded(F.lead("close", 1).over(W), 4).alias("next_close"), rounded(safe_div(F.lead("close", 3).over(W), "close") - 1).alias("forward"))
+    return p.px_month.select("symbol", "date", rounded(F.lead("close", 1).over(_w()), 4).alias("next_close"), rounded(safe_div(F.lead("close", 3).over(_w()), "close") - 1).alias("forward"))
 
 
 @query("w17_annualise", with_views(", x as (select symbol, date, close / nullif(lag(close, 3) over (partition by symbol order by date), 0) - 1 as r from px_month)\nselect symbol, date, round(r * 4 + 1e-8, 6) as simple, round(pow(1 + r, 4) - 1 + 1e-8, 6) as compound from x", "px_month").replace("\n, x as", ",\nx as", 1))
 def _(p):
-    r = p.px_month.withColumn("r", ind.simple_return("close", W, 3))
+    r = p.px_month.withColumn("r", ind.simple_return("close", _w(), 3))
     return r.select("symbol", "date", rounded(ind.annualised("r", 3)).alias("simple"), rounded(ind.annualised("r", 3, True)).alias("compound"))
 
 
 @query("w18_cagr", with_views("select symbol, date, round(case when lag(close, 36) over w > 0 then pow(close / lag(close, 36) over w, 1.0 / 3) - 1 end + 1e-8, 6) as cagr_3y from px_month " + _frame(), "px_month"))
 def _(p):
-    return p.px_month.select("symbol", "date", rounded(ind.cagr("close", W, 3)).alias("cagr_3y"))
+    return p.px_month.select("symbol", "date", rounded(ind.cagr("close", _w(), 3)).alias("cagr_3y"))
 
 
 @query("w19_growth", with_views("select symbol, date, round(quantity / nullif(lag(quantity, 3) over w, 0) - 1 + 1e-8, 6) as qoq, round(quantity / nullif(lag(quantity, 12) over w, 0) - 1 + 1e-8, 6) as yoy, round((discount - lag(discount, 12) over w) / 1.0 + 1e-8, 6) as margin_delta, round((discount - lag(discount, 12) over w) / nullif(100 - lag(discount, 12) over w, 0) + 1e-10, 8) as margin_improvement from metrics " + _frame(), "metrics"))
 def _(p):
     return p.metrics.select(
-        "symbol", "date", rounded(change("quantity", 3, W)).alias("qoq"), rounded(change("quantity", 12, W)).alias("yoy"),
-        rounded(ret.margin_delta("discount", W, 12)).alias("margin_delta"), rounded(ret.margin_improvement("discount", W, 12), 8).alias("margin_improvement"),
+        "symbol", "date", rounded(change("quantity", 3, _w())).alias("qoq"), rounded(change("quantity", 12, _w())).alias("yoy"),
+        rounded(ret.margin_delta("discount", _w(), 12)).alias("margin_delta"), rounded(ret.margin_improvement("discount", _w(), 12), 8).alias("margin_improvement"),
     )
 
 
 @query("w20_lags", with_views("select symbol, date, round(lag(close, 1) over w + 1e-6, 4) as close_1m_ago, round(lag(close, 3) over w + 1e-6, 4) as close_3m_ago, round(lag(close, 12) over w + 1e-6, 4) as close_12m_ago, round(lead(close, 1) over w + 1e-6, 4) as close_1m_ahead from px_month " + _frame(), "px_month"))
 def _(p):
-    return p.px_month.select("symbol", "date", *[rounded(c, 4).alias(n) for n, c in ret.shifted("close", W, (1, 3, 12), (1,)).items()])
+    return p.px_month.select("symbol", "date", *[rounded(c, 4).alias(n) for n, c in ret.shifted("close", _w(), (1, 3, 12), (1,)).items()])
 
 
 _MONTHS = """,
@@ -229,13 +231,13 @@ def _(p):
 
 @query("w24_changes", with_views("select symbol, date, " + ", ".join(f"round(close - lag(close, {n}) over w + 1e-6, 4) as chg_{n}, round((close / nullif(lag(close, {n}) over w, 0) - 1) * 100 + 1e-5, 3) as pct_{n}" for n in (1, 5, 21)) + " from px_day " + _frame(), "px_day"))
 def _(p):
-    cols = [c for n in (1, 5, 21) for c in (rounded(F.col("close") - F.lag("close", n).over(W), 4).alias(f"chg_{n}"), rounded(change("close", n, W) * 100, 3).alias(f"pct_{n}"))]
+    cols = [c for n in (1, 5, 21) for c in (rounded(F.col("close") - F.lag("close", n).over(_w()), 4).alias(f"chg_{n}"), rounded(change("close", n, _w()) * 100, 3).alias(f"pct_{n}"))]
     return p.px_day.select("symbol", "date", *cols)
 
 
 @query("w25_cumulative", with_views("select symbol, date, round(close / nullif(first_value(close) over w, 0) - 1 + 1e-8, 6) as cumulative, round(close / nullif(first_value(close) over w, 0) * 100 + 1e-6, 4) as rebased from px_month " + _frame(), "px_month"))
 def _(p):
-    first = F.first("close").over(W)
+    first = F.first("close").over(_w())
     return p.px_month.select("symbol", "date", rounded(safe_div("close", first) - 1).alias("cumulative"), rounded(safe_div("close", first) * 100, 4).alias("rebased"))
 
 
@@ -286,7 +288,7 @@ def _(p):
     """The forward columns are ln P(t) - ln P(t+m): the negative of the forward log return, as specified."""
     cols = []
     for m in (1, 3, 6, 12, 36, 60):
-        cols += [rounded(F.ln("close") - F.ln(F.lag("close", m).over(W))).alias(f"log_{m}m"), rounded(F.ln("close") - F.ln(F.lead("close", m).over(W))).alias(f"neg_forward_{m}m")]
+        cols += [rounded(F.ln("close") - F.ln(F.lag("close", m).over(_w()))).alias(f"log_{m}m"), rounded(F.ln("close") - F.ln(F.lead("close", m).over(_w()))).alias(f"neg_forward_{m}m")]
     return p.px_month.select("symbol", "date", *cols)
 
 
