@@ -66,7 +66,8 @@ class WordIds:
         new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
         if new:
             self._learn(new)
-            found = [list(map(get, words)) if None in ids else ids for words, ids in zip(split, found, strict=True)]
+            known = self.known
+            found = [[known[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids for words, ids in zip(split, found, strict=True)]
         return list(map(b"".join, found))
 
     def _learn(self, new: set[bytes]) -> None:
@@ -78,12 +79,15 @@ class WordIds:
         todo = []
         for w in new:
             s = w.decode().lower()
-            if s.isalpha() and max(s) < "\u0250":
-                if not s.isascii():
-                    s = s.encode().decode("latin-1").translate(self.letters)
-                known[w] = array("I", [t.id for t in self.model.tokenize(s)]).tobytes()
-            else:
+            if not s.isalpha():
                 todo.append(w)
+                continue
+            if not s.isascii():
+                if max(s) >= "\u0250":
+                    todo.append(w)
+                    continue
+                s = s.encode().decode("latin-1").translate(self.letters)
+            known[w] = array("I", [t.id for t in self.model.tokenize(s)]).tobytes()
         for i in range(0, len(todo), 1024):
             part = todo[i : i + 1024]
             for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
