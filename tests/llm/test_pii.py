@@ -1,0 +1,72 @@
+from __future__ import annotations
+
+import hashlib
+import random
+
+from tickloom.llm import pii
+
+from . import brute
+
+ODD = [
+    (None, "mail x@y.zz"), (1, None), (2, ""), (3, "1" * 30_000), (4, "a." * 20_000 + "@"), (5, "a@b" + ".c" * 10_000), (6, "+1 " * 2000 + "+1 2223334444 " * 1500),
+    (7, "a@b.c_d@e.f é 1.2.3.4.5.6.7.8 256.1.1.1 0.0.0.0007 4111-1111-1111-1111 4111 1111 1111 1112"), (8, "same@mail.org"), (8, "same@mail.org"),
+]
+
+
+def rows(n=200):
+    rng = random.Random(2)
+    out = list(ODD)
+    for k in range(n):
+        a = rng.choice(["1.2", "a@b.c_", "+1 ()-23", "4 5-3", "é1.+@a ", "\n12a.@"])
+        out.append((100 + k, "".join(rng.choice(a) for _ in range(rng.randrange(60)))))
+    return out
+
+
+def test_base_spans_equal_brute_force(docs_of):
+    data = rows()
+    got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in pii.find(docs_of(data)).collect()))
+    want = []
+    for d, t in data:
+        base = brute.base_spans(t)
+        text = ",".join(f"{k}:{a}:{e}" for a, _, k, e in base)
+        want.append((d is not None, d or 0, *(sum(k == x for _, _, k, _ in base) for x in brute.PATTERNS), hashlib.sha256(text.encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_base_spans_stay_and_more_are_found(docs_of, small_texts):
+    extra = "Call my phone (302) 555-8032 or e-mail a.b [at] c [dot] com; IBAN DE89 3704 0044 0532 0130 00. password = abcdef0123456789"
+    data = [*small_texts.items(), (10**6, extra), (10**6 + 1, "Chapter 3, section 12 of the book 1984.")]
+    got = {r["doc_id"]: r["spans"].split(",") if r["spans"] else [] for r in pii.find(docs_of(data)).collect()}
+    for d, t in data:
+        assert {f"{k}:{a}:{e}" for a, _, k, e in brute.base_spans(t)} <= set(got[d])
+    assert {s.split(":")[0] for s in got[10**6]} >= {"phone", "iban", "secret"}
+    assert got[10**6 + 1] == []
+
+
+def test_reliable_labelers_win():
+    """Two kinds of true spans and noise that two labelers reject: the mixture tells them apart."""
+    counts = {(0, (1, 1, 1, 1), 0): 300, (0, (1, 1, 0, 1), 0): 500, (0, (-1, -1, 0, 1), 0): 400, (0, (-1, 1, -1, 1), 1): 100}
+    _, chance, soft = pii.estimate(counts)
+    assert soft[0, (1, 1, 0, 1), 0] > 0.9 and soft[0, (-1, -1, 0, 1), 0] < 0.1 and soft[0, (-1, 1, -1, 1), 1] < 0.5
+    assert chance[0][1, 1] > chance[0][1, 0]
+    weights = pii.train(counts)
+    score = lambda key: sum(weights.get(f, 0) for f in pii._features(*key))
+    assert score((0, (1, 1, 0, 1), 0)) > 0 > score((0, (-1, -1, 0, 1), 0))
+
+
+def test_redaction(docs_of):
+    data = [(1, "to a@b.com and +1 4111 1111 1111 1111."), (2, None), (3, "nothing"), (4, "9.9.9.9"), (None, "é a@b.com é")] + rows(60)[3:7]
+    df = docs_of(data)
+    got = pii.redact(df)
+    assert got.columns == df.columns
+    texts = [r for r in got.select("doc_id", "text", "n_chars").collect()]
+    by = {r["doc_id"]: r["text"] for r in texts}
+    assert by[2] is None and by[3] == "nothing" and by[4] == "[IP]" and by[None] == "é [EMAIL] é"
+    assert by[1].startswith("to [EMAIL] and [") and "4111" not in by[1]
+    assert all(r["text"] is None or r["n_chars"] == len(r["text"]) for r in texts)
+    assert not any(brute.base_spans(r["text"]) for r in texts)
+
+
+def test_empty_table(docs_of):
+    assert pii.find(docs_of([])).count() == 0
+    assert pii.redact(docs_of([])).count() == 0

@@ -108,8 +108,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, with their own columns."""
     scratch = Scratch(docs.sparkSession, "decontam")
-    bad = scratch.keep(leaks(docs, benchmark, scratch).select("key").distinct())
-    return docs.withColumn("__key", _key()).join(bad, F.col("__key") == F.col("key"), "left_anti").drop("__key")
+    bad = scratch.keep(leaks(docs, benchmark, scratch).select(F.col("key").alias("__leaked_key")).distinct())
+    return docs.withColumn("__row_key", _key()).join(bad, F.col("__row_key") == F.col("__leaked_key"), "left_anti").drop("__row_key")
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -79,6 +80,7 @@ class Page:
         self.tag, self.parent, self.drop = ["#root"], [-1], [False]
         self.events: list[tuple[int, str | None]] = []  # (node, text), or (node, None) where a block begins or ends
         self.open = [0]
+        self.held: Counter = Counter()  # open elements by name, so that a search for one that isn't open costs nothing
         self._read(page)
 
     def _start(self, name: str, attributes: str, closed: bool) -> None:
@@ -96,6 +98,7 @@ class Page:
             self.events.append((up, " "))
         if name not in VOID and not closed:
             self.open.append(node)
+            self.held[name] += 1
 
     def _unwanted(self, name: str, attributes: str) -> bool:
         if name in DROPPED:
@@ -120,6 +123,8 @@ class Page:
         return False
 
     def _close(self, names: tuple[str, ...], barrier) -> None:
+        if not any(self.held[n] for n in names):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.tag[self.open[i]]
             if tag in names:
@@ -130,11 +135,14 @@ class Page:
 
     def _pop(self, i: int) -> None:
         for node in reversed(self.open[i:]):
+            self.held[self.tag[node]] -= 1
             if self.tag[node] not in INLINE:
                 self.events.append((self.parent[node], None))
         del self.open[i:]
 
     def _end(self, name: str) -> None:
+        if not self.held[name]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.tag[self.open[i]]
             if tag == name:
@@ -258,14 +266,15 @@ def main_text(page: str | None) -> str:
         for i in range(1, n):
             within[i] = within[i] or within[p.parent[i]]
         tops = [i for i in range(n) if within[i] and p.tag[i] in ("article", "main") and not p.drop[i] and chars[i]]
-        tops = [i for i in tops if p.parent[i] not in tops]
+        inner = set(tops)
+        tops = [i for i in tops if p.parent[i] not in inner]
         if tops and 2 * sum(chars[i] for i in tops) >= chars[best]:
             chosen = set(tops)
         else:
             least = min(density[i] for i in path)
-            chosen = {best}
+            chosen, on_path, above = {best}, set(path), set(path[1:])
             for i in range(1, n):
-                if p.parent[i] in path[1:] and i not in path and not p.drop[i] and density[i] >= least and 2 * linked[i] < chars[i]:
+                if p.parent[i] in above and i not in on_path and not p.drop[i] and density[i] >= least and 2 * linked[i] < chars[i]:
                     chosen.add(i)
     keep = [False] * n
     for i in range(n):

@@ -142,15 +142,17 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> Da
     all_ = scratch.keep(_labelled(fps, scratch, radius).select("doc_id", "key", "root"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
     first = scratch.keep(all_.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.key").alias("chosen")))
-    dropped = scratch.keep(all_.select("key").distinct().join(first, F.col("key") == F.col("chosen"), "left_anti"))
-    kept = docs.withColumn("__key", key).join(dropped, F.col("__key") == F.col("key"), "left_anti")
+    dropped = all_.select("key").distinct().join(first, F.col("key") == F.col("chosen"), "left_anti")
+    dropped = scratch.keep(dropped.select(F.col("key").alias("__dropped_key")))
+    kept = docs.withColumn("__row_key", key).join(dropped, F.col("__row_key") == F.col("__dropped_key"), "left_anti")
     same = all_.join(first, F.col("key") == F.col("chosen"), "left_semi").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    same = scratch.keep(same.select("key"))
+    same = scratch.keep(same.select(F.col("key").alias("__same_key")))
     if same.isEmpty():
-        return kept.drop("__key")
+        return kept.drop("__row_key")
     # rows repeated as a whole: one of each stays
-    twice = kept.join(same, F.col("__key") == F.col("key"), "left_semi").dropDuplicates(["__key"])
-    return kept.join(same, F.col("__key") == F.col("key"), "left_anti").unionByName(twice).drop("__key")
+    match = F.col("__row_key") == F.col("__same_key")
+    twice = kept.join(same, match, "left_semi").dropDuplicates(["__row_key"])
+    return kept.join(same, match, "left_anti").unionByName(twice).drop("__row_key")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
