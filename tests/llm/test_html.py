@@ -22,6 +22,19 @@ def test_templates(holder):
     assert got == "Title & more\nFirst para with a link text, and more of it to read.\none\ntwo\na\nb\nSecond paragraph is long enough to be here, surely it is."
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<body class="no-sidebar"><div class="container with-sidebar"><p>text</p></div>', "text"),
+        ('<div class="ad-wrapper"><p>all there is</p></div>', "all there is"),
+        ('<div class="site-header">Top</div><div id=content><div class="article-header"><h1>T</h1></div><p>body text</p></div><div class="page-footer">x</div>', "T\nbody text"),
+        ('<article><header><h1>T</h1></header><p>body</p><div class="comment-list"><p>nice</p></div></article><div role=alert>note</div>', "T\nbody"),
+    ],
+)
+def test_names_of_classes(page, want):
+    assert hx.main_text(page) == want
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [(None, ""), ("", ""), ("plain <3 text & x", "plain <3 text & x"), ("<p>a<b>c</b> d<!-- x", "ac d"), ("<scr", ""), ("<script>x", ""), ("<p>a<p>b", "a\nb"), ("<nav>only menu</nav>", ""), ("&#233;&eacute;", "éé")],

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 # Element names and markers of parts that are no main text.
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
@@ -37,10 +39,15 @@ DROPPED = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist status".split())
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay "
-    "newsletter subscribe subscription signup login paywall sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus replies respond "
-    "social share sharing related recommended recommendations widget widgets toolbar pagination pager search skip".split()
+    "ad ads adv advert adverts advertisement advertising adsense adsbygoogle adbox adslot sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices "
+    "notification alert alerts announcement disclaimer toast popup modal overlay newsletter subscribe subscription signup login paywall sidebar sidenav aside rail menu nav navbar navigation "
+    "breadcrumb breadcrumbs footer masthead comment comments commentlist disqus responses discussion reactions replies respond social share sharing related recommended recommendations widget "
+    "widgets toolbar pagination pager search skip".split()
 )
+HEADERS = frozenset("header topbar".split())
+#: Class names that begin so tell about the layout or belong to the article, whatever follows.
+LAYOUT = frozenset("has with without no is js".split())
+OWN = frozenset("article post entry story content".split())
 HOLDERS = frozenset(("html", "body", "article", "main"))
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dd dt".split()
@@ -76,7 +83,8 @@ def _end_of_raw(name: str, page: str, at: int, cache: dict) -> int:
 class Page:
     """The tree in document order: parallel lists for nodes, and the texts with the node that holds each."""
 
-    def __init__(self, page: str):
+    def __init__(self, page: str, marked: bool = True):
+        self.marked = marked  # class and id names count
         self.tag, self.parent, self.drop = ["#root"], [-1], [False]
         self.events: list[tuple[int, str | None]] = []  # (node, text), or (node, None) where a block begins or ends
         self.open = [0]
@@ -107,12 +115,12 @@ class Page:
             inside = attributes.lower() if name == "article" and attributes else ""
             return bool(inside) and any(w in ("comment", "comments", "related", "ad", "advert", "sponsored", "promo") for m in re.finditer(r"class\s*=\s*[\"']?([^\"'>]*)", inside) for w in _WORD.findall(m[1]))
         if name == "header":
-            return not any(self.tag[i] in ("article", "main") for i in self.open)
+            return not self._in_article()
         if not attributes:
             return False
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if key in ("class", "id") and not MARKS.isdisjoint(_WORD.findall(value)):
+            if key in ("class", "id") and self.marked and any(self._marks(x) for x in value.split()):
                 return True
             if key == "role" and value.strip() in ROLES:
                 return True
@@ -122,6 +130,17 @@ class Page:
                 return True
         return False
 
+    def _in_article(self) -> bool:
+        return bool(self.held["article"] or self.held["main"])
+
+    def _marks(self, label: str) -> bool:
+        parts = _WORD.findall(label)
+        if not parts or parts[0] in LAYOUT:
+            return False
+        if not MARKS.isdisjoint(parts):
+            return True
+        return not HEADERS.isdisjoint(parts) and parts[0] not in OWN and not self._in_article()
+
     def _close(self, names: tuple[str, ...], barrier) -> None:
         if not any(self.held[n] for n in names):
             return
@@ -239,10 +258,14 @@ def _densities(p: Page, body: int) -> tuple[list[float], list[float], list[int],
 
 
 def main_text(page: str | None) -> str:
-    """The blocks of the selected parts, one to a line."""
+    """The blocks of the selected parts, one to a line. Where names of classes and ids would take everything out (a
+    wrapper with a telling name), the page is read by its elements alone."""
     if not page:
         return ""
-    p = Page(page)
+    return _selected(Page(page)) or _selected(Page(page, marked=False))
+
+
+def _selected(p: Page) -> str:
     n = len(p.tag)
     body = next((i for i in range(n) if p.tag[i] == "body" and not p.drop[i]), 0)
     density, total, chars, linked = _densities(p, body)
@@ -302,6 +325,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts += [main_text(x) for x in b.column(2).slice(k, 256).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    short_batches(pages.sparkSession)
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return source.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 

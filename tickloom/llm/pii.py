@@ -1,7 +1,7 @@
 """Personal data by weak supervision, in DataFrame and SQL functions only.
 
 Candidates come from patterns. Four labelers vote on each (for, against or abstain): the strict form of its kind
-(checksums, number ranges), gazetteers (top-level domains, country codes, card prefixes, key words), the words before
+(checksums, number ranges), gazetteers (top-level domains, country codes, card prefixes), the words before
 it, and its borders. Votes are counted by pattern of votes: a table of at most kinds x 3^4 x length classes rows, all
 that reaches the driver. Expectation-maximisation on it estimates each labeler's reliability and the share of true spans
 per kind, and a logistic span classifier is trained on the resulting soft labels. The classifier is then an expression
@@ -40,12 +40,11 @@ MORE = {
     "phone": r"(?<![0-9+().-])(?<!\+[0-9]{1,3}[ .-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "secret": r"(?<![0-9A-Za-z_])(?:AKIA[A-Z0-9]{16}|(?:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}[\x22']?[A-Za-z0-9+/_-]{12,128}[\x22']?)",
 }
 #: Where a text can hold a match at all; the patterns run on those texts only.
 GATE = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
-MORE_GATE = {"email": r"[\[(]at[\])]", "phone": r"[0-9]{3}[ .-][0-9]{4}", "ssn": r"-[0-9]{2}-[0-9]{4}", "iban": r"[A-Z]{2}[0-9]{2}", "secret": r"AKIA|[=:]"}
-KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret")
+MORE_GATE = {"email": r"[\[(]at[\])]", "phone": r"[0-9]{3}[ .-][0-9]{4}", "ssn": r"-[0-9]{2}-[0-9]{4}", "iban": r"[A-Z]{2}[0-9]{2}"}
+KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
 
 # Gazetteers.
 TOP_LEVEL = "com org net edu gov mil int info io dev app ai co uk de fr es it nl be ch at pt pl se no dk fi ie eu us ca mx br ar jp cn in au nz ru za test example".split()
@@ -57,7 +56,6 @@ FOR = {
     "phone": r"phone|\bcall\b|mobile|\btel\b|\bfax\b|telefon|téléphone|teléfono",
     "ssn": r"\bssn\b|social security",
     "iban": "iban|account|konto|compte|cuenta",
-    "secret": "key|password|token|secret|credential",
 }
 AGAINST = r"version|release|\bisbn\b|invoice|order|serial|section|figure|licen[cs]e|\bv$|§ ?$"
 
@@ -175,14 +173,10 @@ def _votes(kind: str, base: bool, x: Column) -> list[Column]:
     elif kind == "ssn":
         form = _vote(~digits.rlike("^(?:000|666|9)|^...00|0000$"), digits.rlike("^(?:000|666|9)|^...00|0000$"))
         gazette = _vote(none, digits.rlike(r"^(\d)\1+$"))
-    elif kind == "iban":
+    else:
         compact = F.regexp_replace(v, " ", "")
         form = _vote(F.length(compact).between(15, 34) & compact.rlike("[0-9]{8}"), ~compact.rlike("[0-9]{6}"))
         gazette = _vote(F.substr(v, F.lit(1), F.lit(2)).isin("DE FR ES GB IT NL BE CH AT PT PL SE NO DK FI IE LU".split()), ~compact.rlike("^(?:[A-Z]{2})[0-9]"))
-    else:
-        body = F.regexp_extract(v, r"([A-Za-z0-9+/_-]{12,128})[\x22']?$", 1)
-        form = _vote(body.rlike("[0-9]") & body.rlike("[A-Za-z]"), ~body.rlike("[0-9]"))
-        gazette = _vote(v.rlike("^(?:AKIA|password|passwd|token|secret|api_key)"), none)
     before = F.lower(x["before"])
     context = _vote(before.rlike(FOR[kind]), before.rlike(AGAINST))
     glued = x["before"].rlike("[A-Za-z0-9_]$") | x["after"].rlike("[A-Za-z0-9_@]")
@@ -281,7 +275,7 @@ def train(counts: dict[tuple, int]) -> dict[str, float]:
 def fit(docs: DataFrame) -> dict[str, float]:
     """Votes over all documents, counted, and the classifier trained on them."""
     each = _with_candidates(docs.select("text")).select(F.explode("__c").alias("c"))
-    rows = each.groupBy("c.rank", "c.votes", "c.size").agg(F.count("*").alias("n")).collect()  # at most 7 * 3^4 * 3 rows
+    rows = each.groupBy("c.rank", "c.votes", "c.size").agg(F.count("*").alias("n")).collect()  # at most 6 * 3^4 * 3 rows
     counts = {(r["rank"], tuple(r["votes"]), r["size"]): r["n"] for r in sorted(rows, key=lambda r: (r["rank"], r["votes"], r["size"]))}
     return train(counts)
 
