@@ -421,3 +421,20 @@ def test_json_with_trailing_commas(spark):
 def test_regimes_need_history(spark):
     d = fundamentals.regimes(series(spark, [1, 2, 3, 4]).select("date", "close"), "close", 2)
     assert column(d, "trend") == [None, None, "rising", "rising"]
+
+
+def test_registry_and_chain(spark):
+    from tickloom.operators.plugins import FACTORS, Chain, Registry
+
+    assert FACTORS.named("price") == ["momentum_12_1", "reversal_1"]
+    with pytest.raises(ValueError, match="needs price"):
+        FACTORS.factors["size"](series(spark, [1]))
+    own = Registry()
+    own.add("one", "x")(lambda d: d.select("symbol", "date", F.lit(1).alias("value")))
+    with pytest.raises(ValueError, match="already"):
+        own.add("one", "x")(lambda d: d)
+    assert own.compute(series(spark, [1, 2])).count() == 2
+    chain = Chain().require("positive", "close > 0").require("small", "close < 10").then("double", lambda d: d.withColumn("close", F.col("close") * 2))
+    good, bad = chain.run(series(spark, [1, -1, None, 50]))
+    assert column(good, "close") == [2.0]
+    assert column(bad, "error") == ["positive", "positive", "small"]

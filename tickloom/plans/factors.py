@@ -312,3 +312,20 @@ def _(p):
     return ln.rolling_betas(d, "r", ["b", "b1"], 60, "string")
 
 
+
+
+@query(
+    "x24_registered_factors",
+    _sql(
+        "r as (select symbol, date, close, close / nullif(lag(close) over w, 0) - 1 as r from px_month window w as (partition by symbol order by date))\n"
+        f"select symbol, date, 'momentum_12_1' as factor, {_round('lag(close, 1) over w / nullif(lag(close, 12) over w, 0) - 1', 'value')} from r window w as (partition by symbol order by date)\n"
+        f"union all select symbol, date, 'reversal_1', {_round('-r', 'value')} from r\n"
+        f"union all select symbol, date, 'volatility_12', {_round('case when count(r) over v >= 12 then stddev_samp(r) over v end * sqrt(252.0)', 'value')} from r window v as (partition by symbol order by date rows between 11 preceding and current row)",
+        "px_month",
+    ),
+)
+def _(p):
+    """The factors that come with the engine, by their registry."""
+    from ..operators.plugins import FACTORS
+
+    return FACTORS.compute(p.px_month, [*FACTORS.named("price"), *FACTORS.named("risk")]).withColumn("value", rounded("value"))

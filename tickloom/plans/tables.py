@@ -347,3 +347,30 @@ def _(p):
     return p.px_day.groupBy("symbol", sunday.alias("week")).agg(rounded(F.max_by("close", "date"), 4).alias("close"))
 
 
+
+
+@query("k7_append_json", "select r_regionkey::bigint as k, r_name as name from region union all select n_nationkey::bigint, n_name from nation")
+def _(p):
+    path = tb.work_dir(p.spark, "append")
+    tb.append_json(p.table("region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")), path)
+    tb.append_json(p.table("nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")), path)
+    return p.spark.read.schema("k long, name string").json(path)
+
+
+@query("k9_portfolio_files", "select s_suppkey || ': sector ' || r_name || ', score ' || (s_suppkey % 10) || '.50' as value from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
+def _(p):
+    path = tb.work_dir(p.spark, "portfolio")
+    tb.write_portfolio(p.sectors.withColumn("score", F.col("symbol") % 10 + 0.5), path)
+    return p.spark.read.text(f"{path}/rationale")
+
+
+@query("s11_melt_weights", "select symbol, date, round(weight + 1e-10, 8) as weight from (select p_partkey as symbol, date '2024-01-31' as date, p_size / 100.0 as weight from part union all select p_partkey, date '2024-02-29', p_retailprice / 100 from part where p_size % 2 = 0)")
+def _(p):
+    wide = p.table("part").select("p_partkey", F.col("p_size").cast("double").alias("2024-01-31"), F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice")).alias("2024-02-29"))
+    return tb.melt_weights(wide, "p_partkey").withColumn("weight", rounded("weight", 8))
+
+
+@query("t5_pending_work", "select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_linenumber = 2)")
+def _(p):
+    done = p.table("lineitem").where("l_linenumber = 2").select(F.col("l_orderkey").alias("o_orderkey"))
+    return tb.pending(p.table("orders").select("o_orderkey"), done, ["o_orderkey"])

@@ -124,3 +124,29 @@ def collector_check(df: DataFrame, required: list[str], not_negative: list[str])
     lost = sorted(set(required) - set(df.columns))
     negative = sum((F.count_if(F.col(c) < 0) for c in not_negative if c in df.columns), F.lit(0))
     return df.agg((F.count("*") == 0).alias("empty"), F.lit(len(lost)).cast("long").alias("missing_columns"), negative.cast("long").alias("negatives"))
+
+
+def melt_weights(df: DataFrame, key: str) -> DataFrame:
+    """A wide sheet (key, one column per date, weights in percent) to (symbol, date, weight), one row per pair."""
+    columns = [c for c in df.columns if c != key]
+    long = df.unpivot([key], columns, "date", "percent").where("percent is not null")
+    named = long.select(F.col(key).alias("symbol"), F.col("date").cast("date").alias("date"), (F.col("percent") / 100).alias("weight"))
+    return named.groupBy("symbol", "date").agg(F.max("weight").alias("weight"))
+
+
+def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Work items that a checkpointed batch has not finished yet."""
+    return work.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def append_json(df: DataFrame, path: str) -> None:
+    """Append records as JSON lines."""
+    write_json(df, path, mode="append")
+
+
+def write_portfolio(holdings: DataFrame, path: str) -> None:
+    """Holdings as JSON and CSV, and a table of rationales, side by side."""
+    write_json(holdings, f"{path}/holdings.json")
+    write_csv(holdings, f"{path}/holdings.csv")
+    why = F.concat(F.col("symbol").cast("string"), F.lit(": sector "), F.col("sector"), F.lit(", score "), F.format_number("score", 2))
+    holdings.select(why.alias("value")).write.mode("overwrite").text(f"{path}/rationale")
