@@ -49,9 +49,16 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z and nothing else. translate() is slow on long texts; lower() differs beyond ASCII."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Rows of an Arrow batch that carries whole texts to Python.
+BATCH_ROWS = 512
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches are limited by rows, and texts can be long: the default of 10,000 rows would let a batch of long
+    documents fill an executor. A setting of the session's own is left alone."""
+    if spark.conf.get(_ROWS, "10000") == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
 
 
 def words(text: Column) -> Column:

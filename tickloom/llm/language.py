@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, short_batches
 from .html import main_text
 
 #: Labelled documents that the text model is fitted to, about.
@@ -133,6 +133,7 @@ def evidence(pages: DataFrame, model: TextModel) -> DataFrame:
 def identify(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     """pages -> (page_id, host, declared, text_lang, lang, confidence)."""
     spark = pages.sparkSession
+    short_batches(spark)
     model = fit(labelled)
     if model is None:
         source = pages.select(F.col("page_id").cast("long").alias("page_id"))
