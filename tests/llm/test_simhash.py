@@ -57,7 +57,7 @@ def test_blocks_lose_no_link(spark):
             x ^= 1 << rng.randrange(64)
         fps.add(x)
     df = spark.createDataFrame([(x - 2**64 if x >> 63 else x,) for x in fps], "fp long")
-    edges = simhash.links(df, block=16).collect()
+    edges = simhash.links(df, simhash.Scratch(spark, "links"), block=16).collect()
     parent = {x: x for x in fps}
 
     def find(x):

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, short_batches
 from .graph import components
 
 BITS = 64
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, width: int = 3, *more: Column) -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py() or b"", width) for t in texts), dtype=np.uint64, count=len(texts))
             yield pa.record_batch([*b.columns[1:], pa.array(fps.view(np.int64))], names=[*b.schema.names[1:], "fp"])
 
+    short_batches(docs.sparkSession)
     wanted = [F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *[c.alias("key") for c in more]]
     return docs.select(*wanted).mapInArrow(run, "doc_id long, " + "key long, " * len(more) + "fp long")
 
@@ -87,7 +88,7 @@ def _forest(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarr
             yield np.full(len(all_) - 1, all_[0]), all_[1:]
 
 
-def links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, scratch: Scratch, radius: int = 3, block: int = BLOCK) -> DataFrame:
     """(u, v): a spanning forest, per bucket, of the distinct fingerprints within the radius.
 
     A bucket of k fingerprints is dealt into ceil(k / block) blocks, and each pair of blocks is one bounded group, so
@@ -95,7 +96,8 @@ def links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
     """
     masks = covering_masks(radius)
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks])).alias("t", "key"))
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("k")).where("k > 1")
+    # written first, so that the join reads a plain table and adaptive execution can split a hot bucket's rows
+    sizes = scratch.keep(keyed.groupBy("t", "key").agg(F.count("*").alias("k")).where("k > 1"))
     full = keyed.join(sizes, ["t", "key"]).withColumn("g", F.ceil(F.col("k") / block).cast("int"))
     mine = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
     dealt = full.select("t", "key", "fp", mine.alias("b"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
@@ -117,7 +119,7 @@ def links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
 def _labelled(fps: DataFrame, scratch: Scratch, radius: int) -> DataFrame:
     """fps(doc_id, fp, ...) with component_id. Copies meet in one fingerprint before any pair is looked at."""
     reps = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    edges = links(reps, radius)
+    edges = links(reps, scratch, radius)
     labels = scratch.keep(components(edges, scratch))
     merged = scratch.keep(reps.join(labels, F.col("fp") == F.col("node")).select("fp", "rep", "label"))
     least = scratch.keep(merged.groupBy("label").agg(F.min("rep").alias("least"), F.min("fp").alias("root")))
