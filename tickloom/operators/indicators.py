@@ -90,15 +90,36 @@ def _by_symbol(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
     return df.groupBy(*keys).applyInArrow(each, schema)
 
 
+def _ewm(s, span: int, adjust: bool, least: int = 1):
+    return s.ewm(span=span, adjust=adjust, min_periods=least).mean()
+
+
+def _rsi(s, period: int):
+    delta = s.diff()
+    out = (100 - 100 / (1 + _ewm(delta.clip(lower=0), period, False, period) / _ewm((-delta).clip(lower=0), period, False, period))).fillna(100.0)
+    out.iloc[:period] = None
+    return out
+
+
+def _macd(s, fast: int, slow: int, signal: int):
+    line = _ewm(s, fast, False, fast) - _ewm(s, slow, False, slow)
+    smooth = _ewm(line, signal, False, signal)
+    return line, smooth, line - smooth
+
+
+def _with(df: DataFrame, run, extra: str) -> DataFrame:
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return _by_symbol(df, ["symbol"], run, f"{fields}, {extra}")
+
+
 def ema(df: DataFrame, value: str, span: int, adjust: bool, out: str = "ema", least: int = 1) -> DataFrame:
     """df(symbol, date, value) with an exponentially weighted mean of alpha = 2 / (span + 1)."""
 
     def run(t):
-        t[out] = t[value].ewm(span=span, adjust=adjust, min_periods=least).mean()
+        t[out] = _ewm(t[value], span, adjust, least)
         return t
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return _by_symbol(df, ["symbol"], run, f"{fields}, {out} double")
+    return _with(df, run, f"{out} double")
 
 
 def rsi(df: DataFrame, value: str = "close", period: int = 14) -> DataFrame:
@@ -106,15 +127,10 @@ def rsi(df: DataFrame, value: str = "close", period: int = 14) -> DataFrame:
     and a series without losses (0/0 included) reads 100."""
 
     def run(t):
-        delta = t[value].diff()
-        up = delta.clip(lower=0).ewm(span=period, adjust=False, min_periods=period).mean()
-        down = (-delta).clip(lower=0).ewm(span=period, adjust=False, min_periods=period).mean()
-        t["rsi"] = (100 - 100 / (1 + up / down)).fillna(100.0)
-        t.iloc[:period, t.columns.get_loc("rsi")] = None
+        t["rsi"] = _rsi(t[value], period)
         return t
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return _by_symbol(df, ["symbol"], run, f"{fields}, rsi double")
+    return _with(df, run, "rsi double")
 
 
 def macd(df: DataFrame, value: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
@@ -123,22 +139,27 @@ def macd(df: DataFrame, value: str = "close", fast: int = 12, slow: int = 26, si
         raise ValueError("fast must be less than slow")
 
     def run(t):
-        line = t[value].ewm(span=fast, adjust=False, min_periods=fast).mean() - t[value].ewm(span=slow, adjust=False, min_periods=slow).mean()
-        t["macd"] = line
-        t["signal"] = line.ewm(span=signal, adjust=False, min_periods=signal).mean()
-        t["histogram"] = t["macd"] - t["signal"]
+        t["macd"], t["signal"], t["histogram"] = _macd(t[value], fast, slow, signal)
         return t
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return _by_symbol(df, ["symbol"], run, f"{fields}, macd double, signal double, histogram double")
+    return _with(df, run, "macd double, signal double, histogram double")
 
 
 def all_indicators(df: DataFrame, value: str = "close") -> DataFrame:
-    """SMA 20/50/200, EMA 12/26, returns, volatility 20, RSI 14 and MACD of a panel (bands are a separate operator)."""
+    """SMA 20/50/200, EMA 12/26, returns, volatility 20, RSI 14 and MACD of a panel (bands are a separate operator).
+    Window columns come first and all recursive ones in one grouped pass after them, which keeps their partitioning: one
+    exchange by symbol for everything."""
     w = by("symbol", order="date")
-    out = macd(rsi(ema(ema(df, value, 12, True, "ema_12", 12), value, 26, True, "ema_26", 26), value), value)
-    out = out.withColumn("ret", simple_return(value, w)).withColumn("log_ret", log_return(value, w))
-    return out.select("*", *[sma(value, w, n).alias(f"sma_{n}") for n in (20, 50, 200)], rolling_volatility("ret", w, 20).alias("vol_20"))
+    d = df.withColumn("ret", simple_return(value, w)).withColumn("log_ret", log_return(value, w))
+    d = d.select("*", *[sma(value, w, n).alias(f"sma_{n}") for n in (20, 50, 200)], rolling_volatility("ret", w, 20).alias("vol_20"))
+
+    def run(t):
+        t["ema_12"], t["ema_26"] = (_ewm(t[value], n, True, n) for n in (12, 26))
+        t["rsi"] = _rsi(t[value], 14)
+        t["macd"], t["signal"], t["histogram"] = _macd(t[value], 12, 26, 9)
+        return t
+
+    return _with(d, run, "ema_12 double, ema_26 double, rsi double, macd double, signal double, histogram double")
 
 
 def densify(df: DataFrame, dates: DataFrame) -> DataFrame:
