@@ -17,14 +17,6 @@ def _w():
     return by("symbol", order="date")
 
 
-def _sql(body: str, *views: str) -> str:
-    """with_views() for a body that begins with further common table expressions."""
-    body = body.strip().lstrip(",").strip()
-    if body.startswith("select"):
-        return with_views(body, *views)
-    return with_views("\x00" + body, *views).replace("\n\x00", ",\n", 1)
-
-
 def _returns(p):
     return p.px_day.withColumn("r", change("close", 1, _w())).select("symbol", "date", "r")
 
@@ -69,13 +61,13 @@ def _(p):
 _RANKS = "k as (select *, rank() over (partition by symbol order by r) + (count(*) over (partition by symbol, r) - 1) / 2.0 as x, rank() over (partition by symbol order by b) + (count(*) over (partition by symbol, b) - 1) / 2.0 as y from j where r is not null and b is not null)"
 
 
-@query("a5_correlation", _sql(_J + ", " + _RANKS + f"\nselect symbol, {_round('corr(r, b)', 'pearson')}, {_round('corr(x, y)', 'spearman')} from k group by symbol", "ret_day", "bret_day"))
+@query("a5_correlation", with_views(_J + ", " + _RANKS + f"\nselect symbol, {_round('corr(r, b)', 'pearson')}, {_round('corr(x, y)', 'spearman')} from k group by symbol", "ret_day", "bret_day"))
 def _(p):
     c = st.correlations(_pairs(p), "r", "b", ["symbol"])
     return c.select("symbol", rounded("pearson").alias("pearson"), rounded("spearman").alias("spearman"))
 
 
-@query("a5_kendall", _sql(f"x as (select m.date, m.close, b.bench from px_month m join bench_month b on m.date = b.date where symbol = 1)\nselect {_round('sum(sign(a.close - c.close) * sign(a.bench - c.bench)) / sqrt(sum(abs(sign(a.close - c.close))) * sum(abs(sign(a.bench - c.bench))))', 'tau')} from x a join x c on a.date < c.date", "px_month", "bench_month"))
+@query("a5_kendall", with_views(f"x as (select m.date, m.close, b.bench from px_month m join bench_month b on m.date = b.date where symbol = 1)\nselect {_round('sum(sign(a.close - c.close) * sign(a.bench - c.bench)) / sqrt(sum(abs(sign(a.close - c.close))) * sum(abs(sign(a.bench - c.bench))))', 'tau')} from x a join x c on a.date < c.date", "px_month", "bench_month"))
 def _(p):
     x = p.px_month.where("symbol = 1").join(p.bench_month, "date")
     return st.kendall(x, "close", "bench", "date").select(rounded("tau").alias("tau"))
@@ -86,7 +78,7 @@ def _(p):
     return st.correlation_matrix(_returns(p), "date", "symbol", "r").withColumn("corr", rounded("corr"))
 
 
-@query("a6_beta", _sql(_J + f"select symbol, {_round('case when count(*) >= 2 then covar_samp(r, b) / nullif(var_samp(b), 0) end', 'beta')} from j where r is not null and b is not null group by symbol", "ret_day", "bret_day"))
+@query("a6_beta", with_views(_J + f"select symbol, {_round('case when count(*) >= 2 then covar_samp(r, b) / nullif(var_samp(b), 0) end', 'beta')} from j where r is not null and b is not null group by symbol", "ret_day", "bret_day"))
 def _(p):
     return _pairs(p).groupBy("symbol").agg(rounded(st.beta("r", "b")).alias("beta"))
 
@@ -102,7 +94,7 @@ def _(p):
 _LEVEL = "l as (select symbol, date, r, exp(sum(ln(1 + r)) over (partition by symbol order by date)) as level from ret_day where r is not null),\nd as (select *, level / max(level) over (partition by symbol order by date) - 1 as dd from l)\n"
 
 
-@query("a8_max_drawdown", _sql(_LEVEL + f"select symbol, {_round('min(dd)', 'max_drawdown', 5)} from d group by symbol", "ret_day"))
+@query("a8_max_drawdown", with_views(_LEVEL + f"select symbol, {_round('min(dd)', 'max_drawdown', 5)} from d group by symbol", "ret_day"))
 def _(p):
     return st.drawdowns(_returns(p), "r", ["symbol"]).groupBy("symbol").agg(rounded(F.min("drawdown"), 5).alias("max_drawdown"))
 
@@ -115,7 +107,7 @@ def _(p):
 _BETA = "covar_samp(r, b) filter (where r is not null and b is not null) / var_samp(b) filter (where r is not null and b is not null)"
 
 
-@query("a10_relative_risk", _sql(_J + f"select symbol, {_round(f'(avg(r) * 252 - 0.02) / ({_BETA})', 'treynor', 4)}, {_round('avg(r - b) / stddev_samp(r - b) * sqrt(252)', 'information_ratio')} from j group by symbol", "ret_day", "bret_day"))
+@query("a10_relative_risk", with_views(_J + f"select symbol, {_round(f'(avg(r) * 252 - 0.02) / ({_BETA})', 'treynor', 4)}, {_round('avg(r - b) / stddev_samp(r - b) * sqrt(252)', 'information_ratio')} from j group by symbol", "ret_day", "bret_day"))
 def _(p):
     return _pairs(p).groupBy("symbol").agg(rounded(st.treynor("r", "b", 0.02), 4).alias("treynor"), rounded(st.information_ratio("r", "b")).alias("information_ratio"))
 
@@ -130,7 +122,7 @@ def _(p):
 
 @query(
     "a12_attribution",
-    _sql(
+    with_views(
         _J
         + f""", f as (select *, lag(b) over (partition by symbol order by date) as b1 from j), g as (select * from f where r is not null and b is not null and b1 is not null),
 e as (select symbol, covar_samp(r, b) / var_samp(b) as b_beta, covar_samp(r, b1) / var_samp(b1) as b1_beta, avg(r) as mr, avg(b) as mb, count(*) as n from g group by symbol)
@@ -153,13 +145,13 @@ def _factor(p):
 _BINS = ", q as (select *, list_distinct(e) as d from (select *, quantile_cont(factor, [0, 0.2, 0.4, 0.6000000000000001, 0.8, 1]) over (partition by date) as e from f))\n, z as (select symbol, date, factor, forward, case when factor is not null and len(d) = 6 then 1 + len(list_filter(e[2:5], lambda x: x < factor - abs(factor) * 1e-12)) end as bin from q)\n"
 
 
-@query("a13_quantile_returns", _sql(_FACTOR + _BINS + f"select cast(bin as integer) as bin, {_round('avg(m)', 'mean')} from (select date, bin, avg(forward) as m from z where bin is not null and forward is not null group by 1, 2) group by bin", "px_month"))
+@query("a13_quantile_returns", with_views(_FACTOR + _BINS + f"select cast(bin as integer) as bin, {_round('avg(m)', 'mean')} from (select date, bin, avg(forward) as m from z where bin is not null and forward is not null group by 1, 2) group by bin", "px_month"))
 def _(p):
     d = _factor(p).withColumn("b", quantile_bins("factor", 5, "date", whole=True))
     return st.quantile_returns(d, "b", "forward").withColumn("mean", rounded("mean"))
 
 
-@query("a13_long_short", _sql(_FACTOR + _BINS + f", m as (select bin, avg(m) as mean from (select date, bin, avg(forward) as m from z where bin is not null and forward is not null group by 1, 2) group by bin)\nselect {_round('max(case when bin = 5 then mean end) - max(case when bin = 1 then mean end)', 'long_short')}, {_round('(corr(bin, k) + 1) / 2', 'monotonicity')} from (select *, rank() over (order by mean) as k from m)", "px_month"))
+@query("a13_long_short", with_views(_FACTOR + _BINS + f", m as (select bin, avg(m) as mean from (select date, bin, avg(forward) as m from z where bin is not null and forward is not null group by 1, 2) group by bin)\nselect {_round('max(case when bin = 5 then mean end) - max(case when bin = 1 then mean end)', 'long_short')}, {_round('(corr(bin, k) + 1) / 2', 'monotonicity')} from (select *, rank() over (order by mean) as k from m)", "px_month"))
 def _(p):
     d = _factor(p).withColumn("b", quantile_bins("factor", 5, "date", whole=True))
     return st.long_short(st.quantile_returns(d, "b", "forward"), 5).select(rounded("long_short").alias("long_short"), rounded("monotonicity").alias("monotonicity"))
@@ -168,24 +160,24 @@ def _(p):
 _IC = ", v as (select date, rank() over (partition by date order by factor) + (count(*) over (partition by date, factor) - 1) / 2.0 as x, rank() over (partition by date order by forward) + (count(*) over (partition by date, forward) - 1) / 2.0 as y from f where factor is not null and forward is not null), ic as (select date, case when count(*) >= 5 then corr(x, y) end as ic from v group by date)\n"
 
 
-@query("a14_rank_ic", _sql(_FACTOR + _IC + f"select date, {_round('ic', 'ic')} from ic", "px_month"))
+@query("a14_rank_ic", with_views(_FACTOR + _IC + f"select date, {_round('ic', 'ic')} from ic", "px_month"))
 def _(p):
     return st.ic_series(_factor(p), "factor", "forward").withColumn("ic", rounded("ic"))
 
 
-@query("a14_ic_summary", _sql(_FACTOR + _IC + f"select {_round('avg(ic)', 'mean_ic')}, {_round('stddev_samp(ic)', 'std_ic')}, {_round('avg(ic) / stddev_samp(ic)', 'ir')}, {_round('avg(ic) / stddev_samp(ic) * sqrt(count(ic))', 't_stat')}, count(ic) as n, {_round('avg(case when ic > 0 then 1.0 else 0 end)', 'positive')} from ic", "px_month").replace("avg(case when ic > 0 then 1.0 else 0 end)", "avg(case when ic > 0 then 1.0 when ic is not null then 0 end)"))
+@query("a14_ic_summary", with_views(_FACTOR + _IC + f"select {_round('avg(ic)', 'mean_ic')}, {_round('stddev_samp(ic)', 'std_ic')}, {_round('avg(ic) / stddev_samp(ic)', 'ir')}, {_round('avg(ic) / stddev_samp(ic) * sqrt(count(ic))', 't_stat')}, count(ic) as n, {_round('avg(case when ic > 0 then 1.0 when ic is not null then 0 end)', 'positive')} from ic", "px_month"))
 def _(p):
     s = st.ic_summary(st.ic_series(_factor(p), "factor", "forward"))
     return s.select(*[rounded(c).alias(c) for c in ("mean_ic", "std_ic", "ir", "t_stat")], "n", rounded("positive").alias("positive"))
 
 
-@query("a15_winsorised_mean", _sql(f"e as (select date, quantile_cont(close, 0.1) as lo, quantile_cont(close, 0.9) as hi from px_month group by date)\nselect date, {_round('avg(greatest(lo, least(hi, close)))', 'mean', 4)}, {_round('stddev_samp(greatest(lo, least(hi, close)))', 'std', 4)} from px_month join e using (date) group by date", "px_month"))
+@query("a15_winsorised_mean", with_views(f"e as (select date, quantile_cont(close, 0.1) as lo, quantile_cont(close, 0.9) as hi from px_month group by date)\nselect date, {_round('avg(greatest(lo, least(hi, close)))', 'mean', 4)}, {_round('stddev_samp(greatest(lo, least(hi, close)))', 'std', 4)} from px_month join e using (date) group by date", "px_month"))
 def _(p):
     m = st.winsorised_mean(p.px_month.select("date", "close"), "close", ["date"], 0.1, 0.9, deviation=True)
     return m.select("date", rounded("mean", 4).alias("mean"), rounded("std", 4).alias("std"))
 
 
-@query("a16_coverage", _sql("d as (select date, symbol, close from (select symbol, date from (select distinct symbol from px_month), (select distinct date from px_month)) left join px_month using (symbol, date))\nselect date, count(*) as n, count(close) as present, count(*) - count(close) as absent, " + _round("count(close)::double / count(*)", "coverage") + " from d group by date", "px_month"))
+@query("a16_coverage", with_views("d as (select date, symbol, close from (select symbol, date from (select distinct symbol from px_month), (select distinct date from px_month)) left join px_month using (symbol, date))\nselect date, count(*) as n, count(close) as present, count(*) - count(close) as absent, " + _round("count(close)::double / count(*)", "coverage") + " from d group by date", "px_month"))
 def _(p):
     from ..operators.indicators import densify
 
@@ -193,13 +185,13 @@ def _(p):
     return st.coverage(grid, "close", ["date"]).withColumn("coverage", rounded("coverage"))
 
 
-@query("a17_mean_by_label", _sql(_FACTOR + _BINS + f"select cast(year(date) as integer) as year, cast(bin as integer) as bin, {_round('avg(forward)', 'mean')}, count(forward) as n from z where bin is not null group by 1, 2", "px_month"))
+@query("a17_mean_by_label", with_views(_FACTOR + _BINS + f"select cast(year(date) as integer) as year, cast(bin as integer) as bin, {_round('avg(forward)', 'mean')}, count(forward) as n from z where bin is not null group by 1, 2", "px_month"))
 def _(p):
     d = _factor(p).withColumn("bin", quantile_bins("factor", 5, "date", whole=True)).where("bin is not null")
     return d.groupBy(F.year("date").alias("year"), "bin").agg(rounded(F.avg("forward")).alias("mean"), F.count("forward").alias("n"))
 
 
-@query("a18_transitions", _sql(_FACTOR + _BINS + "select cast(bin as integer) as now, cast(nxt as integer) as next, count(*) as n from (select bin, lead(bin) over (partition by symbol order by date) as nxt from z) where bin is not null and nxt is not null group by 1, 2", "px_month"))
+@query("a18_transitions", with_views(_FACTOR + _BINS + "select cast(bin as integer) as now, cast(nxt as integer) as next, count(*) as n from (select bin, lead(bin) over (partition by symbol order by date) as nxt from z) where bin is not null and nxt is not null group by 1, 2", "px_month"))
 def _(p):
     d = _factor(p).withColumn("now", quantile_bins("factor", 5, "date", whole=True))
     return cx.transitions(d.withColumn("next", F.lead("now").over(_w())), "now", "next")
@@ -210,7 +202,7 @@ def _(p):
     return st.best_worst(_returns(p), "symbol", "r", ["date"]).withColumn("average", rounded("average"))
 
 
-@query("a20_freshness", _sql("l as (select symbol, max(date) as date from px_day group by symbol)\nselect date, string_agg(symbol, ',' order by symbol) as symbols, date = (select max(date) from l) as is_newest, cast(date_diff('day', date, (select max(date) from l)) as integer) as gap_days from l group by date", "px_day"))
+@query("a20_freshness", with_views("l as (select symbol, max(date) as date from px_day group by symbol)\nselect date, string_agg(symbol, ',' order by symbol) as symbols, date = (select max(date) from l) as is_newest, cast(date_diff('day', date, (select max(date) from l)) as integer) as gap_days from l group by date", "px_day"))
 def _(p):
     return st.freshness(p.px_day)
 
@@ -269,7 +261,7 @@ def _(p):
     return p.table("events").groupBy(F.col("event_type").alias("phase")).agg(F.count("*").alias("calls"), rounded(F.sum("value"), 4).alias("cost"), rounded(F.avg("value"), 4).alias("mean"))
 
 
-@query("a29_price_summary", _sql(f"g as (select symbol, min(close) as low, max(close) as high, avg(close) as mean, stddev_samp(close) as std, max_by(close, date) - min_by(close, date) as change, (max_by(close, date) - min_by(close, date)) / min_by(close, date) * 100 as pct from px_month group by symbol)\nselect symbol, {', '.join(_round(c, c, 4) for c in ('low', 'high', 'mean', 'std', 'change', 'pct'))}, case when pct > 2 then 'up' when pct < -2 then 'down' else 'flat' end as trend from g", "px_month"))
+@query("a29_price_summary", with_views(f"g as (select symbol, min(close) as low, max(close) as high, avg(close) as mean, stddev_samp(close) as std, max_by(close, date) - min_by(close, date) as change, (max_by(close, date) - min_by(close, date)) / min_by(close, date) * 100 as pct from px_month group by symbol)\nselect symbol, {', '.join(_round(c, c, 4) for c in ('low', 'high', 'mean', 'std', 'change', 'pct'))}, case when pct > 2 then 'up' when pct < -2 then 'down' else 'flat' end as trend from g", "px_month"))
 def _(p):
     s = st.price_summary(p.px_month, ["symbol"])
     return s.select("symbol", *[rounded(c, 4).alias(c) for c in ("low", "high", "mean", "std", "change", "pct")], "trend")
@@ -278,13 +270,13 @@ def _(p):
 _LAST = "x as (select symbol, avg(discount) as a, sum(quantity) as b from metrics group by symbol)"
 
 
-@query("a30_hit_rate", _sql(_LAST + ", n as (select cast(ceil(count(*) * 0.2) as bigint) as n from x), t as (select symbol, row_number() over (order by a desc, symbol) as ka, row_number() over (order by b desc, symbol) as kb from x)\nselect count(*) as n, count(*) filter (where kb <= (select n from n)) as hits, round(count(*) filter (where kb <= (select n from n)) / count(*)::double + 1e-8, 6) as rate from t where ka <= (select n from n)", "metrics"))
+@query("a30_hit_rate", with_views(_LAST + ", n as (select cast(ceil(count(*) * 0.2) as bigint) as n from x), t as (select symbol, row_number() over (order by a desc, symbol) as ka, row_number() over (order by b desc, symbol) as kb from x)\nselect count(*) as n, count(*) filter (where kb <= (select n from n)) as hits, round(count(*) filter (where kb <= (select n from n)) / count(*)::double + 1e-8, 6) as rate from t where ka <= (select n from n)", "metrics"))
 def _(p):
     d = p.metrics.groupBy("symbol").agg(F.avg("discount").alias("a"), F.sum("quantity").alias("b"))
     return st.hit_rate(d, "a", "b", "symbol").withColumn("rate", rounded("rate"))
 
 
-@query("a31_analyst_correlation", _sql(_LAST + f", k as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as x, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0 as y from x)\nselect {_round('corr(x, y)', 'spearman')} from k", "metrics"))
+@query("a31_analyst_correlation", with_views(_LAST + f", k as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as x, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0 as y from x)\nselect {_round('corr(x, y)', 'spearman')} from k", "metrics"))
 def _(p):
     """Spearman of two scores; the ranks are over one row per symbol."""
     d = p.metrics.groupBy("symbol").agg(F.avg("discount").alias("a"), F.sum("quantity").alias("b")).withColumn("all", F.lit(1))

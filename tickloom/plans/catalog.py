@@ -32,7 +32,7 @@ b as (select *, median(r) over (partition by date) as m, count(r) over (partitio
 c as (select *, 1.4826 * median(abs(r - m)) over (partition by date) as d from b)
 select symbol, date, round(r + 1e-8, 6) as ret_3m, round(s + 1e-6, 4) as sma_3, round((r - m) / d + 1e-7, 5) as z from c where n >= 5 and d > 0""",
         "px_month",
-    ).replace("\na as", ",\na as", 1),
+    ),
 )
 def _(p):
     return flagship(p.spark, p.folder)

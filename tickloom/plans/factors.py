@@ -11,7 +11,7 @@ from ..operators import linear as ln
 from ..operators import portfolio as pf
 from ..operators import text as tx
 from ..sources.panels import with_views
-from .aggregates import _pairs, _round, _sql
+from .aggregates import _pairs, _round
 from .registry import query
 
 def _w():
@@ -34,7 +34,7 @@ def _robust(c: str, keys: str, source: str, least: int = 5, name: str = "z") ->
     return f"select *, case when count({c}) over (partition by {keys}) >= {least} then ({c} - m) / nullif(1.4826 * median(abs({c} - m)) over (partition by {keys}), 0) end as {name} from (select *, median({c}) over (partition by {keys}) as m from {source})"
 
 
-@query("x1_zscore", _sql(_F + f", r as ({_robust('x', 'date', 'f')})\nselect symbol, date, {_round('z', 'robust', 5)}, {_round('case when count(x) over (partition by date) >= 5 then (x - avg(x) over (partition by date)) / nullif(stddev_samp(x) over (partition by date), 0) end', 'standard')} from r", "px_month"))
+@query("x1_zscore", with_views(_F + f", r as ({_robust('x', 'date', 'f')})\nselect symbol, date, {_round('z', 'robust', 5)}, {_round('case when count(x) over (partition by date) >= 5 then (x - avg(x) over (partition by date)) / nullif(stddev_samp(x) over (partition by date), 0) end', 'standard')} from r", "px_month"))
 def _(p):
     d = cx.zscore(cx.zscore(_f(p), "x", ["date"], "robust"), "x", ["date"], "standard", robust=False)
     return d.select("symbol", "date", rounded("robust", 5).alias("robust"), rounded("standard").alias("standard"))
@@ -43,7 +43,7 @@ def _(p):
 _PR = "case when {c} is not null then (rank() over (partition by {k} order by {c}) + (count(*) over (partition by {k}, {c}) - 1) / 2.0) / count({c}) over (partition by {k}) end"
 
 
-@query("x2_percent_rank", _sql(_F + f"\nselect symbol, date, {_round(_PR.format(c='x', k='date'), 'pct_rank')} from f", "px_month"))
+@query("x2_percent_rank", with_views(_F + f"\nselect symbol, date, {_round(_PR.format(c='x', k='date'), 'pct_rank')} from f", "px_month"))
 def _(p):
     return _f(p).select("symbol", "date", rounded(percent_rank_average("x", "date")).alias("pct_rank"))
 
@@ -58,19 +58,19 @@ def _bins(c: str, keys: str, source: str, whole: bool = False) -> str:
 _TIED = "t as (select l_suppkey as symbol, last_day(cast(l_shipdate as date)) as date, cast(max(l_quantity) as double) as x from lineitem group by 1, 2)"
 
 
-@query("x3_quintile", _sql(_TIED + f", q as ({_bins('x', 'date', 't')})\nselect symbol, date, bin, case when bin is not null then 'Q' || bin end as label from q", "px_month"))
+@query("x3_quintile", with_views(_TIED + f", q as ({_bins('x', 'date', 't')})\nselect symbol, date, bin, case when bin is not null then 'Q' || bin end as label from q", "px_month"))
 def _(p):
     t = p.table("lineitem").groupBy(F.col("l_suppkey").alias("symbol"), F.last_day(F.col("l_shipdate").cast("date")).alias("date")).agg(F.max("l_quantity").alias("x"))
     d = t.withColumn("bin", quantile_bins("x", 5, "date"))
     return d.select("symbol", "date", "bin", F.when(F.col("bin").isNotNull(), F.concat(F.lit("Q"), F.col("bin").cast("string"))).alias("label"))
 
 
-@query("x4_winsorise", _sql(_F + ", q as (select *, quantile_cont(x, 0.05) over (partition by date) as lo, quantile_cont(x, 0.95) over (partition by date) as hi from f)\nselect symbol, date, case when x is not null then round(greatest(lo, least(hi, x)) + 1e-8, 6) end as x from q", "px_month"))
+@query("x4_winsorise", with_views(_F + ", q as (select *, quantile_cont(x, 0.05) over (partition by date) as lo, quantile_cont(x, 0.95) over (partition by date) as hi from f)\nselect symbol, date, case when x is not null then round(greatest(lo, least(hi, x)) + 1e-8, 6) end as x from q", "px_month"))
 def _(p):
     return _f(p).select("symbol", "date", rounded(cx.winsorise("x", 0.05, 0.05, "date")).alias("x"))
 
 
-@query("x5_by_group", _sql(_F + f", g as (select f.*, sector from f join sectors using (symbol)), r as ({_robust('x', 'date, sector', 'g', 3)})\nselect symbol, date, sector, {_round('z', 'z', 5)}, {_round(_PR.format(c='x', k='date, sector'), 'pct_rank')} from r", "px_month", "sectors"))
+@query("x5_by_group", with_views(_F + f", g as (select f.*, sector from f join sectors using (symbol)), r as ({_robust('x', 'date, sector', 'g', 3)})\nselect symbol, date, sector, {_round('z', 'z', 5)}, {_round(_PR.format(c='x', k='date, sector'), 'pct_rank')} from r", "px_month", "sectors"))
 def _(p):
     d = cx.zscore(_fs(p), "x", ["date", "sector"], "z", least=3)
     return d.select("symbol", "date", "sector", rounded("z", 5).alias("z"), rounded(percent_rank_average("x", "date", "sector")).alias("pct_rank"))
@@ -79,20 +79,20 @@ def _(p):
 _X6 = ", w as (select *, case when count(x) over (partition by {k}) >= 10 then case when x is not null then greatest(quantile_cont(x, 0.01) over (partition by {k}), least(quantile_cont(x, 0.99) over (partition by {k}), x)) end else x end as v from {s})"
 
 
-@query("x6_factor_metrics", _sql(_F + _X6.format(k="date", s="f") + f", q as ({_bins('v', 'date', 'w')})\nselect symbol, date, {_round('1 - ' + _PR.format(c='v', k='date'), 'pct_rank')}, 6 - bin as quintile, {_round('-((v - avg(v) over (partition by date)) / nullif(stddev_samp(v) over (partition by date), 0))', 'z')} from q", "px_month"))
+@query("x6_factor_metrics", with_views(_F + _X6.format(k="date", s="f") + f", q as ({_bins('v', 'date', 'w')})\nselect symbol, date, {_round('1 - ' + _PR.format(c='v', k='date'), 'pct_rank')}, 6 - bin as quintile, {_round('-((v - avg(v) over (partition by date)) / nullif(stddev_samp(v) over (partition by date), 0))', 'z')} from q", "px_month"))
 def _(p):
     d = cx.factor_metrics(_f(p), "x", ["date"], inverted=True)
     return d.select("symbol", "date", rounded("pct_rank").alias("pct_rank"), "quintile", rounded("z").alias("z"))
 
 
-@query("x7_rank_labels", _sql(_F + f", q as ({_bins('x', 'date', 'f')})\nselect symbol, date, case when bin is not null then 'rank' || (6 - bin) end as label from q", "px_month"))
+@query("x7_rank_labels", with_views(_F + f", q as ({_bins('x', 'date', 'f')})\nselect symbol, date, case when bin is not null then 'rank' || (6 - bin) end as label from q", "px_month"))
 def _(p):
     return _f(p).select("symbol", "date", cx.rank_labels(quantile_bins("x", 5, "date")).alias("label"))
 
 
 @query(
     "x8_transition_label",
-    _sql(
+    with_views(
         _F
         + f""", q as ({_bins('x', 'date', 'f')}), l as (select symbol, date, 6 - bin as a, lead(6 - bin, 1) over w as b, lead(6 - bin, 2) over w as c from q window w as (partition by symbol order by date))
 select symbol, date, case when a is null or b is null or c is null then null when a <= 2 and b <= 2 and c <= 2 then 'remain high' when a >= 4 and b >= 4 and c >= 4 then 'remain low'
@@ -106,12 +106,12 @@ def _(p):
     return d.select("symbol", "date", cx.transition_label([F.col("k"), F.col("k1"), F.col("k2")], ["rank1", "rank2"], ["rank4", "rank5"]).alias("label"))
 
 
-@query("x9_quantiles_per_date", _sql(_F + f", q as ({_bins('x', 'date', 'f', True)})\nselect symbol, date, bin from q", "px_month"))
+@query("x9_quantiles_per_date", with_views(_F + f", q as ({_bins('x', 'date', 'f', True)})\nselect symbol, date, bin from q", "px_month"))
 def _(p):
     return cx.binned(_f(p), "x", 5, ["date"], whole=True).select("symbol", "date", "bin")
 
 
-@query("x10_sector_scores", _sql(_F + f", g as (select f.*, sector from f join sectors using (symbol)), r as ({_robust('x', 'date, sector', 'g', 2)})\nselect symbol, date, {_round('z', 'z', 5)}, cast(rank() over (partition by date, sector order by x desc nulls last) as integer) as sector_rank from r", "px_month", "sectors"))
+@query("x10_sector_scores", with_views(_F + f", g as (select f.*, sector from f join sectors using (symbol)), r as ({_robust('x', 'date, sector', 'g', 2)})\nselect symbol, date, {_round('z', 'z', 5)}, cast(rank() over (partition by date, sector order by x desc nulls last) as integer) as sector_rank from r", "px_month", "sectors"))
 def _(p):
     return cx.sector_scores(_fs(p), "x").select("symbol", "date", rounded("z", 5).alias("z"), "sector_rank")
 
@@ -119,19 +119,19 @@ def _(p):
 _SR = "s as (select sector, avg(x) as v from f join sectors using (symbol) group by sector)"
 
 
-@query("x11_top_bottom", _sql(_F + f", {_SR}\nselect 'top' as side, cast(row_number() over (order by v desc, sector) as integer) as place, sector as name, {_round('v', 'value')} from s qualify place <= 3 union all select 'bottom', cast(row_number() over (order by v, sector desc) as integer) as place, sector, {_round('v', 'value')} from s qualify place <= 3", "px_month", "sectors"))
+@query("x11_top_bottom", with_views(_F + f", {_SR}\nselect 'top' as side, cast(row_number() over (order by v desc, sector) as integer) as place, sector as name, {_round('v', 'value')} from s qualify place <= 3 union all select 'bottom', cast(row_number() over (order by v, sector desc) as integer) as place, sector, {_round('v', 'value')} from s qualify place <= 3", "px_month", "sectors"))
 def _(p):
     s = _fs(p).groupBy("sector").agg(F.avg("x").alias("v"))
     return cx.extremes(s, "sector", "v", 3).withColumn("value", rounded("value"))
 
 
-@query("x12_composite", _sql(f"a as ({_robust('discount', 'date', 'metrics', 1, 'z1')}), b as ({_robust('tax', 'date', '(select * exclude (m) from a)', 1, 'z2')}), c as ({_robust('quantity', 'date', '(select * exclude (m) from b)', 1, 'z3')})\nselect symbol, date, {_round('-0.5 * z1 + 0.3 * z2 + 0.2 * z3', 'score', 5)} from c", "metrics"))
+@query("x12_composite", with_views(f"a as ({_robust('discount', 'date', 'metrics', 1, 'z1')}), b as ({_robust('tax', 'date', '(select * exclude (m) from a)', 1, 'z2')}), c as ({_robust('quantity', 'date', '(select * exclude (m) from b)', 1, 'z3')})\nselect symbol, date, {_round('-0.5 * z1 + 0.3 * z2 + 0.2 * z3', 'score', 5)} from c", "metrics"))
 def _(p):
     d = cx.composite(p.metrics, {"discount": (0.5, True), "tax": (0.3, False), "quantity": (0.2, False)}, ["date"])
     return d.select("symbol", "date", rounded("score", 5).alias("score"))
 
 
-@query("x13_single_metric", with_views(f"select symbol, date, {_round('-discount', 'value')}, tax as quality, {_round('ln(1 + price)', 'size')} from metrics", "metrics").replace("tax as quality", "round(tax + 1e-8, 6) as quality"))
+@query("x13_single_metric", with_views(f"select symbol, date, {_round('-discount', 'value')}, {_round('tax', 'quality')}, {_round('ln(1 + price)', 'size')} from metrics", "metrics"))
 def _(p):
     return p.metrics.select("symbol", "date", rounded(-F.col("discount")).alias("value"), rounded("tax").alias("quality"), rounded(F.log1p("price")).alias("size"))
 
@@ -143,27 +143,27 @@ def _(p):
     return cx.active_return(r, b, ["date"]).select("symbol", "date", rounded("active").alias("active"))
 
 
-@query("x15_median_fill", _sql("g as (select symbol, date, sector, case when symbol % 3 <> 0 then discount end as x from metrics join sectors using (symbol))\nselect symbol, date, " + _round("coalesce(x, median(x) over (partition by date, sector), median(x) over (partition by date), 0.5)", "x") + " from g", "metrics", "sectors"))
+@query("x15_median_fill", with_views("g as (select symbol, date, sector, case when symbol % 3 <> 0 then discount end as x from metrics join sectors using (symbol))\nselect symbol, date, " + _round("coalesce(x, median(x) over (partition by date, sector), median(x) over (partition by date), 0.5)", "x") + " from g", "metrics", "sectors"))
 def _(p):
     g = p.metrics.join(p.sectors, "symbol").withColumn("x", F.when(F.col("symbol") % 3 != 0, F.col("discount")))
     return g.select("symbol", "date", rounded(cx.filled_by_median("x")).alias("x"))
 
 
-@query("x16_blended_score", _sql(f"k as (select symbol, date, {_PR.format(c='discount', k='date')} as a, {_PR.format(c='tax', k='date')} as b from metrics), s as (select symbol, date, round(0.6 * a + 0.4 * b + 1e-8, 6) as score from k), q as ({_bins('score', 'date', 's', True)})\nselect symbol, date, score, case when bin is not null then 'rank' || (6 - bin) end as label from q", "metrics"))
+@query("x16_blended_score", with_views(f"k as (select symbol, date, {_PR.format(c='discount', k='date')} as a, {_PR.format(c='tax', k='date')} as b from metrics), s as (select symbol, date, round(0.6 * a + 0.4 * b + 1e-8, 6) as score from k), q as ({_bins('score', 'date', 's', True)})\nselect symbol, date, score, case when bin is not null then 'rank' || (6 - bin) end as label from q", "metrics"))
 def _(p):
     a, b = percent_rank_average("discount", "date"), percent_rank_average("tax", "date")
     d = p.metrics.select("symbol", "date", rounded(0.6 * a + 0.4 * b).alias("score"))
     return cx.binned(d, "score", 5, ["date"], whole=True).select("symbol", "date", "score", cx.rank_labels(F.col("bin")).alias("label"))
 
 
-@query("x17_acceleration", _sql("g as (select symbol, date, quantity / nullif(lag(quantity, 3) over w, 0) - 1 as g from metrics window w as (partition by symbol order by date)), h as (select *, lag(g, 3) over (partition by symbol order by date) as g0 from g)\nselect symbol, date, " + _round("case when g is not null and g0 is not null then greatest(-3.0, least(3.0, (g - g0) / greatest(abs(g0), 0.01))) end", "relative") + ", " + _round("case when g is not null and g0 is not null then greatest(-3.0, least(3.0, g - g0)) end", "absolute") + " from h", "metrics"))
+@query("x17_acceleration", with_views("g as (select symbol, date, quantity / nullif(lag(quantity, 3) over w, 0) - 1 as g from metrics window w as (partition by symbol order by date)), h as (select *, lag(g, 3) over (partition by symbol order by date) as g0 from g)\nselect symbol, date, " + _round("case when g is not null and g0 is not null then greatest(-3.0, least(3.0, (g - g0) / greatest(abs(g0), 0.01))) end", "relative") + ", " + _round("case when g is not null and g0 is not null then greatest(-3.0, least(3.0, g - g0)) end", "absolute") + " from h", "metrics"))
 def _(p):
     g = p.metrics.select("symbol", "date", finite(change("quantity", 3, _w())).alias("g"))
     rel, abs_ = cx.acceleration(F.col("g"), F.lag("g", 3).over(_w()), 0.01, 3.0)
     return g.select("symbol", "date", rounded(rel).alias("relative"), rounded(abs_).alias("absolute"))
 
 
-@query("x18_rank_batch", _sql(_X6.format(k="date, variable", s="(select symbol, date, variable, value as x from facts)").lstrip(", ") + f", q as ({_bins('v', 'date, variable', 'w')})\nselect symbol, date, variable, {_round(_PR.format(c='v', k='date, variable'), 'pct_rank')}, bin as quintile, {_round('(v - avg(v) over (partition by date, variable)) / nullif(stddev_samp(v) over (partition by date, variable), 0)', 'z')} from q", "facts"))
+@query("x18_rank_batch", with_views(_X6.format(k="date, variable", s="(select symbol, date, variable, value as x from facts)").lstrip(", ") + f", q as ({_bins('v', 'date, variable', 'w')})\nselect symbol, date, variable, {_round(_PR.format(c='v', k='date, variable'), 'pct_rank')}, bin as quintile, {_round('(v - avg(v) over (partition by date, variable)) / nullif(stddev_samp(v) over (partition by date, variable), 0)', 'z')} from q", "facts"))
 def _(p):
     d = cx.rank_batch(p.facts)
     return d.select("symbol", "date", "variable", rounded("pct_rank").alias("pct_rank"), "quintile", rounded("z").alias("z"))
@@ -180,7 +180,7 @@ def _(p):
     return tx.top_per(p.table("documents"), ["source"], 5, F.desc("n_chars"), F.col("doc_id")).select("source", "doc_id", "place")
 
 
-@query("x21_best_record", "select * from (select conv_id, turn, role, row_number() over (partition by conv_id order by case when role = 'assistant' then 1 else 0 end desc, turn) as k from conversations) where k = 1".replace("select * from (", "select conv_id, turn, role from (", 1))
+@query("x21_best_record", "select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by case when role = 'assistant' then 1 else 0 end desc, turn) as k from conversations) where k = 1")
 def _(p):
     audited = (F.col("role") == "assistant").cast("int")
     return tx.top_per(p.table("conversations"), ["conv_id"], 1, audited.desc(), F.col("turn")).select("conv_id", "turn", "role")
@@ -191,12 +191,12 @@ def _(p):
     return p.table("events").orderBy(F.desc("ts"), F.desc("event_id")).limit(10).select("event_id", "event_type")
 
 
-@query("x23_double_sort", _sql(f"q as ({_bins('discount', 'date', 'metrics')}), r as (select symbol, date, discount, tax, bin as bin_a from q), t as ({_bins('tax', 'date, bin_a', 'r')})\nselect symbol, date, bin_a, bin as bin_b from t", "metrics"))
+@query("x23_double_sort", with_views(f"q as ({_bins('discount', 'date', 'metrics')}), r as (select symbol, date, discount, tax, bin as bin_a from q), t as ({_bins('tax', 'date, bin_a', 'r')})\nselect symbol, date, bin_a, bin as bin_b from t", "metrics"))
 def _(p):
     return cx.double_sort(p.metrics, "discount", "tax", 5, conditional=True).select("symbol", "date", "bin_a", "bin_b")
 
 
-@query("x23_persistence", _sql(f"q as ({_bins('discount', 'date', 'metrics')}), r as (select symbol, bin, lead(bin) over (partition by symbol order by date) as nxt from q)\nselect bin, count(*) as n, {_round('avg(case when bin = nxt then 1.0 else 0 end)', 'kept')} from r where bin is not null and nxt is not null group by bin", "metrics"))
+@query("x23_persistence", with_views(f"q as ({_bins('discount', 'date', 'metrics')}), r as (select symbol, bin, lead(bin) over (partition by symbol order by date) as nxt from q)\nselect bin, count(*) as n, {_round('avg(case when bin = nxt then 1.0 else 0 end)', 'kept')} from r where bin is not null and nxt is not null group by bin", "metrics"))
 def _(p):
     return cx.rank_persistence(p.metrics, "discount").withColumn("kept", rounded("kept"))
 
@@ -213,24 +213,24 @@ def _stocks(p):
     return s, b
 
 
-@query("b1_largest_remainder", _sql(_STOCKS + _COUNTS + "\nselect sector, n from e", "metrics", "sectors"))
+@query("b1_largest_remainder", with_views(_STOCKS + _COUNTS + "\nselect sector, n from e", "metrics", "sectors"))
 def _(p):
     return pf.sector_counts(*_stocks(p), 20).select("sector", "n")
 
 
-@query("b2_score_weights", _sql(_STOCKS + _COUNTS + _BUILD + f"\nselect symbol, sector, {_round('w', 'weight')} from h", "metrics", "sectors"))
+@query("b2_score_weights", with_views(_STOCKS + _COUNTS + _BUILD + f"\nselect symbol, sector, {_round('w', 'weight')} from h", "metrics", "sectors"))
 def _(p):
     return pf.build(*_stocks(p), 20).select("symbol", "sector", rounded("weight").alias("weight"))
 
 
-@query("b3_sector_allocation", _sql(_STOCKS + _COUNTS + _BUILD + f"\nselect h.sector, {_round('max(weight)', 'benchmark')}, {_round('sum(w)', 'actual')}, count(*) as n from h join b using (sector) group by h.sector", "metrics", "sectors"))
+@query("b3_sector_allocation", with_views(_STOCKS + _COUNTS + _BUILD + f"\nselect h.sector, {_round('max(weight)', 'benchmark')}, {_round('sum(w)', 'actual')}, count(*) as n from h join b using (sector) group by h.sector", "metrics", "sectors"))
 def _(p):
     s, b = _stocks(p)
     a = pf.allocations(pf.build(s, b, 20), b)
     return a.select("sector", rounded("benchmark").alias("benchmark"), rounded("actual").alias("actual"), "n")
 
 
-@query("b4_equal_weight", _sql(_STOCKS + f"\nselect symbol, sector, {_round('1.0 / count(*) over ()', 'weight')} from k where score > 0.5", "metrics", "sectors"))
+@query("b4_equal_weight", with_views(_STOCKS + f"\nselect symbol, sector, {_round('1.0 / count(*) over ()', 'weight')} from k where score > 0.5", "metrics", "sectors"))
 def _(p):
     return pf.equal_weight(_stocks(p)[0], 0.5).select("symbol", "sector", rounded("weight").alias("weight"))
 
@@ -238,7 +238,7 @@ def _(p):
 _EVAL = "j as (select r.symbol, r.date, r.r, b.b from ret_day r join bret_day b on r.date = b.date where r.r is not null and b.b is not null)"
 
 
-@query("b5_evaluation", _sql(_EVAL + f", l as (select *, exp(sum(ln(1 + r)) over (partition by symbol order by date)) as level from j), d as (select *, level / max(level) over (partition by symbol order by date) - 1 as dd from l)\nselect symbol, {_round('avg(r) / stddev_samp(r) * sqrt(252)', 'sharpe')}, {_round('min(dd)', 'max_drawdown', 5)}, {_round('covar_samp(r, b) / var_samp(b)', 'beta')}, {_round('avg(r - b) / stddev_samp(r - b) * sqrt(252)', 'information_ratio')}, {_round('max_by(level, date) - 1', 'cumulative', 5)} from d group by symbol", "ret_day", "bret_day"))
+@query("b5_evaluation", with_views(_EVAL + f", l as (select *, exp(sum(ln(1 + r)) over (partition by symbol order by date)) as level from j), d as (select *, level / max(level) over (partition by symbol order by date) - 1 as dd from l)\nselect symbol, {_round('avg(r) / stddev_samp(r) * sqrt(252)', 'sharpe')}, {_round('min(dd)', 'max_drawdown', 5)}, {_round('covar_samp(r, b) / var_samp(b)', 'beta')}, {_round('avg(r - b) / stddev_samp(r - b) * sqrt(252)', 'information_ratio')}, {_round('max_by(level, date) - 1', 'cumulative', 5)} from d group by symbol", "ret_day", "bret_day"))
 def _(p):
     from ..operators import stats as st
 
@@ -258,7 +258,7 @@ def _(p):
     return pf.universe(h).withColumn("weight", rounded("weight"))
 
 
-@query("l1_orthogonalise", _sql("j as (select r.symbol, r.date, r.r, b.b from ret_day r join bret_day b on r.date = b.date), k as (select symbol, regr_slope(r, b) as s, regr_intercept(r, b) as i from j where r is not null and b is not null group by symbol)\nselect j.symbol, date, " + _round("r - i - s * b", "residual") + " from j join k using (symbol)", "ret_day", "bret_day"))
+@query("l1_orthogonalise", with_views("j as (select r.symbol, r.date, r.r, b.b from ret_day r join bret_day b on r.date = b.date), k as (select symbol, regr_slope(r, b) as s, regr_intercept(r, b) as i from j where r is not null and b is not null group by symbol)\nselect j.symbol, date, " + _round("r - i - s * b", "residual") + " from j join k using (symbol)", "ret_day", "bret_day"))
 def _(p):
     return ln.residual(_pairs(p), "r", "b", ["symbol"]).select("symbol", "date", rounded("residual").alias("residual"))
 
@@ -284,7 +284,7 @@ def _(p):
     return moved.select("date", *ln.Components(moved, _TENORS, 3).transform(["level", "slope", "curvature"]))
 
 
-@query("l4_macro_shocks", _sql("a as (select date, max(case when symbol = '1-URGENT' then close end) - max(case when symbol = '5-LOW' then close end) as spread, max(case when symbol = '3-MEDIUM' then close end) as be from px_day group by date), b as (select * from a where spread is not null and be is not null)\nselect date, " + _round("spread - lag(spread) over (order by date)", "credit", 4) + ", " + _round("be - lag(be) over (order by date)", "inflation", 4) + " from b", "px_day"))
+@query("l4_macro_shocks", with_views("a as (select date, max(case when symbol = '1-URGENT' then close end) - max(case when symbol = '5-LOW' then close end) as spread, max(case when symbol = '3-MEDIUM' then close end) as be from px_day group by date), b as (select * from a where spread is not null and be is not null)\nselect date, " + _round("spread - lag(spread) over (order by date)", "credit", 4) + ", " + _round("be - lag(be) over (order by date)", "inflation", 4) + " from b", "px_day"))
 def _(p):
     d = _curve(p).select("date", (F.col("p1") - F.col("p5")).alias("spread"), F.col("p3").alias("be")).dropna()
     w = by(order="date")
@@ -299,7 +299,7 @@ def _(p):
     return ln.macro_factors(c, _TENORS, series)
 
 
-@query("l6_curve_state", _sql("a as (select date, max(case when symbol = '1-URGENT' then close end) - max(case when symbol = '5-LOW' then close end) as s from px_day group by date)\nselect date, " + _round("s / 10000", "spread", 4) + ", case when s is null then null when s / 10000 < 0 then 'inverted' when s / 10000 < 0.2 then 'flat' when s / 10000 > 1 then 'steep' else 'normal' end as state from a", "px_day"))
+@query("l6_curve_state", with_views("a as (select date, max(case when symbol = '1-URGENT' then close end) - max(case when symbol = '5-LOW' then close end) as s from px_day group by date)\nselect date, " + _round("s / 10000", "spread", 4) + ", case when s is null then null when s / 10000 < 0 then 'inverted' when s / 10000 < 0.2 then 'flat' when s / 10000 > 1 then 'steep' else 'normal' end as state from a", "px_day"))
 def _(p):
     s = (F.col("p1") - F.col("p5")) / 10000
     return _curve(p).select("date", rounded(s, 4).alias("spread"), ln.curve_state(s).alias("state"))
@@ -316,7 +316,7 @@ def _(p):
 
 @query(
     "x24_registered_factors",
-    _sql(
+    with_views(
         "r as (select symbol, date, close, close / nullif(lag(close) over w, 0) - 1 as r from px_month window w as (partition by symbol order by date))\n"
         f"select symbol, date, 'momentum_12_1' as factor, {_round('lag(close, 1) over w / nullif(lag(close, 12) over w, 0) - 1', 'value')} from r window w as (partition by symbol order by date)\n"
         f"union all select symbol, date, 'reversal_1', {_round('-r', 'value')} from r\n"

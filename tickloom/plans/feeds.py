@@ -13,7 +13,7 @@ from ..sources import feeds as fd
 from ..sources import tables as tb
 from ..sources.panels import with_views
 from ..streaming import incremental as inc
-from .aggregates import _round, _sql
+from .aggregates import _round
 from .registry import query
 
 def _w():
@@ -36,7 +36,7 @@ def _(p):
     return p.table("pages").select("page_id", tx.normalise_url("url").alias("url"))
 
 
-@query("f2_title_similarity", with_views(", t as (select item_id, list_distinct(list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda x: x <> '')) as ws from items), n as (select *, lead(ws) over (order by item_id) as nx from t)\nselect item_id, case when nx is null then null when len(ws) = 0 or len(nx) = 0 then 0 else round(len(list_intersect(ws, nx)) / len(list_distinct(list_concat(ws, nx)))::double + 1e-8, 6) end as similarity from n", "items").replace("\n, t", ",\nt", 1))
+@query("f2_title_similarity", with_views(", t as (select item_id, list_distinct(list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda x: x <> '')) as ws from items), n as (select *, lead(ws) over (order by item_id) as nx from t)\nselect item_id, case when nx is null then null when len(ws) = 0 or len(nx) = 0 then 0 else round(len(list_intersect(ws, nx)) / len(list_distinct(list_concat(ws, nx)))::double + 1e-8, 6) end as similarity from n", "items"))
 def _(p):
     other = p.items.select((F.col("item_id") - 1).alias("item_id"), F.col("title").alias("following"))
     d = p.items.join(other, "item_id", "left")
@@ -166,7 +166,7 @@ def _(p):
     return p.table("customer").select("c_custkey", tx.cache_key(F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")).alias("key"))
 
 
-@query("f19_company_arithmetic", with_views("select symbol, date, " + ", ".join([_round("quantity / (quantity + 100) * 0.08 + 100 / (quantity + 100) * 0.04 * 0.7", "wacc"), _round("(discount - tax) * quantity", "profit", 4), _round("(price - lag(price, 3) over w) / nullif(quantity - lag(quantity, 3) over w, 0)", "incremental", 3), _round("discount * price / nullif(tax, 0)", "dupont", 4), _round("case when count(quantity) over w12 >= 12 then sum(quantity) over w12 end", "capitalised", 2)]) + " from metrics window w as (partition by symbol order by date), w12 as (partition by symbol order by date rows between 11 preceding and current row)", "metrics").replace("discount * price / nullif(tax, 0)", "discount / nullif(price, 0) * (price / nullif(quantity, 0)) * (quantity / nullif(tax, 0))"))
+@query("f19_company_arithmetic", with_views("select symbol, date, " + ", ".join([_round("quantity / (quantity + 100) * 0.08 + 100 / (quantity + 100) * 0.04 * 0.7", "wacc"), _round("(discount - tax) * quantity", "profit", 4), _round("(price - lag(price, 3) over w) / nullif(quantity - lag(quantity, 3) over w, 0)", "incremental", 3), _round("discount / nullif(price, 0) * (price / nullif(quantity, 0)) * (quantity / nullif(tax, 0))", "dupont", 4), _round("case when count(quantity) over w12 >= 12 then sum(quantity) over w12 end", "capitalised", 2)]) + " from metrics window w as (partition by symbol order by date), w12 as (partition by symbol order by date rows between 11 preceding and current row)", "metrics"))
 def _(p):
     c = F.col
     w = fu.wacc(c("quantity"), F.lit(100.0), F.lit(0.08), F.lit(0.04), F.lit(0.3))
@@ -180,14 +180,14 @@ def _(p):
 _REGIME = "g as (select date, bench, case when bench > (select median(bench) from bench_month) then 'high' else 'low' end as level, lag(bench, 12) over (order by date) as back from bench_month), h as (select date, level || '_' || case when bench > back then 'rising' else 'falling' end as regime from g where back is not null)"
 
 
-@query("f20_regimes", _sql(_REGIME + f"\nselect regime, count(r) as n, {_round('avg(r)', 'mean')}, {_round('stddev_samp(r)', 'std')} from ret_month join h using (date) group by regime", "bench_month", "ret_month"))
+@query("f20_regimes", with_views(_REGIME + f"\nselect regime, count(r) as n, {_round('avg(r)', 'mean')}, {_round('stddev_samp(r)', 'std')} from ret_month join h using (date) group by regime", "bench_month", "ret_month"))
 def _(p):
     r = p.px_month.select("symbol", "date", change("close", 1, _w()).alias("r"))
     g = fu.by_regime(r, fu.regimes(p.bench_month, "bench"))
     return g.select("regime", "n", rounded("mean").alias("mean"), rounded("std").alias("std"))
 
 
-@query("f21_history_percentile", _sql("x as (select *, max_by(close, date) over (partition by symbol) as now from px_month)\nselect symbol, " + _round("max(now)", "now", 4) + ", " + _round("case when count(close) > 10 then avg(case when close < now then 1.0 else 0 end) * 100 end", "percentile") + " from x group by symbol", "px_month"))
+@query("f21_history_percentile", with_views("x as (select *, max_by(close, date) over (partition by symbol) as now from px_month)\nselect symbol, " + _round("max(now)", "now", 4) + ", " + _round("case when count(close) > 10 then avg(case when close < now then 1.0 else 0 end) * 100 end", "percentile") + " from x group by symbol", "px_month"))
 def _(p):
     h = fu.history_percentile(p.px_month, "close", ["symbol"])
     return h.select("symbol", rounded("now", 4).alias("now"), rounded("percentile").alias("percentile"))

@@ -193,7 +193,7 @@ def _(p):
     return p.table("customer").select("c_custkey", clip("c_acctbal", 0.0, 5000.0).alias("balance"))
 
 
-@query("p14_check_weights", with_views(", w as (select symbol, close / sum(close) over () as weight from px_day where date = date '1996-01-02')\nselect count(*) filter (where weight < 0 or weight > 1) as outside, abs(sum(weight) - 1) <= 1e-6 as sums_to_one from w", "px_day").replace("\n, w", ",\nw", 1))
+@query("p14_check_weights", with_views(", w as (select symbol, close / sum(close) over () as weight from px_day where date = date '1996-01-02')\nselect count(*) filter (where weight < 0 or weight > 1) as outside, abs(sum(weight) - 1) <= 1e-6 as sums_to_one from w", "px_day"))
 def _(p):
     day = p.px_day.where(F.col("date") == "1996-01-02")
     total = day.agg(F.sum("close").alias("total"))
@@ -230,7 +230,7 @@ def _two(p):
 
 
 def _filled_sql(how: str) -> str:
-    return with_views(_TWO.strip("\n") + f"\nselect date, round(last_value(x ignore nulls) over (order by date rows unbounded preceding) + 1e-6, 4) as x, round(last_value(y ignore nulls) over (order by date rows unbounded preceding) + 1e-6, 4) as y from a {how} join b using (date)", "px_day").replace("\n,\n", ",\n", 1)
+    return with_views(_TWO + f"\nselect date, round(last_value(x ignore nulls) over (order by date rows unbounded preceding) + 1e-6, 4) as x, round(last_value(y ignore nulls) over (order by date rows unbounded preceding) + 1e-6, 4) as y from a {how} join b using (date)", "px_day")
 
 
 @query("j4_outer_filled", _filled_sql("full"))
@@ -270,7 +270,7 @@ def _(p):
     return p.px_month.join(p.sectors.where("sector <> 'ASIA'"), "symbol").select("symbol", "date", "sector")
 
 
-@query("j10_densify", with_views("select symbol, date, round(close + 1e-6, 4) as close from (select distinct symbol from px_month), (select distinct date from px_month) left join px_month using (symbol, date)", "px_month").replace("(select distinct symbol from px_month), (select distinct date from px_month) left join", "(select symbol, date from (select distinct symbol from px_month), (select distinct date from px_month)) left join"))
+@query("j10_densify", with_views("select symbol, date, round(close + 1e-6, 4) as close from (select symbol, date from (select distinct symbol from px_month), (select distinct date from px_month)) left join px_month using (symbol, date)", "px_month"))
 def _(p):
     return ind.densify(p.px_month, p.px_month.select("date").distinct()).select("symbol", "date", rounded("close", 4).alias("close"))
 
@@ -286,9 +286,9 @@ def _(p):
         """,
 t as (select item_id, link, list_distinct(list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda x: x <> '')) as ws from items)
 select a.item_id, min(b.item_id) as first from t a join t b on (a.link = b.link or len(list_intersect(a.ws, b.ws)) >= 0.85 * len(list_distinct(list_concat(a.ws, b.ws))) and len(a.ws) > 0)
-group by a.item_id""".lstrip("\n"),
+group by a.item_id""",
         "items",
-    ).replace("\n,\n", ",\n", 1),
+    ),
 )
 def _(p):
     return jn.first_similar(p.items, p.items)
@@ -312,7 +312,7 @@ def _(p):
     return f.join(q, "k", "left_anti").withColumn("side", F.lit("only_f")).unionByName(f.join(q, "k", "left_semi").withColumn("side", F.lit("both")))
 
 
-@query("u4_missing_months", with_views(", g as (select symbol, last_day(unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), interval 1 month))::date) as date from px_month group by symbol)\nselect symbol, date from g where (symbol, date) not in (select symbol, date from px_month)", "px_month").replace("\n, g", ",\ng", 1))
+@query("u4_missing_months", with_views(", g as (select symbol, last_day(unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), interval 1 month))::date) as date from px_month group by symbol)\nselect symbol, date from g where (symbol, date) not in (select symbol, date from px_month)", "px_month"))
 def _(p):
     span = p.px_month.groupBy("symbol").agg(F.trunc(F.min("date"), "month").alias("a"), F.trunc(F.max("date"), "month").alias("b"))
     grid = span.select("symbol", F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m")).select("symbol", F.last_day("m").alias("date"))
@@ -340,7 +340,7 @@ def _(p):
     return tb.upsert(old, new, ["date"]).withColumn("bench", rounded("bench", 4))
 
 
-@query("u8_resample_week", with_views(", x as (select symbol, date + cast(((7 - isodow(date)) % 7) as integer) as week, date, close from px_day)\nselect symbol, week, round(max_by(close, date) + 1e-6, 4) as close from x group by 1, 2", "px_day").replace("\n, x", ",\nx", 1))
+@query("u8_resample_week", with_views(", x as (select symbol, date + cast(((7 - isodow(date)) % 7) as integer) as week, date, close from px_day)\nselect symbol, week, round(max_by(close, date) + 1e-6, 4) as close from x group by 1, 2", "px_day"))
 def _(p):
     """Last value of each week, labelled by its Sunday."""
     sunday = F.date_add("date", 6 - F.weekday("date"))

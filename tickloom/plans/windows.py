@@ -28,7 +28,7 @@ def _(p):
     return p.px_month.select("symbol", "date", rounded(ind.sma("close", _w(), 3)).alias("sma_3"), rounded(ind.sma("close", _w(), 12)).alias("sma_12"))
 
 
-@query("w2_ema", with_views("select a.symbol, a.date, round(sum(b.close * pow(1 - 2.0/13, a.i - b.i)) / sum(pow(1 - 2.0/13, a.i - b.i)) + 1e-6, 4) as ema from n a join n b on a.symbol = b.symbol and b.i <= a.i group by a.symbol, a.date", "px_month").replace("\nselect a.symbol", ",\nn as (select *, row_number() over (partition by symbol order by date) as i from px_month)\nselect a.symbol", 1))
+@query("w2_ema", with_views("n as (select *, row_number() over (partition by symbol order by date) as i from px_month)\nselect a.symbol, a.date, round(sum(b.close * pow(1 - 2.0/13, a.i - b.i)) / sum(pow(1 - 2.0/13, a.i - b.i)) + 1e-6, 4) as ema from n a join n b on a.symbol = b.symbol and b.i <= a.i group by a.symbol, a.date", "px_month"))
 def _(p):
     return ind.ema(p.px_month, "close", 12, adjust=True).select("symbol", "date", rounded("ema", 4).alias("ema"))
 
@@ -64,13 +64,13 @@ def _fold(source: str, column: str, span: int, first: int) -> str:
 @query(
     "w6_rsi",
     with_views(
-        _D.lstrip(",\n").join([",\n", ""])
+        _D
         + f"""g as (select a.symbol, a.date, a.i, {_fold('d', 'up', 14, 2)} as up, {_fold('d', 'down', 14, 2)} as down
         from d a join (select symbol, i, greatest(x, 0) as up, greatest(-x, 0) as down from d) b on a.symbol = b.symbol and b.i <= a.i and b.i >= 2 group by a.symbol, a.date, a.i)
         select p.symbol, p.date, round(case when g.i > 14 then case when down = 0 then 100.0 else 100 - 100 / (1 + up / down) end end + 1e-6, 4) as rsi
         from px_month p left join g on p.symbol = g.symbol and p.date = g.date""",
         "px_month",
-    ).replace("\n,\n", ",\n", 1),
+    ),
 )
 def _(p):
     return ind.rsi(p.px_month, "close", 14).select("symbol", "date", rounded("rsi", 4).alias("rsi"))
@@ -85,7 +85,7 @@ l as (select a.symbol, a.date, a.i, case when a.i >= 26 then {_fold('n', 'close'
 s as (select a.symbol, a.date, a.macd, case when a.i >= 34 then (select {_fold('l', 'macd', 9, 26)} from l b where b.symbol = a.symbol and b.i <= a.i and b.i >= 26) end as signal from l a)
 select symbol, date, round(macd + 1e-6, 4) as macd, round(signal + 1e-6, 4) as signal, round(macd - signal + 1e-6, 4) as histogram from s""",
         "px_month",
-    ).replace("\n, n as", ",\nn as", 1),
+    ),
 )
 def _(p):
     return ind.macd(p.px_month).select("symbol", "date", *[rounded(c, 4).alias(c) for c in ("macd", "signal", "histogram")])
@@ -110,12 +110,12 @@ def _pairs(p):
     return r.join(b, "date")
 
 
-@query("w9_rolling_corr", (with_views(_PAIR + f"select symbol, date, round({_CORR} + 1e-6, 4) as corr_60 from j window f as (partition by symbol order by date rows between 59 preceding and current row)", *_PAIR_VIEWS)).replace("\n, j as", ",\nj as", 1))
+@query("w9_rolling_corr", (with_views(_PAIR + f"select symbol, date, round({_CORR} + 1e-6, 4) as corr_60 from j window f as (partition by symbol order by date rows between 59 preceding and current row)", *_PAIR_VIEWS)))
 def _(p):
     return _pairs(p).select("symbol", "date", rounded(ind.rolling_correlation("r", "b", _w(), 60, 20), 4).alias("corr_60"))
 
 
-@query("w10_rolling_beta", with_views(_PAIR + "select symbol, date, round(case when count(case when r is not null and b is not null then 1 end) over f >= 20 and count(b) over f >= 20 then covar_samp(r, b) over f / nullif(var_samp(b) over f, 0) end + 1e-6, 4) as beta_60 from j window f as (partition by symbol order by date rows between 59 preceding and current row)", *_PAIR_VIEWS).replace("\n, j as", ",\nj as", 1))
+@query("w10_rolling_beta", with_views(_PAIR + "select symbol, date, round(case when count(case when r is not null and b is not null then 1 end) over f >= 20 and count(b) over f >= 20 then covar_samp(r, b) over f / nullif(var_samp(b) over f, 0) end + 1e-6, 4) as beta_60 from j window f as (partition by symbol order by date rows between 59 preceding and current row)", *_PAIR_VIEWS))
 def _(p):
     return _pairs(p).select("symbol", "date", rounded(ind.rolling_beta("r", "b", _w(), 60, 20), 4).alias("beta_60"))
 
@@ -142,18 +142,18 @@ def _dense(p):
     return grid.select("symbol", "date", filled("close", _w()).alias("padded"))
 
 
-@query("w13_reversal", with_views(_DENSE.strip("\n") + "\nselect symbol, date, round(-(padded / nullif(lag(padded, 3) over w, 0) - 1) + 1e-8, 6) as reversal from dense " + _frame(), "px_month").replace("\n,\n", ",\n", 1))
+@query("w13_reversal", with_views(_DENSE + "\nselect symbol, date, round(-(padded / nullif(lag(padded, 3) over w, 0) - 1) + 1e-8, 6) as reversal from dense " + _frame(), "px_month"))
 def _(p):
     return _dense(p).select("symbol", "date", rounded(-change("padded", 3, _w())).alias("reversal"))
 
 
-@query("w14_volatility_factor", with_views(_DENSE.strip("\n") + f", pr as (select symbol, date, padded / nullif(lag(padded) over (partition by symbol order by date), 0) - 1 as r from dense)\nselect symbol, date, round({_win('r', 'stddev_samp(r)', 12)} * sqrt(252.0) + 1e-8, 6) as vol from pr {_frame(12)}", "px_month").replace("\n,\n", ",\n", 1))
+@query("w14_volatility_factor", with_views(_DENSE + f", pr as (select symbol, date, padded / nullif(lag(padded) over (partition by symbol order by date), 0) - 1 as r from dense)\nselect symbol, date, round({_win('r', 'stddev_samp(r)', 12)} * sqrt(252.0) + 1e-8, 6) as vol from pr {_frame(12)}", "px_month"))
 def _(p):
     r = _dense(p).withColumn("r", change("padded", 1, _w()))
     return r.select("symbol", "date", rounded(ind.rolling_volatility("r", _w(), 12)).alias("vol"))
 
 
-@query("w15_multi_horizon", with_views(_DENSE.strip("\n") + "\nselect symbol, date, round((padded / nullif(lag(padded, 3) over w, 0) - 1) * 4 + 1e-8, 6) as past_3m, round((padded / nullif(lag(padded, 12) over w, 0) - 1) * 1 + 1e-8, 6) as past_12m, round((lead(padded, 3) over w / nullif(padded, 0) - 1) * 4 + 1e-8, 6) as forward_3m from dense " + _frame(), "px_month").replace("\n,\n", ",\n", 1))
+@query("w15_multi_horizon", with_views(_DENSE + "\nselect symbol, date, round((padded / nullif(lag(padded, 3) over w, 0) - 1) * 4 + 1e-8, 6) as past_3m, round((padded / nullif(lag(padded, 12) over w, 0) - 1) * 1 + 1e-8, 6) as past_12m, round((lead(padded, 3) over w / nullif(padded, 0) - 1) * 4 + 1e-8, 6) as forward_3m from dense " + _frame(), "px_month"))
 def _(p):
     d = _dense(p)
     forward = safe_div(F.lead("padded", 3).over(_w()), "padded") - 1
@@ -165,7 +165,7 @@ def _(p):
     return p.px_month.select("symbol", "date", rounded(F.lead("close", 1).over(_w()), 4).alias("next_close"), rounded(safe_div(F.lead("close", 3).over(_w()), "close") - 1).alias("forward"))
 
 
-@query("w17_annualise", with_views(", x as (select symbol, date, close / nullif(lag(close, 3) over (partition by symbol order by date), 0) - 1 as r from px_month)\nselect symbol, date, round(r * 4 + 1e-8, 6) as simple, round(pow(1 + r, 4) - 1 + 1e-8, 6) as compound from x", "px_month").replace("\n, x as", ",\nx as", 1))
+@query("w17_annualise", with_views(", x as (select symbol, date, close / nullif(lag(close, 3) over (partition by symbol order by date), 0) - 1 as r from px_month)\nselect symbol, date, round(r * 4 + 1e-8, 6) as simple, round(pow(1 + r, 4) - 1 + 1e-8, 6) as compound from x", "px_month"))
 def _(p):
     r = p.px_month.withColumn("r", ind.simple_return("close", _w(), 3))
     return r.select("symbol", "date", rounded(ind.annualised("r", 3)).alias("simple"), rounded(ind.annualised("r", 3, True)).alias("compound"))
@@ -196,7 +196,7 @@ f as (select symbol, month, close from g left join m using (symbol, month))
 """
 
 
-@query("w21_interval_returns", with_views(_MONTHS.strip("\n") + "\nselect symbol, month, " + ", ".join(f"round(close / nullif(lag(close, {n}) over w, 0) - 1 + 1e-8, 6) as ret_{n}m" for n in (1, 3, 6, 12, 36, 60)) + " from f window w as (partition by symbol order by month)", "px_day").replace("\n,\n", ",\n", 1))
+@query("w21_interval_returns", with_views(_MONTHS + "\nselect symbol, month, " + ", ".join(f"round(close / nullif(lag(close, {n}) over w, 0) - 1 + 1e-8, 6) as ret_{n}m" for n in (1, 3, 6, 12, 36, 60)) + " from f window w as (partition by symbol order by month)", "px_day"))
 def _(p):
     return ret.interval_returns(p.px_day, (1, 3, 6, 12, 36, 60), rounded)
 
@@ -209,7 +209,7 @@ x as (select symbol, max(last) as last, max(case when k = 1 then close end) as n
 """
 
 
-@query("w22_period_table", with_views(_PERIODS.strip("\n") + "\nselect symbol, " + ", ".join(f"round(now / nullif({c}, 0) - 1 + 1e-8, 6) as {n}" for n, c in (("ret_1d", "d1"), ("ret_5d", "d5"), ("ret_21d", "d21"), ("ret_mtd", "mtd"), ("ret_ytd", "ytd"), ("ret_tuesday", "tue"))) + " from x", "px_day").replace("\n,\n", ",\n", 1))
+@query("w22_period_table", with_views(_PERIODS + "\nselect symbol, " + ", ".join(f"round(now / nullif({c}, 0) - 1 + 1e-8, 6) as {n}" for n, c in (("ret_1d", "d1"), ("ret_5d", "d5"), ("ret_21d", "d21"), ("ret_mtd", "mtd"), ("ret_ytd", "ytd"), ("ret_tuesday", "tue"))) + " from x", "px_day"))
 def _(p):
     return ret.period_table(p.px_day, rounded)
 
@@ -221,9 +221,9 @@ def _(p):
 e as (select *, max(date) over (partition by symbol) as last from px_day)
 select symbol, round(max_by(close, date) / nullif(max_by(close, date) filter (where date < date_trunc('month', last)), 0) - 1 + 1e-8, 6) as mtd,
        round(max_by(close, date) / nullif(max_by(close, date) filter (where date < date_trunc('year', last)), 0) - 1 + 1e-8, 6) as ytd,
-       round(ln(max_by(close, date) / nullif(max_by(close, date) filter (where date < date_trunc('year', last)), 0)) + 1e-8, 6) as ytd_log from e group by symbol""".lstrip("\n"),
+       round(ln(max_by(close, date) / nullif(max_by(close, date) filter (where date < date_trunc('year', last)), 0)) + 1e-8, 6) as ytd_log from e group by symbol""",
         "px_day",
-    ).replace("\n,\n", ",\n", 1),
+    ),
 )
 def _(p):
     return ret.since_previous_end(p.px_day, rounded)
@@ -241,7 +241,7 @@ def _(p):
     return p.px_month.select("symbol", "date", rounded(safe_div("close", first) - 1).alias("cumulative"), rounded(safe_div("close", first) * 100, 4).alias("rebased"))
 
 
-@query("w26_forward_fill", with_views(_DENSE.strip("\n") + "\nselect symbol, date, round(padded + 1e-6, 4) as close from dense", "px_month").replace("\n,\n", ",\n", 1))
+@query("w26_forward_fill", with_views(_DENSE + "\nselect symbol, date, round(padded + 1e-6, 4) as close from dense", "px_month"))
 def _(p):
     return _dense(p).select("symbol", "date", rounded("padded", 4).alias("close"))
 
@@ -252,9 +252,9 @@ def _(p):
         f""",
 n as (select *, row_number() over (partition by symbol order by date) as i from px_month),
 e as (select a.symbol, a.date, max(a.close) as close, {_fold('n', 'close', 30, 1)} as ewm from n a join n b on a.symbol = b.symbol and b.i <= a.i group by a.symbol, a.date)
-select symbol, date, round(ewm + 1e-6, 4) as ewm, round(close - ewm + 1e-6, 4) as spread, round(avg(close) over (partition by symbol) + 1e-6, 4) as mean from e""".lstrip("\n"),
+select symbol, date, round(ewm + 1e-6, 4) as ewm, round(close - ewm + 1e-6, 4) as spread, round(avg(close) over (partition by symbol) + 1e-6, 4) as mean from e""",
         "px_month",
-    ).replace("\n,\n", ",\n", 1),
+    ),
 )
 def _(p):
     e = ind.ema(p.px_month, "close", 30, adjust=False, out="ewm")
@@ -275,9 +275,9 @@ def _(p):
         """,
 l as (select symbol, date, close as y0, lag(close, 1) over w as y1, lag(close, 2) over w as y2, lag(close, 3) over w as y3 from px_month window w as (partition by symbol order by date)),
 u as (select symbol, date, 0 as x, y0 as y from l union all select symbol, date, -1, y1 from l union all select symbol, date, -2, y2 from l union all select symbol, date, -3, y3 from l)
-select symbol, date, round(case when count(y) >= 2 then regr_slope(y, x) end + 1e-6, 4) as slope from u group by symbol, date""".lstrip("\n"),
+select symbol, date, round(case when count(y) >= 2 then regr_slope(y, x) end + 1e-6, 4) as slope from u group by symbol, date""",
         "px_month",
-    ).replace("\n,\n", ",\n", 1),
+    ),
 )
 def _(p):
     return ret.lag_slope(p.px_month, "close", 4, lambda c: rounded(c, 4))

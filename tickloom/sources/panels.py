@@ -104,10 +104,13 @@ _NEEDS = {"facts": ["metrics"], "ret_month": ["px_month"], "ret_day": ["px_day"]
 
 
 def with_views(body: str, *names: str) -> str:
-    """body with the named views (and those they need) in front; body may begin with ', name as (...)'."""
+    """body with the named views (and those they need) in front; body is a select, or further table expressions
+    (`name as (...), ...`) and a select."""
     order: list[str] = []
     for n in names:
         for x in [*_NEEDS.get(n, []), n]:
             if x not in order:
                 order.append(x)
-    return "with " + ",\n".join(SQL[n] for n in order) + "\n" + body
+    body = body.strip().removeprefix(",").strip()
+    more = "" if body.startswith("select") else ","
+    return "with " + ",\n".join(SQL[n] for n in order) + f"{more}\n{body}"
