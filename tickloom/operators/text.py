@@ -6,37 +6,72 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Query parameters that only track (a trailing _ marks a prefix).
-TRACKING = ("utm_", "guce_", "ncid", "fbclid", "gclid", "ref", "source", "campaign", "si", "mc_cid", "mc_eid", "sref", "taid", "mod", "cmpid")
+TRACKING = (
+    "utm_", "guce_", "ncid", "fbclid", "gclid", "ref", "source", "campaign", "si", "mc_cid", "mc_eid", "sref", "taid", "mod", "cmpid",
+)
 
 # News categories in order of precedence, with their key words.
 CATEGORIES = {
-    "index": "s&p 500|s&p500|sp500|nasdaq|dow jones|djia|russell 2000|russell2000|vix|日経平均|日経225|nikkei|topix|ftse|dax|stoxx|cac 40|stock index|株価指数|指数",
-    "mag7": "apple|aapl|iphone|アップル|microsoft|msft|azure|マイクロソフト|google|googl|goog|alphabet|グーグル|amazon|amzn|aws|アマゾン|nvidia|nvda|エヌビディア|meta platforms|meta|facebook|メタ|tesla|tsla|テスラ",
-    "macro": "fed|federal reserve|fomc|boj|ecb|日銀|中央銀行|interest rate|金利|利上げ|利下げ|rate cut|rate hike|inflation|cpi|インフレ|物価|gdp|economic growth|recession|景気|employment|unemployment|payroll|non-farm|nonfarm|jobless|雇用|失業率|treasury|yield|国債|債券",
-    "sector": "technology sector|tech sector|energy sector|healthcare sector|healthcare stocks|financial sector|financials|consumer discretionary|consumer staples|industrials|materials|utilities|real estate|pharmaceutical|sector rotation|sector performance|セクター|業種",
-    "theme": "artificial intelligence|ai investment|ai stocks|generative ai|人工知能|生成ai|semiconductor|chip|半導体|electric vehicle|ev|電気自動車|renewable energy|clean energy|solar|wind power|再生可能エネルギー|クリーンエネルギー|blockchain|cryptocurrency|quantum computing|space economy|cybersecurity",
+    "index": [
+        "s&p 500", "s&p500", "sp500", "nasdaq", "dow jones", "djia", "russell 2000", "russell2000", "vix", "日経平均", "日経225", "nikkei",
+        "topix", "ftse", "dax", "stoxx", "cac 40", "stock index", "株価指数", "指数",
+    ],
+    "mag7": [
+        "apple", "aapl", "iphone", "アップル", "microsoft", "msft", "azure", "マイクロソフト", "google", "googl", "goog", "alphabet", "グーグル",
+        "amazon", "amzn", "aws", "アマゾン", "nvidia", "nvda", "エヌビディア", "meta platforms", "meta", "facebook", "メタ", "tesla", "tsla", "テスラ",
+    ],
+    "macro": [
+        "fed", "federal reserve", "fomc", "boj", "ecb", "日銀", "中央銀行", "interest rate", "金利", "利上げ", "利下げ", "rate cut", "rate hike",
+        "inflation", "cpi", "インフレ", "物価", "gdp", "economic growth", "recession", "景気", "employment", "unemployment", "payroll", "non-farm",
+        "nonfarm", "jobless", "雇用", "失業率", "treasury", "yield", "国債", "債券",
+    ],
+    "sector": [
+        "technology sector", "tech sector", "energy sector", "healthcare sector", "healthcare stocks", "financial sector", "financials",
+        "consumer discretionary", "consumer staples", "industrials", "materials", "utilities", "real estate", "pharmaceutical",
+        "sector rotation", "sector performance", "セクター", "業種",
+    ],
+    "theme": [
+        "artificial intelligence", "ai investment", "ai stocks", "generative ai", "人工知能", "生成ai", "semiconductor", "chip", "半導体",
+        "electric vehicle", "ev", "電気自動車", "renewable energy", "clean energy", "solar", "wind power", "再生可能エネルギー", "クリーンエネルギー",
+        "blockchain", "cryptocurrency", "quantum computing", "space economy", "cybersecurity",
+    ],
 }
 
 # Phrases of a paywall.
-PAYWALL = (
-    "subscribe to continue|sign in to read|premium content|members only|paywall|unlock this article|start your free trial|already a subscriber|create an account to read|"
-    "有料会員限定|続きを読むには|ログインして|会員登録が必要|月額|プレミアム記事|有料プラン"
-)
+PAYWALL = [
+    "subscribe to continue", "sign in to read", "premium content", "members only", "paywall", "unlock this article",
+    "start your free trial", "already a subscriber", "create an account to read", "有料会員限定", "続きを読むには", "ログインして", "会員登録が必要", "月額",
+    "プレミアム記事", "有料プラン",
+]
 
 # Exchange codes and ticker suffixes.
-EXCHANGES = (
-    "US: UW: UN: UA: UR: UF: LN:.L QM:.L VX:.L FP:.PA GY:.DE GR:.DE NA:.AS SW:.SW IM:.MI SM:.MC SS:.ST DC:.CO NO:.OL FH:.HE BB:.BR PL:.LS CN:.TO CT:.TO BZ:.SA MM:.MX "
-    "JT:.T HK:.HK AT:.AX AU:.AX SP:.SI KS:.KS IN:.NS IJ:.JK TT:.TW PM:.PS TB:.BK MK:.KL SJ:.JO QD:.QA TI:.IS RM:.ME"
-)
+EXCHANGES = {
+    "US": "", "UW": "", "UN": "", "UA": "", "UR": "", "UF": "", "LN": ".L", "QM": ".L", "VX": ".L", "FP": ".PA", "GY": ".DE", "GR": ".DE",
+    "NA": ".AS", "SW": ".SW", "IM": ".MI", "SM": ".MC", "SS": ".ST", "DC": ".CO", "NO": ".OL", "FH": ".HE", "BB": ".BR", "PL": ".LS",
+    "CN": ".TO", "CT": ".TO", "BZ": ".SA", "MM": ".MX", "JT": ".T", "HK": ".HK", "AT": ".AX", "AU": ".AX", "SP": ".SI", "KS": ".KS",
+    "IN": ".NS", "IJ": ".JK", "TT": ".TW", "PM": ".PS", "TB": ".BK", "MK": ".KL", "SJ": ".JO", "QD": ".QA", "TI": ".IS", "RM": ".ME",
+}
 
 # Key words of the kinds of moat, first match wins.
 MOATS = {
-    "brand_power": "ブランド|brand|認知|awareness|ロイヤルティ|loyalty",
-    "switching_cost": "スイッチング|switching|移行コスト|ロックイン|lock-in|粘着",
-    "network_effect": "ネットワーク効果|network effect|エコシステム|ecosystem|プラットフォーム|platform",
-    "cost_advantage": "コスト優位|cost advantage|規模の経済|economies of scale|ベンダー交渉|密度",
-    "intangible_assets": "特許|patent|ライセンス|license|技術力|ノウハウ|know-how|買収",
-    "efficient_scale": "効率的規模|efficient scale|参入障壁|barrier",
+    "brand_power": [
+        "ブランド", "brand", "認知", "awareness", "ロイヤルティ", "loyalty",
+    ],
+    "switching_cost": [
+        "スイッチング", "switching", "移行コスト", "ロックイン", "lock-in", "粘着",
+    ],
+    "network_effect": [
+        "ネットワーク効果", "network effect", "エコシステム", "ecosystem", "プラットフォーム", "platform",
+    ],
+    "cost_advantage": [
+        "コスト優位", "cost advantage", "規模の経済", "economies of scale", "ベンダー交渉", "密度",
+    ],
+    "intangible_assets": [
+        "特許", "patent", "ライセンス", "license", "技術力", "ノウハウ", "know-how", "買収",
+    ],
+    "efficient_scale": [
+        "効率的規模", "efficient scale", "参入障壁", "barrier",
+    ],
 }
 
 
@@ -80,11 +115,11 @@ def title_similarity(a: Column | str, b: Column | str) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1)))
 
 
-def _hits(text: Column, words: str) -> Column:
-    return F.size(F.filter(F.array(*[F.lit(w) for w in words.split("|")]), lambda w: F.contains(text, w)))
+def _hits(text: Column, words: list[str]) -> Column:
+    return F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w)))
 
 
-def categorise(text: Column, categories: dict[str, str] | None = None) -> Column:
+def categorise(text: Column, categories: dict[str, list[str]] | None = None) -> Column:
     """(category, confidence) of the first category with a key word in the lower-cased text; a quarter a key word, at
     most 1; 'other' and 0 without any."""
     low = F.lower(F.coalesce(text, F.lit("")))
@@ -145,7 +180,7 @@ def convert_ticker(ticker: Column | str, overrides: dict[str, str] | None = None
     """'7203 JT Equity' to '7203.T'; overrides first; unknown exchanges and other forms stay as they are (trimmed)."""
     t = F.trim(F.col(ticker) if isinstance(ticker, str) else ticker)
     parts = F.split(t, r"\s+")
-    suffix = F.create_map(*[F.lit(x) for pair in EXCHANGES.split(" ") for x in pair.split(":")])
+    suffix = F.create_map(*[F.lit(x) for pair in EXCHANGES.items() for x in pair])
     found = F.element_at(suffix, F.upper(F.get(parts, F.lit(1))))
     out = F.when((F.size(parts) >= 2) & found.isNotNull(), F.concat(F.get(parts, F.lit(0)), found)).otherwise(t)
     for k, v in (overrides or {}).items():

@@ -48,8 +48,8 @@ def _(p):
     return p.table("pages").select("page_id", tx.domain("url").alias("domain"))
 
 
-def _hits_sql(text: str, words: str) -> str:
-    return "len(list_filter([" + ", ".join("'" + w.replace("'", "''") + "'" for w in words.split("|")) + f"], lambda w: contains({text}, w)))"
+def _hits_sql(text: str, words: list[str]) -> str:
+    return "len(list_filter([" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + f"], lambda w: contains({text}, w)))"
 
 
 def _category_sql() -> str:
