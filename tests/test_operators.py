@@ -120,7 +120,12 @@ def test_densify_has_every_pair(spark):
 
 
 def test_short_series_has_no_signal(spark):
-    assert column(returns.signals(series(spark, [1, 2, 3]), 2, 4, 1, 0.0), "trend") == [None] * 3
+    d = returns.signals(series(spark, [1, 2, 3]), 2, 4, 1, period=3)
+    assert column(d, "trend") == [None] * 3
+    assert column(d, "rsi_signal") == [0.0] * 3
+    d = returns.signals(series(spark, [5, 4, 3, 2, 1, 9]), 2, 3, 2, period=2)
+    assert column(d, "trend") == [0.0, 0.0, -1.0, -1.0, -1.0, 1.0]
+    assert column(d, "rsi_signal")[2:] == [1.0, 1.0, 1.0, -1.0]
 
 
 # cross-section
@@ -419,8 +424,9 @@ def test_json_with_trailing_commas(spark):
 
 
 def test_regimes_need_history(spark):
-    d = fundamentals.regimes(series(spark, [1, 2, 3, 4]).select("date", "close"), "close", 2)
-    assert column(d, "trend") == [None, None, "rising", "rising"]
+    d = fundamentals.regimes(series(spark, [1, 2, 3, 0]).select("date", "close"), "close", 2)
+    assert column(d, "regime") == ["Unknown", "Unknown", "High & Rising", "Low & Falling"]
+    assert column(d, "trend") == ["Falling", "Rising", "Rising", "Falling"]
 
 
 def test_registry_and_chain(spark):

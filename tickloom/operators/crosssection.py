@@ -100,11 +100,17 @@ def active_return(df: DataFrame, bench: DataFrame, on: list[str], r: str = "r",
     return df.join(bench, on, "left").withColumn("active", F.col(r) - F.col(b))
 
 
-def acceleration(now: Column, before: Column, floor: Column | float, limit: float) -> tuple[Column, Column]:
-    """(relative, absolute) change of a growth rate: relative over at least `floor`, both clipped to +/- limit."""
+def acceleration(recent: Column, trend: Column, floor: Column | float, limit: float) -> tuple[Column, Column]:
+    """(relative, absolute) gap of recent growth to trend growth: relative to the trend, at least `floor`, clipped to
+    +/- limit; the absolute gap is not clipped."""
     floor = floor if isinstance(floor, Column) else F.lit(floor)
-    diff = now - before
-    return clip(safe_div(diff, F.greatest(F.abs(before), floor)), -limit, limit), clip(diff, -limit, limit)
+    gap = recent - trend
+    return clip(safe_div(gap, F.greatest(F.abs(trend), floor)), -limit, limit), gap
+
+
+def smallest_scale(df: DataFrame, c: str, share: float = 0.05) -> DataFrame:
+    """One row: the given quantile of the absolute values, as the floor of acceleration()."""
+    return df.agg(F.percentile(F.abs(c), F.lit(share)).alias("floor"))
 
 
 def rank_batch(facts: DataFrame) -> DataFrame:

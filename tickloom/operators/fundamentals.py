@@ -33,18 +33,23 @@ def capitalised(spend: str, w: WindowSpec, n: int = 60) -> Column:
 
 
 def regimes(df: DataFrame, value: str, n: int = 12) -> DataFrame:
-    """df(date, value) with level (above or below the median), trend (above or below the value n rows before) and
-    regime, both joined."""
+    """df(date, value) with three readings: level (High above the median, else Low), trend (Rising above the mean of the
+    last n rows, else Falling) and regime, the level joined with the direction of the change over n rows, Unknown without
+    one."""
     middle = df.agg(F.median(value).alias("__m"))
-    back = F.lag(value, n).over(by(order="date"))
-    d = df.join(F.broadcast(middle)).withColumn("level", F.when(F.col(value) > F.col("__m"), "high").otherwise("low"))
-    d = d.withColumn("trend", F.when(back.isNull(), None).when(F.col(value) > back, "rising").otherwise("falling"))
-    return d.withColumn("regime", F.concat_ws("_", "level", "trend")).drop("__m")
-
-
-def by_regime(returns: DataFrame, regime: DataFrame, r: str = "r") -> DataFrame:
-    j = returns.join(regime, "date").where(F.col("trend").isNotNull())
-    return j.groupBy("regime").agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.stddev_samp(r).alias("std"))
+    w = by(order="date")
+    moved = F.col(value) - F.lag(value, n).over(w)
+    mean = rolling(F.avg(value), value, w, n)
+    d = df.join(F.broadcast(middle)).withColumn("level", F.when(F.col(value) > F.col("__m"), "High").otherwise("Low"))
+    d = d.withColumn("trend", F.when(F.col(value) > mean, "Rising").otherwise("Falling"))
+    way = F.when(moved > 0, " & Rising").when(moved <= 0, " & Falling")
+    return d.withColumn("regime", F.coalesce(F.concat("level", way), F.lit("Unknown"))).drop("__m")
+
+
+def by_regime(returns: DataFrame, regime: DataFrame, r: str = "r", periods: int = 12) -> DataFrame:
+    """(regime, n, annual, volatility, sharpe) of the returns on the regime's dates."""
+    g = returns.join(regime, "date").groupBy("regime").agg(F.count(r).alias("n"), (F.avg(r) * periods).alias("annual"), (F.stddev_samp(r) * periods**0.5).alias("volatility"))
+    return g.withColumn("sharpe", F.when(F.col("volatility") > 0, F.col("annual") / F.nullif("volatility", F.lit(0.0))))
 
 
 def history_percentile(df: DataFrame, value: str, keys: list[str], least: int = 10) -> DataFrame:

@@ -76,8 +76,8 @@ def covariance(df: DataFrame, columns: list[str]) -> tuple[list[float], list[lis
 
 
 class Components:
-    """Principal components of complete rows. Signs: the first has a positive sum of loadings, the second rises from
-    the first column to the last, the third has its ends above its middle; later ones start positive."""
+    """Principal components of complete rows. Signs: the first has a positive sum of loadings, the second a positive last
+    loading, the third a positive middle one; later ones stay as they come."""
 
     def __init__(self, df: DataFrame, columns: list[str], n: int):
         import numpy as np
@@ -89,9 +89,7 @@ class Components:
         self.loadings = vectors[:, order].T
         self.explained = (values[order] / max(values.sum(), 1e-300)).tolist()
         for i, v in enumerate(self.loadings):
-            mid = v[len(v) // 2]
-            test = (v.sum(), v[-1] - v[0], (v[0] + v[-1]) / 2 - mid, v[0])[min(i, 3)]
-            if test < 0:
+            if i < 3 and (v.sum(), v[-1], v[len(v) // 2])[i] < 0:
                 self.loadings[i] = -v
 
     def transform(self, names: list[str]) -> list[Column]:
@@ -109,7 +107,7 @@ def differences(df: DataFrame, columns: list[str], order: str = "date") -> DataF
 
 
 def curve_state(spread: Column, flat: float = 0.2, steep: float = 1.0) -> Column:
-    return F.when(spread.isNull(), None).when(spread < 0, "inverted").when(spread < flat, "flat").when(spread > steep, "steep").otherwise("normal")
+    return F.when(spread.isNull(), None).when(spread < 0, "inverted").when(spread >= steep, "steep").when(spread <= flat, "flat").otherwise("normal")
 
 
 def macro_factors(yields: DataFrame, tenors: list[str], series: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_col, by, change, safe_div
-from .indicators import log_return, simple_return, sma
+from ..functions.columns import as_col, by, change, filled, safe_div
+from .indicators import log_return, rsi, sma
 
 
 def margin_delta(c: str, w: WindowSpec, n: int, per_year: int = 12) -> Column:
@@ -75,14 +75,19 @@ def since_previous_end(df: DataFrame, shape: Callable[[Column], Column] = lambda
     return g.select("symbol", shape(safe_div("now", "m") - 1).alias("mtd"), shape(year - 1).alias("ytd"), shape(F.ln(year)).alias("ytd_log"))
 
 
-def signals(df: DataFrame, fast: int, slow: int, back: int, band: float) -> DataFrame:
-    """Trend by moving averages and momentum by a band, as 1, 0, -1; a series shorter than the slow window has none."""
+def signals(df: DataFrame, fast: int, slow: int, lookback: int, period: int = 14, overbought: float = 70.0, oversold: float = 30.0) -> DataFrame:
+    """(symbol, date, trend, momentum, rsi_signal): trend is 1 or -1 by the moving averages and 0 where they are equal or
+    missing; momentum the padded return over `lookback` rows; the strength signal 1 when oversold, -1 when overbought,
+    else 0. A series shorter than a signal's window has none of it."""
     w = by("symbol", order="date")
-    d = df.select("symbol", "date", sma("close", w, fast).alias("f"), sma("close", w, slow).alias("s"), simple_return("close", w, back).alias("m"), F.count("*").over(by("symbol")).alias("n"))
-    f, s, m = F.col("f"), F.col("s"), F.col("m")
-    trend = F.when((F.col("n") < slow) | f.isNull() | s.isNull(), None).when(f > s, 1).when(f < s, -1).otherwise(0)
-    momentum = F.when(m.isNull(), None).when(m > band, 1).when(m < -band, -1).otherwise(0)
-    return d.select("symbol", "date", trend.cast("int").alias("trend"), momentum.cast("int").alias("momentum"))
+    n = F.count("*").over(by("symbol"))
+    d = df.select("symbol", "date", "close", n.alias("n"), filled("close", w).alias("padded"))
+    d = d.select("*", sma("close", w, fast).alias("f"), sma("close", w, slow).alias("s"), change("padded", lookback, w).alias("m"))
+    d = rsi(d, "close", period)
+    n, f, s = F.col("n"), F.col("f"), F.col("s")
+    trend = F.when(n < slow, None).when(f > s, 1.0).when(f < s, -1.0).otherwise(0.0)
+    strength = F.when(n < period, None).when(F.col("rsi") < oversold, 1.0).when(F.col("rsi") > overbought, -1.0).otherwise(0.0)
+    return d.select("symbol", "date", trend.alias("trend"), F.when(n >= lookback, F.col("m")).alias("momentum"), strength.alias("rsi_signal"))
 
 
 def lag_slope(df: DataFrame, c: str, n: int, shape: Callable[[Column], Column] = lambda x: x) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_col, average_rank, kurtosis, safe_div, skewness
+from ..functions.columns import as_col, average_rank, by, change, kurtosis, safe_div, skewness
 
 EPSILON = 1e-15
 #: Quantiles of the standard normal distribution for the usual confidence levels.
@@ -241,17 +241,21 @@ def claim_scores(claims: DataFrame, boost: float = 0.10, bar: float = 0.7) -> Da
     return g.select("ticker", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s") / F.col("w"))).alias("score"), "claims", (F.col("t") / F.col("w")).alias("structural"))
 
 
-def price_summary(df: DataFrame, keys: list[str], band: float = 2.0) -> DataFrame:
+def price_summary(df: DataFrame, keys: list[str], band: float = 10.0, calm: float = 3.0) -> DataFrame:
+    """Range, mean, deviation, change from first to last; trend beyond a band; volatile if more than 20 prices have
+    changes that deviate by more than `calm` percent."""
+    df = df.withColumn("__r", change("close", 1, by(*keys, order="date")))
     first, last = F.min_by("close", "date"), F.max_by("close", "date")
     pct = safe_div(last - first, first) * 100
-    g = df.groupBy(*keys).agg(F.min("close").alias("low"), F.max("close").alias("high"), F.avg("close").alias("mean"), F.stddev_samp("close").alias("std"), (last - first).alias("change"), pct.alias("pct"))
-    return g.withColumn("trend", F.when(F.col("pct") > band, "up").when(F.col("pct") < -band, "down").otherwise("flat"))
+    g = df.groupBy(*keys).agg(F.min("close").alias("low"), F.max("close").alias("high"), F.avg("close").alias("mean"), F.stddev_samp("close").alias("std"), (last - first).alias("change"), pct.alias("pct"), ((F.count("close") > 20) & (F.coalesce(F.stddev_samp("__r"), F.lit(0.0)) * 100 > calm)).alias("volatile"))
+    return g.withColumn("trend", F.when(F.col("pct") > band, "up").when(F.col("pct") < -band, "down").otherwise("stable"))
 
 
 def top_share(df: DataFrame, c: str, share: float, tie: str) -> DataFrame:
-    """The best ceil(share * n) rows by c. The count is an aggregate; the cut is a sort with a limit."""
+    """The best round(share * n) rows by c, at least one (halves to even). The count is an aggregate; the cut is a sort
+    with a limit."""
     n = df.where(F.col(c).isNotNull()).count()
-    return df.where(F.col(c).isNotNull()).orderBy(F.desc(c), tie).limit(max(1, math.ceil(n * share)))
+    return df.where(F.col(c).isNotNull()).orderBy(F.desc(c), tie).limit(max(1, round(n * share)))
 
 
 def hit_rate(df: DataFrame, a: str, b: str, key: str, share: float = 0.2) -> DataFrame:

@@ -144,9 +144,9 @@ def clean_lines(text: Column | str) -> Column:
 
 
 def collapse(text: Column | str) -> Column:
-    """Runs of blanks to one, three and more line feeds to two, trimmed."""
+    """Runs of white space within a line to one blank, three and more line feeds to two, trimmed."""
     text = F.col(text) if isinstance(text, str) else text
-    t = F.regexp_replace(F.regexp_replace(text, "[ \t]+", " "), "\n{3,}", "\n\n")
+    t = F.regexp_replace(F.regexp_replace(text, "[^\\S\n]+", " "), "\n{3,}", "\n\n")
     return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 

@@ -261,16 +261,16 @@ def _(p):
     return p.table("events").groupBy(F.col("event_type").alias("phase")).agg(F.count("*").alias("calls"), rounded(F.sum("value"), 4).alias("cost"), rounded(F.avg("value"), 4).alias("mean"))
 
 
-@query("a29_price_summary", with_views(f"g as (select symbol, min(close) as low, max(close) as high, avg(close) as mean, stddev_samp(close) as std, max_by(close, date) - min_by(close, date) as change, (max_by(close, date) - min_by(close, date)) / min_by(close, date) * 100 as pct from px_month group by symbol)\nselect symbol, {', '.join(_round(c, c, 4) for c in ('low', 'high', 'mean', 'std', 'change', 'pct'))}, case when pct > 2 then 'up' when pct < -2 then 'down' else 'flat' end as trend from g", "px_month"))
+@query("a29_price_summary", with_views(f"g as (select symbol, min(close) as low, max(close) as high, avg(close) as mean, stddev_samp(close) as std, max_by(close, date) - min_by(close, date) as change, (max_by(close, date) - min_by(close, date)) / min_by(close, date) * 100 as pct, count(close) > 20 and coalesce(stddev_samp(r), 0) * 100 > 3 as volatile from ret_month group by symbol)\nselect symbol, {', '.join(_round(c, c, 4) for c in ('low', 'high', 'mean', 'std', 'change', 'pct'))}, case when pct > 10 then 'up' when pct < -10 then 'down' else 'stable' end as trend, volatile from g", "ret_month"))
 def _(p):
     s = st.price_summary(p.px_month, ["symbol"])
-    return s.select("symbol", *[rounded(c, 4).alias(c) for c in ("low", "high", "mean", "std", "change", "pct")], "trend")
+    return s.select("symbol", *[rounded(c, 4).alias(c) for c in ("low", "high", "mean", "std", "change", "pct")], "trend", "volatile")
 
 
 _LAST = "x as (select symbol, avg(discount) as a, sum(quantity) as b from metrics group by symbol)"
 
 
-@query("a30_hit_rate", with_views(_LAST + ", n as (select cast(ceil(count(*) * 0.2) as bigint) as n from x), t as (select symbol, row_number() over (order by a desc, symbol) as ka, row_number() over (order by b desc, symbol) as kb from x)\nselect count(*) as n, count(*) filter (where kb <= (select n from n)) as hits, round(count(*) filter (where kb <= (select n from n)) / count(*)::double + 1e-8, 6) as rate from t where ka <= (select n from n)", "metrics"))
+@query("a30_hit_rate", with_views(_LAST + ", n as (select greatest(1, cast(round_even(count(*) * 0.2, 0) as bigint)) as n from x), t as (select symbol, row_number() over (order by a desc, symbol) as ka, row_number() over (order by b desc, symbol) as kb from x)\nselect count(*) as n, count(*) filter (where kb <= (select n from n)) as hits, round(count(*) filter (where kb <= (select n from n)) / count(*)::double + 1e-8, 6) as rate from t where ka <= (select n from n)", "metrics"))
 def _(p):
     d = p.metrics.groupBy("symbol").agg(F.avg("discount").alias("a"), F.sum("quantity").alias("b"))
     return st.hit_rate(d, "a", "b", "symbol").withColumn("rate", rounded("rate"))

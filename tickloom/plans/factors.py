@@ -156,11 +156,13 @@ def _(p):
     return cx.binned(d, "score", 5, ["date"], whole=True).select("symbol", "date", "score", cx.rank_labels(F.col("bin")).alias("label"))
 
 
-@query("x17_acceleration", with_views("g as (select symbol, date, quantity / nullif(lag(quantity, 3) over w, 0) - 1 as g from metrics window w as (partition by symbol order by date)), h as (select *, lag(g, 3) over (partition by symbol order by date) as g0 from g)\nselect symbol, date, " + _round("case when g is not null and g0 is not null then greatest(-3.0, least(3.0, (g - g0) / greatest(abs(g0), 0.01))) end", "relative") + ", " + _round("case when g is not null and g0 is not null then greatest(-3.0, least(3.0, g - g0)) end", "absolute") + " from h", "metrics"))
+@query("x17_acceleration", with_views("g as (select symbol, date, quantity / nullif(lag(quantity, 12) over w, 0) - 1 as yoy, case when lag(quantity, 36) over w > 0 then pow(quantity / lag(quantity, 36) over w, 1.0 / 3) - 1 end as cagr from metrics window w as (partition by symbol order by date)), e as (select quantile_cont(abs(cagr), 0.05) as floor from g)\nselect symbol, date, " + _round("case when yoy is not null and cagr is not null then greatest(-5.0, least(5.0, (yoy - cagr) / greatest(abs(cagr), floor))) end", "relative", 4) + ", " + _round("yoy - cagr", "absolute") + " from g, e", "metrics"))
 def _(p):
-    g = p.metrics.select("symbol", "date", finite(change("quantity", 3, _w())).alias("g"))
-    rel, abs_ = cx.acceleration(F.col("g"), F.lag("g", 3).over(_w()), 0.01, 3.0)
-    return g.select("symbol", "date", rounded(rel).alias("relative"), rounded(abs_).alias("absolute"))
+    w = _w()
+    g = p.metrics.select("symbol", "date", finite(change("quantity", 12, w)).alias("yoy"), ind.cagr("quantity", w, 3).alias("cagr"))
+    g = g.join(F.broadcast(cx.smallest_scale(g, "cagr")))
+    rel, gap = cx.acceleration(F.col("yoy"), F.col("cagr"), F.col("floor"), 5.0)
+    return g.select("symbol", "date", rounded(rel, 4).alias("relative"), rounded(gap).alias("absolute"))
 
 
 @query("x18_rank_batch", with_views(_X6.format(k="date, variable", s="(select symbol, date, variable, value as x from facts)").lstrip(", ") + f", q as ({_bins('v', 'date, variable', 'w')})\nselect symbol, date, variable, {_round(_PR.format(c='v', k='date, variable'), 'pct_rank')}, bin as quintile, {_round('(v - avg(v) over (partition by date, variable)) / nullif(stddev_samp(v) over (partition by date, variable), 0)', 'z')} from q", "facts"))
@@ -299,7 +301,7 @@ def _(p):
     return ln.macro_factors(c, _TENORS, series)
 
 
-@query("l6_curve_state", with_views("a as (select date, max(case when symbol = '1-URGENT' then close end) - max(case when symbol = '5-LOW' then close end) as s from px_day group by date)\nselect date, " + _round("s / 10000", "spread", 4) + ", case when s is null then null when s / 10000 < 0 then 'inverted' when s / 10000 < 0.2 then 'flat' when s / 10000 > 1 then 'steep' else 'normal' end as state from a", "px_day"))
+@query("l6_curve_state", with_views("a as (select date, max(case when symbol = '1-URGENT' then close end) - max(case when symbol = '5-LOW' then close end) as s from px_day group by date)\nselect date, " + _round("s / 10000", "spread", 4) + ", case when s is null then null when s / 10000 < 0 then 'inverted' when s / 10000 >= 1 then 'steep' when s / 10000 <= 0.2 then 'flat' else 'normal' end as state from a", "px_day"))
 def _(p):
     s = (F.col("p1") - F.col("p5")) / 10000
     return _curve(p).select("date", rounded(s, 4).alias("spread"), ln.curve_state(s).alias("state"))

@@ -74,7 +74,7 @@ def _(p):
     return fd.article_texts(p.table("pages"), "page_id", "html")
 
 
-@query("f7_collapse", "select doc_id, length(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) as chars, strlen(text) > 10000 as large from documents")
+@query("f7_collapse", "select doc_id, length(regexp_replace(regexp_replace(regexp_replace(text, '[^\\S\\n]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) as chars, strlen(text) > 10000 as large from documents")
 def _(p):
     return p.table("documents").select("doc_id", F.length(tx.collapse("text")).cast("long").alias("chars"), (F.octet_length("text") > 10000).alias("large"))
 
@@ -177,14 +177,14 @@ def _(p):
     )
 
 
-_REGIME = "g as (select date, bench, case when bench > (select median(bench) from bench_month) then 'high' else 'low' end as level, lag(bench, 12) over (order by date) as back from bench_month), h as (select date, level || '_' || case when bench > back then 'rising' else 'falling' end as regime from g where back is not null)"
+_REGIME = "g as (select date, case when bench > (select median(bench) from bench_month) then 'High' else 'Low' end as level, bench - lag(bench, 12) over (order by date) as moved from bench_month), h as (select date, coalesce(level || case when moved > 0 then ' & Rising' when moved <= 0 then ' & Falling' end, 'Unknown') as regime from g)"
 
 
-@query("f20_regimes", with_views(_REGIME + f"\nselect regime, count(r) as n, {_round('avg(r)', 'mean')}, {_round('stddev_samp(r)', 'std')} from ret_month join h using (date) group by regime", "bench_month", "ret_month"))
+@query("f20_regimes", with_views(_REGIME + f"\nselect regime, count(r) as n, {_round('avg(r) * 12', 'annual')}, {_round('stddev_samp(r) * sqrt(12)', 'volatility')}, {_round('avg(r) * 12 / (stddev_samp(r) * sqrt(12))', 'sharpe')} from ret_month join h using (date) group by regime", "bench_month", "ret_month"))
 def _(p):
     r = p.px_month.select("symbol", "date", change("close", 1, _w()).alias("r"))
     g = fu.by_regime(r, fu.regimes(p.bench_month, "bench"))
-    return g.select("regime", "n", rounded("mean").alias("mean"), rounded("std").alias("std"))
+    return g.select("regime", "n", *[rounded(c).alias(c) for c in ("annual", "volatility", "sharpe")])
 
 
 @query("f21_history_percentile", with_views("x as (select *, max_by(close, date) over (partition by symbol) as now from px_month)\nselect symbol, " + _round("max(now)", "now", 4) + ", " + _round("case when count(close) > 10 then avg(case when close < now then 1.0 else 0 end) * 100 end", "percentile") + " from x group by symbol", "px_month"))

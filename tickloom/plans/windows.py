@@ -261,12 +261,21 @@ def _(p):
     return e.select("symbol", "date", rounded("ewm", 4).alias("ewm"), rounded(F.col("close") - F.col("ewm"), 4).alias("spread"), rounded(F.avg("close").over(by("symbol")), 4).alias("mean"))
 
 
-_SIG = f"select symbol, date, {_win('close', 'avg(close)', 3)} as fast, {_win('close', 'avg(close)', 12)} as slow, close / nullif(lag(close, 6) over w, 0) - 1 as mom, count(*) over (partition by symbol) as n from px_month {_frame(3, 12)}"
-
-
-@query("w28_signals", with_views(f"select symbol, date, case when n < 12 or fast is null or slow is null then null when fast > slow then 1 when fast < slow then -1 else 0 end as trend, case when mom is null then null when mom > 0.02 then 1 when mom < -0.02 then -1 else 0 end as momentum from ({_SIG})", "px_month"))
+@query(
+    "w28_signals",
+    with_views(
+        _D
+        + f"""g as (select a.symbol, a.date, a.i, {_fold('d', 'up', 14, 2)} as up, {_fold('d', 'down', 14, 2)} as down
+        from d a join (select symbol, i, greatest(x, 0) as up, greatest(-x, 0) as down from d) b on a.symbol = b.symbol and b.i <= a.i and b.i >= 2 group by a.symbol, a.date, a.i),
+        r as (select symbol, date, case when i > 14 then case when down = 0 then 100.0 else 100 - 100 / (1 + up / down) end end as rsi from g),
+        s as (select symbol, date, {_win('close', 'avg(close)', 3)} as fast, {_win('close', 'avg(close)', 12)} as slow, close / nullif(lag(close, 6) over w, 0) - 1 as m, count(*) over (partition by symbol) as n from px_month {_frame(3, 12)})
+        select s.symbol, s.date, case when n < 12 then null when fast > slow then 1.0 when fast < slow then -1.0 else 0.0 end::double as trend, round(m + 1e-8, 6) as momentum,
+               case when n < 14 then null when rsi < 30 then 1.0 when rsi > 70 then -1.0 else 0.0 end::double as rsi_signal from s left join r on s.symbol = r.symbol and s.date = r.date""",
+        "px_month",
+    ),
+)
 def _(p):
-    return ret.signals(p.px_month, 3, 12, 6, 0.02)
+    return ret.signals(p.px_month, 3, 12, 6).withColumn("momentum", rounded("momentum"))
 
 
 @query(
