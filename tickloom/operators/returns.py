@@ -43,7 +43,8 @@ def interval_returns(df: DataFrame, spans: tuple[int, ...], shape: Callable[[Col
 
 def period_table(df: DataFrame, shape: Callable[[Column], Column] = lambda c: c, rows: tuple[int, ...] = (1, 5, 21)) -> DataFrame:
     """Latest return over n rows, and since the first price inside the month, the year, and the six days before the
-    latest date's weekday count (the previous Tuesday rule)."""
+    latest date's weekday count (the previous Tuesday rule). Rows without a price don't count."""
+    df = df.where("close is not null")
     last = F.max("date").over(by("symbol"))
     back = F.row_number().over(by("symbol").orderBy(F.desc("date")))
     d = df.withColumn("k", back).withColumn("last", last)
@@ -64,8 +65,8 @@ def period_table(df: DataFrame, shape: Callable[[Column], Column] = lambda c: c,
 
 
 def since_previous_end(df: DataFrame, shape: Callable[[Column], Column] = lambda c: c) -> DataFrame:
-    """Return from the last price of the previous month and year, simple and as a log."""
-    d = df.withColumn("last", F.max("date").over(by("symbol")))
+    """Return from the last price of the previous month and year, simple and as a log. Rows without a price don't count."""
+    d = df.where("close is not null").withColumn("last", F.max("date").over(by("symbol")))
 
     def end_before(unit: str) -> Column:
         return F.max_by("close", F.when(F.col("date") < F.trunc("last", unit), F.col("date")))
