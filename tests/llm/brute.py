@@ -58,6 +58,7 @@ def quality(text):
     }
     f["base_failed"] = f["n_words"] < 20 or 100 * f["n_repeat_words"] > 30 * f["n_words"]
     more = 10 * f["n_symbols"] > f["n_words"] or f["word_chars"] < 2 * f["n_words"] or f["word_chars"] > 20 * f["n_words"]
+    more = more or 10 * sum(a == b for a, b in zip(w, w[1:], strict=False)) > 3 * f["n_words"]
     more = more or (f["n_dup_lines"] >= 4 and 10 * f["n_dup_lines"] > 3 * len(lines))
     f["kept"] = not (f["base_failed"] or more)
     return f

@@ -6,7 +6,7 @@ from tickloom.llm import quality
 
 from . import brute
 
-ROWS = [(1, None), (2, ""), (None, "a b c " * 40), (3, "same line\n" * 12 + "x " * 30), (4, "# * $ " * 30), (5, "w" * 60_000), (6, "long" * 9 + " " + ("abcdefghij" * 3 + " ") * 25)]
+ROWS = [(1, None), (2, ""), (None, "a b c " * 40), (3, "same line\n" * 12 + "x " * 30), (4, "# * $ " * 30), (5, "w" * 60_000), (7, "".join(f"w{i} " * 5 for i in range(9))), (6, "long" * 9 + " " + ("abcdefghij" * 3 + " ") * 25)]
 
 
 def rows():

@@ -39,6 +39,7 @@ RULES = (
     Rule("repeated_windows", ("n_words", "n_repeat_words"), "100 * n_repeat_words > 30 * n_words"),
     Rule("symbols", ("n_words", "n_symbols"), "10 * n_symbols > n_words"),
     Rule("word_length", ("n_words", "word_chars"), "word_chars < 2 * n_words or word_chars > 20 * n_words"),
+    Rule("stutter", ("n_words", "n_stutter"), "10 * n_stutter > 3 * n_words"),
     Rule("repeated_lines", ("n_lines", "n_dup_lines"), "n_dup_lines >= 4 and 10 * n_dup_lines > 3 * n_lines"),
 )
 BASE = ("few_words", "repeated_windows")
@@ -102,6 +103,8 @@ def _feature(name: str) -> Column:
         return F.size(w).cast("long")
     if name == "word_chars":
         return F.length(F.array_join(w, "")).cast("long")
+    if name == "n_stutter":  # words equal to the word before
+        return F.size(F.filter(F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: a == b), lambda same: F.coalesce(same, F.lit(False)))).cast("long")
     if name == "n_symbols":
         return (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long")
     if name == "n_lines":
@@ -189,8 +192,8 @@ def plan_cascade(docs: DataFrame, rules=RULES, sample: int = SAMPLE) -> list[Rul
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and base_failed."""
-    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+    """docs with n_words, word_chars, n_symbols, n_stutter, n_lines, n_dup_lines, n_repeat_words and base_failed."""
+    names = ("n_words", "word_chars", "n_symbols", "n_stutter", "n_lines", "n_dup_lines", "n_repeat_words")
     df = _split(docs.drop(*names))
     df = df.select("*", *[_feature(n).alias(n) for n in names]).drop("__text", "__w")
     failed = " or ".join(f"({r.rejects})" for r in RULES if r.name in BASE)
@@ -225,12 +228,12 @@ cov as (select rid, count(distinct i + o) as n from twice, unnest(range(0, 8)) a
 f as (
   select w.rid, doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
-         len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n, 0) as n_repeat_words
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as n_stutter, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n, 0) as n_repeat_words
   from w left join cov on w.rid = cov.rid)
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
        n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
        n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
        not (n_words < 20 or 100 * n_repeat_words > 30 * n_words or 10 * n_symbols > n_words
             or word_chars < 2 * n_words or word_chars > 20 * n_words
-            or (n_dup_lines >= 4 and 10 * n_dup_lines > 3 * n_lines)) as kept
+            or 10 * n_stutter > 3 * n_words or (n_dup_lines >= 4 and 10 * n_dup_lines > 3 * n_lines)) as kept
 from f"""
