@@ -85,3 +85,16 @@ def test_one_of_each_component_stays(docs_of):
 def test_empty_table(docs_of):
     assert simhash.near_duplicates(docs_of([])).count() == 0
     assert simhash.drop_near_duplicates(docs_of([])).count() == 0
+
+
+def test_shared_folder(spark, monkeypatch):
+    from tickloom.llm import common
+
+    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+    class Unset:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = spark.sparkContext
+
+    first = common.shared_dir(Unset)
+    assert first.startswith("file://") and common.shared_dir(Unset) == first
