@@ -444,3 +444,25 @@ def test_registry_and_chain(spark):
     good, bad = chain.run(series(spark, [1, -1, None, 50]))
     assert column(good, "close") == [2.0]
     assert column(bad, "error") == ["positive", "positive", "small"]
+
+
+def test_recursive_columns_across_batches(spark):
+    """Series that span Arrow batches, and many in one batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        rng = np.random.default_rng(7)
+        data = {f"s{i}": 100 + np.cumsum(rng.normal(size=n)) for i, n in enumerate([1, 2, 30, 5, 7, 14, 21, 3, 50])}
+        rows = [(s, D0 + dt.timedelta(days=i), float(v)) for s, x in data.items() for i, v in enumerate(x)]
+        d = indicators.all_indicators(spark.createDataFrame(rows, "symbol string, date date, close double").coalesce(1)).toPandas()
+        assert len(d) == len(rows)
+        for s, x in data.items():
+            got = d[d["symbol"] == s].sort_values("date")
+            p = pd.Series(x)
+            want = p.ewm(span=12, min_periods=12).mean()
+            assert np.allclose(got["ema_12"].astype(float), want, equal_nan=True)
+            line = p.ewm(span=12, adjust=False, min_periods=12).mean() - p.ewm(span=26, adjust=False, min_periods=26).mean()
+            assert np.allclose(got["signal"].astype(float), line.ewm(span=9, adjust=False, min_periods=9).mean(), equal_nan=True)
+    finally:
+        spark.conf.set(key, before)

@@ -90,76 +90,134 @@ def _by_symbol(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
     return df.groupBy(*keys).applyInArrow(each, schema)
 
 
-def _ewm(s, span: int, adjust: bool, least: int = 1):
-    return s.ewm(span=span, adjust=adjust, min_periods=least).mean()
+class Runs:
+    """Many short series end to end (each starts at position 0), stepped in lockstep: step k handles the k-th row of every
+    series at once, so the cost is that of the longest series, not of their number."""
 
+    def __init__(self, position):
+        import numpy as np
 
-def _rsi(s, period: int):
-    delta = s.diff()
-    out = (100 - 100 / (1 + _ewm(delta.clip(lower=0), period, False, period) / _ewm((-delta).clip(lower=0), period, False, period))).fillna(100.0)
-    out.iloc[:period] = None
-    return out
+        self.position = position
+        starts = np.flatnonzero(position == 0)
+        lengths = np.diff(np.append(starts, len(position)))
+        order = np.argsort(-lengths, kind="stable")
+        self.starts, self.lengths = starts[order], lengths[order]
 
+    def diff(self, x):
+        import numpy as np
 
-def _macd(s, fast: int, slow: int, signal: int):
-    line = _ewm(s, fast, False, fast) - _ewm(s, slow, False, slow)
-    smooth = _ewm(line, signal, False, signal)
-    return line, smooth, line - smooth
+        out = np.full(len(x), np.nan)
+        out[1:] = x[1:] - x[:-1]
+        out[self.starts] = np.nan
+        return out
 
+    def ewm(self, x, span: int, adjust: bool, least: int = 1):
+        """Exponentially weighted mean of alpha = 2 / (span + 1). A gap keeps the last mean but ages its weight; rows
+        before the `least`-th value are missing."""
+        import numpy as np
+
+        alpha = 2.0 / (span + 1)
+        keep, new = 1 - alpha, 1.0 if adjust else alpha
+        n = len(self.starts)
+        mean, weight, seen = np.full(n, np.nan), np.ones(n), np.zeros(n, dtype=np.int64)
+        out = np.empty(len(x))
+        with np.errstate(invalid="ignore"):
+            for k in range(self.lengths[0] if n else 0):
+                a = np.searchsorted(-self.lengths, -k)  # the series longer than k come first
+                at = self.starts[:a] + k
+                now, m, w = x[at], mean[:a], weight[:a]
+                there, started = ~np.isnan(now), ~np.isnan(m)
+                both = there & started
+                seen[:a] += there
+                w = np.where(started, w * keep, w)
+                m = np.where(both, (w * m + new * now) / (w + new), np.where(there & ~started, now, m))
+                mean[:a], weight[:a] = m, np.where(both, w + new if adjust else 1.0, w)
+                out[at] = np.where(seen[:a] >= least, m, np.nan)
+        return out
+
+    def rsi(self, x, period: int):
+        import numpy as np
+
+        delta = self.diff(x)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            up = self.ewm(np.maximum(delta, 0), period, False, period)
+            down = self.ewm(np.maximum(-delta, 0), period, False, period)
+            out = 100 - 100 / (1 + up / down)
+        out[np.isnan(out)] = 100.0
+        out[self.position < period] = np.nan
+        return out
+
+    def macd(self, x, fast: int, slow: int, signal: int):
+        line = self.ewm(x, fast, False, fast) - self.ewm(x, slow, False, slow)
+        smooth = self.ewm(line, signal, False, signal)
+        return line, smooth, line - smooth
+
+
+def _recursive(df: DataFrame, value: str, compute, names: list[str]) -> DataFrame:
+    """df with columns from compute(Runs, values). A row number per symbol brings each symbol's rows together in order
+    (one exchange and sort, or none if df has them already); Arrow batches are then cut where a series starts, so memory
+    is bounded by the longest series, and many symbols are handled at once."""
+    place = F.row_number().over(by("symbol", order="date")) - 1
+    d = df.withColumn("__place", place).withColumn("__value", F.col(value).cast("double"))
+    kept = len(df.columns)
+
+    def run(batches):
+        import numpy as np
+
+        def done(parts):
+            t = pa.Table.from_batches(parts).combine_chunks()
+            runs = Runs(t.column(kept).to_numpy())
+            made = compute(runs, t.column(kept + 1).to_numpy().astype(float))
+            out = t.select(range(kept))
+            for n, x in zip(names, made, strict=True):
+                out = out.append_column(n, pa.array(x, mask=np.isnan(x)))
+            yield from out.to_batches()
+
+        held: list = []
+        for b in batches:
+            starts = np.flatnonzero(b.column(kept).to_numpy() == 0)
+            cut = int(starts[-1]) if len(starts) else 0
+            if len(starts) and (held or cut):
+                yield from done([*held, b.slice(0, cut)])
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield from done(held)
 
-def _with(df: DataFrame, run, extra: str) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return _by_symbol(df, ["symbol"], run, f"{fields}, {extra}")
+    return d.mapInArrow(run, fields + "".join(f", {n} double" for n in names))
 
 
 def ema(df: DataFrame, value: str, span: int, adjust: bool, out: str = "ema", least: int = 1) -> DataFrame:
     """df(symbol, date, value) with an exponentially weighted mean of alpha = 2 / (span + 1)."""
-
-    def run(t):
-        t[out] = _ewm(t[value], span, adjust, least)
-        return t
-
-    return _with(df, run, f"{out} double")
+    return _recursive(df, value, lambda runs, x: [runs.ewm(x, span, adjust, least)], [out])
 
 
 def rsi(df: DataFrame, value: str = "close", period: int = 14) -> DataFrame:
     """Relative strength with alpha = 2 / (period + 1), seeded by the first change; the first `period` rows are missing
     and a series without losses (0/0 included) reads 100."""
-
-    def run(t):
-        t["rsi"] = _rsi(t[value], period)
-        return t
-
-    return _with(df, run, "rsi double")
+    return _recursive(df, value, lambda runs, x: [runs.rsi(x, period)], ["rsi"])
 
 
 def macd(df: DataFrame, value: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """Line, signal (from the line's first value on) and histogram."""
     if fast >= slow:
         raise ValueError("fast must be less than slow")
-
-    def run(t):
-        t["macd"], t["signal"], t["histogram"] = _macd(t[value], fast, slow, signal)
-        return t
-
-    return _with(df, run, "macd double, signal double, histogram double")
+    return _recursive(df, value, lambda runs, x: list(runs.macd(x, fast, slow, signal)), ["macd", "signal", "histogram"])
 
 
 def all_indicators(df: DataFrame, value: str = "close") -> DataFrame:
     """SMA 20/50/200, EMA 12/26, returns, volatility 20, RSI 14 and MACD of a panel (bands are a separate operator).
-    Window columns come first and all recursive ones in one grouped pass after them, which keeps their partitioning: one
-    exchange by symbol for everything."""
+    Window columns come first and all recursive ones in one pass after them, which finds the rows together and in order:
+    one exchange by symbol for everything."""
     w = by("symbol", order="date")
     d = df.withColumn("ret", simple_return(value, w)).withColumn("log_ret", log_return(value, w))
     d = d.select("*", *[sma(value, w, n).alias(f"sma_{n}") for n in (20, 50, 200)], rolling_volatility("ret", w, 20).alias("vol_20"))
 
-    def run(t):
-        t["ema_12"], t["ema_26"] = (_ewm(t[value], n, True, n) for n in (12, 26))
-        t["rsi"] = _rsi(t[value], 14)
-        t["macd"], t["signal"], t["histogram"] = _macd(t[value], 12, 26, 9)
-        return t
+    def compute(runs, x):
+        return [runs.ewm(x, 12, True, 12), runs.ewm(x, 26, True, 26), runs.rsi(x, 14), *runs.macd(x, 12, 26, 9)]
 
-    return _with(d, run, "ema_12 double, ema_26 double, rsi double, macd double, signal double, histogram double")
+    return _recursive(d, value, compute, ["ema_12", "ema_26", "rsi", "macd", "signal", "histogram"])
 
 
 def densify(df: DataFrame, dates: DataFrame) -> DataFrame:

@@ -116,25 +116,41 @@ def title_similarity(a: Column | str, b: Column | str) -> Column:
 
 
 def _hits(text: Column, words: list[str]) -> Column:
-    return F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w)))
+    """How many of the words a text contains."""
+    out = F.lit(0)
+    for w in words:
+        out = out + F.contains(text, F.lit(w)).cast("int")
+    return out
+
+
+def _once(value: Column, body) -> Column:
+    """body(value), with value computed once: an expression that occurs many times would be evaluated as often."""
+    return F.transform(F.array(value), body)[0]
 
 
 def categorise(text: Column, categories: dict[str, list[str]] | None = None) -> Column:
     """(category, confidence) of the first category with a key word in the lower-cased text; a quarter a key word, at
     most 1; 'other' and 0 without any."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    out = F.struct(F.lit("other").alias("category"), F.lit(0.0).alias("confidence"))
-    for name, words in reversed((categories or CATEGORIES).items()):
-        n = _hits(low, words)
-        out = F.when(n > 0, F.struct(F.lit(name).alias("category"), F.least(n * 0.25, F.lit(1.0)).cast("double").alias("confidence"))).otherwise(out)
-    return out
+
+    def pick(low: Column) -> Column:
+        out = F.struct(F.lit("other").alias("category"), F.lit(0.0).alias("confidence"))
+        for name, words in reversed((categories or CATEGORIES).items()):
+            n = _hits(low, words)
+            out = F.when(n > 0, F.struct(F.lit(name).alias("category"), F.least(n * 0.25, F.lit(1.0)).cast("double").alias("confidence"))).otherwise(out)
+        return out
+
+    return _once(F.lower(F.coalesce(text, F.lit(""))), pick)
 
 
 def paywalled(text: Column | str, short: int = 200, medium: int = 1500) -> Column:
     """One phrase in a short text, two in a medium one."""
     text = F.col(text) if isinstance(text, str) else text
-    n, size = _hits(F.lower(text), PAYWALL), F.length(text)
-    return ((size < short) & (n >= 1)) | ((size < medium) & (n >= 2))
+    size = F.length(text)
+
+    def test(low: Column) -> Column:
+        return ((size < short) & (_hits(low, PAYWALL) >= 1)) | ((size < medium) & (_hits(low, PAYWALL) >= 2))
+
+    return F.when(size < medium, _once(F.lower(text), test)).when(size >= medium, F.lit(False))
 
 
 def clean_lines(text: Column | str) -> Column:
@@ -210,11 +226,14 @@ def confidence_band(score: Column) -> Column:
 
 def moat_kind(claim: Column | str, evidence: Column | str) -> Column:
     a, b = (F.col(x) if isinstance(x, str) else x for x in (claim, evidence))
-    low = F.lower(F.concat(a, F.lit(" "), b))
-    out = F.lit("none")
-    for name, words in reversed(MOATS.items()):
-        out = F.when(_hits(low, words) > 0, name).otherwise(out)
-    return out
+
+    def pick(low: Column) -> Column:
+        out = F.lit("none")
+        for name, words in reversed(MOATS.items()):
+            out = F.when(_hits(low, words) > 0, name).otherwise(out)
+        return out
+
+    return _once(F.lower(F.concat(a, F.lit(" "), b)), pick)
 
 
 def moat_score(claims: DataFrame) -> DataFrame:
