@@ -109,7 +109,7 @@ def word_ids(path: str) -> WordIds:
 def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     """documents -> (doc_id, piece, start, length, ids_crc32)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = word_ids(path), np.array([END_ID], dtype="<u4").tobytes()
         for b in batches:
             out: list[list[int]] = [[], [], [], [], []]
@@ -125,6 +125,15 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
+
+        gc.disable()  # many short lists and no cycles: collections would only scan them again and again
+        try:
+            yield from cut(batches)
+        finally:
+            gc.enable()
+
     short_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(
