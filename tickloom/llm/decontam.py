@@ -90,9 +90,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     found = scratch.keep(found)
     # the exact check: documents that any item may be in, against those items; a document's shingles are made once
     n_items = items.count()
-    per_document = found.groupBy("key").agg(F.collect_set("item").alias("its"))  # at most the benchmark's items
-    held = _lowered(docs.withColumn("key", _key()).join(per_document, "key")).select("key", "doc_id", "its", _texts(F.col("__w")).alias("theirs"))
-    held = held.select("key", "doc_id", "theirs", F.explode("its").alias("item"))
+    keys = scratch.keep(found.select("key").distinct())
+    held = _lowered(docs.withColumn("key", _key()).join(keys, "key", "left_semi")).select("key", "doc_id", _texts(F.col("__w")).alias("theirs"))
+    held = held.join(found, "key")
     both = held.join(_small(items, n_items * 100), "item")  # an item counts as a hundred rows
     shared = both.select(
         "key", "doc_id", "item_id", F.size(F.array_intersect("shingles", "theirs")).cast("long").alias("n_shared"), F.size("shingles").cast("long").alias("n_item")
