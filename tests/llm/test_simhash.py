@@ -98,3 +98,24 @@ def test_shared_folder(spark, monkeypatch):
 
     first = common.shared_dir(Unset)
     assert first.startswith("file://") and common.shared_dir(Unset) == first
+
+
+def test_near_copies_beyond_the_fingerprints(docs_of):
+    """Of pairs of every similarity, exactly those of five-word Jaccard 0.8 or more, or of near fingerprints, are linked."""
+    rng = random.Random(5)
+    rows, kept, far = [], [], 0
+    for k in range(60):
+        a = [f"v{rng.randrange(5000)}" for _ in range(90)]
+        b = list(a)
+        for _ in range(1 + k % 4):
+            b[rng.randrange(90)] = f"n{k}"
+        texts = [" ".join(a), " ".join(b)]
+        x, y = ({tuple(w[i : i + 5]) for i in range(86)} for w in (a, b))
+        near = len(x & y) >= 0.8 * len(x | y)
+        bits = (brute.fingerprint(texts[0]) ^ brute.fingerprint(texts[1])).bit_count()
+        far += near and bits > 3
+        rows += [(2 * k, texts[0]), (2 * k + 1, texts[1])]
+        kept += [2 * k] if near or bits <= 3 else [2 * k, 2 * k + 1]
+    assert far > 10 and len(kept) > 70
+    got = simhash.drop_near_duplicates(docs_of(rows + [(None, None), (1000, "")]), jaccard=0.8)
+    assert sorted(r["doc_id"] for r in got.collect()) == [*kept, 1000]

@@ -4,6 +4,10 @@ The family: every bit position i gets a vector m(i) in F2^(r+1); table v (a non-
 <m(i), v> = 1. Up to r differing positions span at most r dimensions, so some v is orthogonal to all of them and
 the two fingerprints agree in table v: no pair within radius r is missed (r = 3: 15 tables of about 34 bits).
 
+`drop_near_duplicates` can also link texts by the Jaccard similarity of their word shingles: candidates share one of
+BANDS bands of BAND_ROWS MinHash values (a pair at 0.8 shares none with a chance of 3 in 100,000), and the similarity of
+each is computed from 64-bit hashes of all its shingles. Texts of one shingle set are looked at once.
+
 Defined results: null text counts as empty; an empty text has fingerprint 0 and links like any other; repeated
 doc_ids keep one row each; a component whose ids are all null has a null id; other columns are ignored; an empty
 table gives an empty result.
@@ -26,6 +30,8 @@ BITS = 64
 SEED = 42
 #: Rows of one block of a bucket: two blocks meet in a task and are compared there.
 BLOCK = 1024
+#: Bands of MinHash values and values in a band.
+BANDS, BAND_ROWS = 20, 4
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -116,10 +122,74 @@ def links(fps: DataFrame, scratch: Scratch, radius: int = 3, block: int = BLOCK)
     return groups.where(F.size("fps") > 1).select("fps").mapInArrow(run, "u long, v long").distinct()
 
 
-def _labelled(fps: DataFrame, scratch: Scratch, radius: int) -> DataFrame:
-    """fps(doc_id, fp, ...) with component_id. Copies meet in one fingerprint before any pair is looked at."""
+def _shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """Distinct XXH64 of the word shingles; a text of fewer words is its only shingle, an empty one has none."""
+    words = text.lower().split()
+    n = max(len(words) - width + 1, 1) if words else 0
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(n)], dtype=np.uint64))
+
+
+def _sketches(docs: DataFrame, key: Column, width: int) -> DataFrame:
+    """(key, set, bands): the name of the text's set of shingles and its bands; texts without words are left out."""
+    rng = np.random.default_rng(SEED)
+    size = BANDS * BAND_ROWS
+    mult, plus = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, size, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, sets, bands = [], [], []
+            texts = b.column(1).cast(pa.binary() if pa.types.is_string(b.schema.types[1]) else pa.large_binary())
+            for k, t in zip(b.column(0).to_pylist(), texts, strict=True):
+                h = _shingle_hashes(t.as_py() or b"", width)
+                if len(h):
+                    low = np.full(size, np.iinfo(np.uint64).max, dtype=np.uint64)
+                    for i in range(0, len(h), 4096):
+                        x = h[i : i + 4096, None] * mult + plus
+                        low = np.minimum(low, ((x ^ (x >> np.uint64(32))) * mult).min(axis=0))
+                    keys.append(k)
+                    sets.append(np.int64(xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63)))
+                    bands.append([xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(low.reshape(BANDS, BAND_ROWS))])
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(sets, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["key", "set", "bands"])
+
+    short_batches(docs.sparkSession)
+    return docs.select(key.alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, set long, bands array<long>")
+
+
+def similar(docs: DataFrame, key: Column, fps: DataFrame, scratch: Scratch, least: float, width: int = 5, radius: int = 3) -> DataFrame:
+    """(u, v): fingerprints of texts whose shingles have a Jaccard similarity of `least` or more, beyond the radius.
+    fps(key, fp): the fingerprint of each row."""
+    marked = scratch.keep(_sketches(docs, key, width).join(fps.select("key", "fp").distinct(), "key"))
+    one = scratch.keep(marked.groupBy("set").agg(F.min(F.struct("key", "fp", "bands")).alias("x")).select("set", "x.*"))
+    same = marked.join(one.select("set", F.col("fp").alias("first")), "set").where("fp <> first").select(F.col("first").alias("u"), F.col("fp").alias("v"))
+    flat = scratch.keep(one.select("key", "fp", F.posexplode("bands").alias("band", "value")))
+    shared = flat.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
+    flat = scratch.keep(flat.join(shared, ["band", "value"]))
+    a, b = (flat.select("band", "value", F.col("key").alias(f"k{x}"), F.col("fp").alias(x)) for x in "uv")
+    pairs = a.join(b, ["band", "value"]).where((F.col("ku") < F.col("kv")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > radius))
+    pairs = scratch.keep(pairs.select("ku", "u", "kv", "v").distinct())
+    wanted = scratch.keep(pairs.select(F.col("ku").alias("__wanted")).union(pairs.select("kv")).distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            texts = x.column(1).cast(pa.binary() if pa.types.is_string(x.schema.types[1]) else pa.large_binary())
+            sets = [_shingle_hashes(t.as_py() or b"", width).view(np.int64) for t in texts]
+            yield pa.record_batch([x.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "hashes"])
+
+    texts = docs.select(key.alias("key"), F.col("text").cast("string").alias("text")).join(wanted, F.col("key") == F.col("__wanted"), "left_semi")
+    sets = scratch.keep(texts.mapInArrow(run, "key long, hashes array<long>").dropDuplicates(["key"]))
+    both = pairs.join(sets.select(F.col("key").alias("ku"), F.col("hashes").alias("hu")), "ku").join(sets.select(F.col("key").alias("kv"), F.col("hashes").alias("hv")), "kv")
+    common = F.size(F.array_intersect("hu", "hv"))
+    near = both.where(common >= least * (F.size("hu") + F.size("hv") - common) - 1e-9).select("u", "v")
+    return scratch.keep(near.unionByName(same).distinct())
+
+
+def _labelled(fps: DataFrame, scratch: Scratch, radius: int, more: DataFrame | None = None) -> DataFrame:
+    """fps(doc_id, fp, ...) with component_id. Copies meet in one fingerprint before any pair is looked at. more: links
+    (u, v) besides those within the radius."""
     reps = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     edges = links(reps, scratch, radius)
+    if more is not None:
+        edges = edges.unionByName(more).distinct()
     labels = scratch.keep(components(edges, scratch))
     merged = scratch.keep(reps.join(labels, F.col("fp") == F.col("node")).select("fp", "rep", "label"))
     least = scratch.keep(merged.groupBy("label").agg(F.min("rep").alias("least"), F.min("fp").alias("root")))
@@ -135,13 +205,15 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     return _labelled(scratch.keep(fingerprints(docs, width)), scratch, radius).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, jaccard: float | None = None) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id (nulls last), with all columns. Rows are named
-    by a hash of id and text, so repeated ids do no harm."""
+    by a hash of id and text, so repeated ids do no harm. jaccard: the similarity of five-word shingles from which texts
+    are linked whatever their fingerprints."""
     scratch = Scratch(docs.sparkSession, "simhash")
     key = F.xxhash64("doc_id", "text")
     fps = scratch.keep(fingerprints(docs, width, key))
-    all_ = scratch.keep(_labelled(fps, scratch, radius).select("doc_id", "key", "root"))
+    more = None if jaccard is None else similar(docs, key, fps, scratch, jaccard, radius=radius)
+    all_ = scratch.keep(_labelled(fps, scratch, radius, more).select("doc_id", "key", "root"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
     first = scratch.keep(all_.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.key").alias("chosen")))
     dropped = all_.select("key").distinct().join(first, F.col("key") == F.col("chosen"), "left_anti")
