@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -466,3 +467,26 @@ def test_recursive_columns_across_batches(spark):
             assert np.allclose(got["signal"].astype(float), line.ewm(span=9, adjust=False, min_periods=9).mean(), equal_nan=True)
     finally:
         spark.conf.set(key, before)
+
+
+def test_kendall_by_group(spark):
+    """Every group has its tau, as the definition over all pairs gives it, ties and repeated rows included."""
+    rng = random.Random(4)
+    rows = [(g, rng.randrange(60), rng.randrange(9) / 2, rng.choice([None, float("nan"), *range(12)])) for g in range(6) for _ in range(g * g * 4)] + [(9, 1, 2.0, 3), (9, 2, 2.0, 4)]
+    d = spark.createDataFrame([(g, i, a, None if b is None else float(b)) for g, i, a, b in rows], "g int, i int, a double, b double")
+    sign = lambda x: (x > 0) - (x < 0)
+    want = {}
+    for g in {r[0] for r in rows}:
+        x = [r[1:] for r in rows if r[0] == g and r[3] is not None and r[3] == r[3]]
+        pairs = [(sign(p[1] - q[1]), sign(p[2] - q[2])) for p in x for q in x if p[0] < q[0]]
+        size = sum(abs(s) for s, _ in pairs) * sum(abs(t) for _, t in pairs)
+        want[g] = sum(s * t for s, t in pairs) / size**0.5 if size else None
+    got = {r["g"]: r["tau"] for r in stats.kendall(d, "a", "b", "i", ["g"]).collect()}
+    assert got.keys() == want.keys() and all(got[g] == (want[g] if want[g] is None else pytest.approx(want[g])) for g in want)
+
+
+def test_tau_of_every_symbol(spark, small):
+    from tickloom.plans.catalog import QUERIES
+
+    symbols = spark.read.parquet(f"{small}/lineitem.parquet").selectExpr("l_suppkey").distinct().count()
+    assert symbols > 1 and QUERIES["a5_kendall_symbols"](spark, small).count() == symbols

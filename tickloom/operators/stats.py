@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,13 +50,57 @@ def correlations(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     return d.groupBy(*keys).agg(pearson(F.col(a), F.col(b)).alias("pearson"), pearson(F.col("ra"), F.col("rb")).alias("spearman"))
 
 
-def kendall(df: DataFrame, a: str, b: str, row: str) -> DataFrame:
-    """One row: tau-b over all pairs of rows; quadratic, for short series."""
-    x = df.select(F.col(row).alias("i"), F.col(a).alias("a1"), F.col(b).alias("b1")).dropna()
-    y = x.select(F.col("i").alias("j"), F.col("a1").alias("a2"), F.col("b1").alias("b2"))
-    pairs = x.join(F.broadcast(y), F.col("i") < F.col("j"))
-    s, t = F.signum(F.col("a1") - F.col("a2")), F.signum(F.col("b1") - F.col("b2"))
-    return pairs.agg((F.sum(s * t) / F.nullif(F.sqrt(F.sum(s * s) * F.sum(t * t)), F.lit(0.0))).alias("tau"))
+def _inversions(y: np.ndarray) -> int:
+    """Pairs of places whose values fall, by merging sorted blocks of doubling width."""
+    y = np.unique(y, return_inverse=True)[1].astype(np.int64)
+    n, out, width = len(y), 0, 1
+    place = np.arange(n)
+    while width < n:
+        block = place // (2 * width)
+        left = place % (2 * width) < width
+        key = block * (n + 1) + y
+        ends = np.minimum(block[~left] * width + width, left.sum())  # left values up to the end of the block
+        out += int((ends - np.searchsorted(key[left], key[~left], side="right")).sum())
+        y = np.sort(key) % (n + 1)
+        width *= 2
+    return out
+
+
+def _concordance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Over all pairs: concordant less discordant ones, those that differ in a, those that differ in b."""
+
+    def tied(*columns: np.ndarray) -> int:
+        n = np.unique(np.stack(columns), axis=1, return_counts=True)[1]
+        return int((n * (n - 1) // 2).sum())
+
+    pairs, ta, tb, both = len(a) * (len(a) - 1) // 2, tied(a), tied(b), tied(a, b)
+    falling = _inversions(b[np.lexsort((b, a))])  # ties in a rise in b, so none of them counts
+    return np.array([pairs - ta - tb + both - 2 * falling, pairs - ta, pairs - tb])
+
+
+def kendall(df: DataFrame, a: str, b: str, row: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, tau): tau-b over all pairs of rows of each group, by merge counting inside one series; rows of one `row` make
+    no pair. Without keys one row."""
+    x = df.select(*keys, F.struct(F.col(row).alias("i"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).alias("x"))
+    x = x.where(F.col("x.i").isNotNull() & F.col("x.a").isNotNull() & F.col("x.b").isNotNull() & ~F.isnan("x.a") & ~F.isnan("x.b"))
+
+    @F.pandas_udf("double")
+    def tau(i: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for place, p, q in zip(i, x, y, strict=True):
+            if len(p) < 2:
+                out.append(None)
+                continue
+            place, p, q = np.asarray(place), np.asarray(p, dtype=float), np.asarray(q, dtype=float)
+            s = _concordance(p, q)
+            values, at, n = np.unique(place, return_inverse=True, return_counts=True)
+            for k in np.flatnonzero(n > 1):
+                s = s - _concordance(p[at == k], q[at == k])
+            out.append(s[0] / math.sqrt(s[1] * s[2]) if s[1] and s[2] else None)
+        return pd.Series(out, dtype="float64")
+
+    held = x.groupBy(*keys).agg(F.collect_list("x").alias("x"))
+    return held.select(*keys, F.nanvl(tau(F.transform("x", lambda r: F.xxhash64(r["i"])), F.col("x.a"), F.col("x.b")), F.lit(None).cast("double")).alias("tau"))
 
 
 def correlation_matrix(df: DataFrame, key: str, name: str, value: str) -> DataFrame:

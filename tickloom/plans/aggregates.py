@@ -73,6 +73,13 @@ def _(p):
     return st.kendall(x, "close", "bench", "date").select(rounded("tau").alias("tau"))
 
 
+@query("a5_kendall_symbols", with_views(f"x as (select m.symbol, m.date, m.close, b.bench from px_month m join bench_month b on m.date = b.date)\nselect a.symbol, {_round('sum(sign(a.close - c.close) * sign(a.bench - c.bench)) / sqrt(nullif(sum(abs(sign(a.close - c.close))) * sum(abs(sign(a.bench - c.bench))), 0))', 'tau')} from x a left join x c on a.symbol = c.symbol and a.date < c.date group by a.symbol", "px_month", "bench_month"))
+def _(p):
+    """Of every symbol."""
+    x = p.px_month.join(p.bench_month, "date")
+    return st.kendall(x, "close", "bench", "date", ["symbol"]).select("symbol", rounded("tau").alias("tau"))
+
+
 @query("a5_matrix", with_views(f"select x.symbol as a, y.symbol as b, {_round('corr(x.r, y.r)', 'corr')} from ret_day x join ret_day y on x.date = y.date where x.r is not null and y.r is not null group by 1, 2", "ret_day"))
 def _(p):
     return st.correlation_matrix(_returns(p), "date", "symbol", "r").withColumn("corr", rounded("corr"))
