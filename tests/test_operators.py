@@ -490,3 +490,11 @@ def test_tau_of_every_symbol(spark, small):
 
     symbols = spark.read.parquet(f"{small}/lineitem.parquet").selectExpr("l_suppkey").distinct().count()
     assert symbols > 1 and QUERIES["a5_kendall_symbols"](spark, small).count() == symbols
+
+
+def test_every_page_is_in_a_feed(spark, tmp_path):
+    from tickloom.plans.catalog import QUERIES
+
+    spark.range(250).selectExpr("id as page_id", "concat('http://x/?a=1&b=<', id) as url", "'' as html").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r["feed_id"], r["item_id"], r["link"]) for r in QUERIES["s12_feed_pages"](spark, str(tmp_path)).collect()}
+    assert got == {(f"f{i // 100}", f"g{i}", f"http://x/?a=1&b=<{i}") for i in range(250)}

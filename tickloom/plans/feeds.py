@@ -203,6 +203,16 @@ def _(p):
     return fd.feed_items(d.select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("feed_id"), xml.alias("xml"))).select("feed_id", "item_id", "link")
 
 
+@query("s12_feed_pages", "select 'f' || (page_id // 100) as feed_id, 'g' || page_id as item_id, url as link from pages")
+def _(p):
+    """All pages, a hundred ids to a feed, written as XML and parsed back."""
+    safe = F.regexp_replace(F.regexp_replace("url", "&", "&amp;"), "<", "&lt;")
+    item = F.concat(F.lit("<item><guid>g"), F.col("page_id").cast("string"), F.lit("</guid><link>"), safe, F.lit("</link></item>"))
+    d = p.table("pages").groupBy(F.floor(F.col("page_id") / 100).alias("k")).agg(F.array_join(F.collect_list(item), "").alias("items"))
+    xml = F.concat(F.lit("<rss><channel><title>x</title>"), F.col("items"), F.lit("</channel></rss>"))
+    return fd.feed_items(d.select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("feed_id"), xml.alias("xml"))).select("feed_id", "item_id", "link")
+
+
 @query("s13_table_cells", "select n_nationkey, n_name as cell from nation")
 def _(p):
     html = F.concat(F.lit("<table><tr><th>k</th></tr><tr class='x'><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td><b>"), F.col("n_name"), F.lit("</b> </td></tr></table>"))
