@@ -70,3 +70,11 @@ def test_nulls_and_repeats(spark):
     d = spark.createDataFrame([(None, None, None, 1), (1, "u", "<p>x", 2), (1, "u", "<p>x", 2)], "page_id long, url string, html string, text int")
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in hx.extract(d).collect()) == [(0, "", 0), (1, "x", 1), (1, "x", 1)]
     assert hx.extract(d.limit(0)).count() == 0
+
+
+def test_bare_text_beside_the_selection():
+    intro = "A long introduction that stands in the body itself, <b>with</b> some more of it. " * 6
+    paragraphs = "".join(f"<p>{'Sentences of paragraph ' * 6}{k}.</p>" for k in "AB")
+    got = hx.main_text(f"<body>{intro}<div>{paragraphs}</div><a href=/x>one link and another</a> x</body>")
+    assert got.startswith("A long introduction that stands in the body itself, with some more of it.") and got.count("introduction") == 6
+    assert "paragraph A." in got and "another" not in got

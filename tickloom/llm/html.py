@@ -7,7 +7,7 @@ characters r = LCb / Cb, its density is
 
 (zero divisors count as one). A node's sum is that of its children's densities; the node with the largest sum holds the
 text, and siblings on its path to the body that are at least as dense as the least dense node of the path, and are not
-mostly links, belong to it as well. Parts that are by their markup no main text (menus, headers, footers, sidebars,
+mostly links, belong to it as well; so do runs of text directly in the path's nodes, by the same test. Parts that are by their markup no main text (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments) are taken out first; where the page marks its article, the
 selection is brought to that element.
 
@@ -226,6 +226,14 @@ class Page:
                 at = end
 
 
+def _density(c: int, t: int, lc: int, lt: int, share: float) -> float:
+    if not c:
+        return 0.0
+    t = max(t, 1)
+    base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+    return c / t * math.log(max(c / max(lc, 1) * (t / max(lt, 1)), 1.0)) / max(math.log(base + 1e-9), 1.0)
+
+
 def _densities(p: Page, body: int) -> tuple[list[float], list[float], list[int], list[int]]:
     n = len(p.tag)
     chars, tags, linked, links = [0] * n, [0] * n, [0] * n, [0] * n
@@ -248,15 +256,40 @@ def _densities(p: Page, body: int) -> tuple[list[float], list[float], list[int],
     share = linked[body] / max(chars[body], 1)
     density, total = [0.0] * n, [0.0] * n
     for i in range(n):
-        c, t, lc, lt = chars[i], max(tags[i], 1), linked[i], links[i]
-        if c and not p.drop[i]:
-            base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-            density[i] = c / t * math.log(max(c / max(lc, 1) * (t / max(lt, 1)), 1.0)) / max(math.log(base + 1e-9), 1.0)
+        if not p.drop[i]:
+            density[i] = _density(chars[i], tags[i], linked[i], links[i], share)
     for i in range(n - 1, 0, -1):
         total[p.parent[i]] += density[i]
     return density, total, chars, linked
 
 
+def _bare_runs(p: Page, above: set[int], keep: list[bool], least: float, share: float) -> set[int]:
+    """Places of the events in runs of text that stand directly in nodes of the path, with the inline elements among
+    them, and that pass the test of siblings."""
+    out: set[int] = set()
+    run: list[int] = []
+    for k, (node, text) in enumerate([*p.events, (0, None)]):
+        if text is not None:
+            if not p.drop[node] and not keep[node]:
+                run.append(k)
+            continue
+        if any(p.events[i][0] in above and p.events[i][1].strip() for i in run):
+            inline: set[int] = set()
+            c = lc = 0
+            for i in run:
+                node, size, linked = p.events[i][0], len(_SPACE.sub(" ", p.events[i][1]).strip()), False
+                while node not in above and node:
+                    inline.add(node)
+                    linked = linked or p.tag[node] == "a"
+                    node = p.parent[node]
+                c += size
+                lc += size * linked
+            if 2 * lc < c and _density(c, len(inline), lc, sum(p.tag[i] == "a" for i in inline), share) >= least:
+                out.update(run)
+        run = []
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the selected parts, one to a line. Where names of classes and ids would take everything out (a
     wrapper with a telling name), the page is read by its elements alone."""
@@ -281,6 +314,8 @@ def _selected(p: Page) -> str:
         path.append(p.parent[path[-1]])
     # the article that the page marks: around the selection, or inside it with at least half its text
     marked = [i for i in path if p.tag[i] in ("article", "main")]
+    above: set[int] = set()
+    least = 0.0
     if marked:
         chosen = {next((i for i in marked if p.tag[i] == "article"), marked[-1])}
     else:
@@ -300,16 +335,19 @@ def _selected(p: Page) -> str:
                 if p.parent[i] in above and i not in on_path and not p.drop[i] and density[i] >= least and 2 * linked[i] < chars[i]:
                     chosen.add(i)
     keep = [False] * n
+    bare: set[int] = set()
     for i in range(n):
         keep[i] = i in chosen or (i > 0 and keep[p.parent[i]])
+    if above:
+        bare = _bare_runs(p, above, keep, least, linked[body] / max(chars[body], 1))
     blocks: list[str] = []
     parts: list[str] = []
-    for node, text in p.events:
+    for k, (node, text) in enumerate(p.events):
         if text is None:
             if parts:
                 blocks.append("".join(parts))
                 parts = []
-        elif keep[node] and not p.drop[node]:
+        elif (keep[node] or k in bare) and not p.drop[node]:
             parts.append(text)
     blocks.append("".join(parts))
     return "\n".join(x for x in (_SPACE.sub(" ", b).strip() for b in blocks) if x)
