@@ -62,6 +62,40 @@ def test_layouts_hold_every_piece(histogram):
     assert least <= sum(c for _, c in solution) <= len(free) + 1
 
 
+def best_fit(histogram, size):
+    room = {}
+    packing._fit_rest(dict(histogram), room, size)
+    return sum(sum(held.values()) for held in room.values())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 60), max_size=20))
+def test_never_worse_than_best_fit(histogram):
+    assert sum(c for _, c in packing.solve(histogram, 64, rounds=40)) <= best_fit(histogram, 64)
+
+
+def test_histogram_that_best_fit_packs_better():
+    histogram = {1: 1, 2: 1, 3: 1, 13: 40, 28: 1, 37: 59, 4: 1, 5: 1, 19: 40}
+    assert sum(c for _, c in packing.solve(histogram, 64, rounds=40)) == best_fit(histogram, 64) == 60
+
+
+def test_the_program_beats_best_fit():
+    """33 + 17 + 14 and 18 + 18 + 14 + 14 fill sequences; best fit begins with 33 + 18."""
+    histogram = {33: 60, 18: 60, 17: 60, 14: 120}
+    assert best_fit(histogram, 64) == 110
+    assert sum(c for _, c in packing.solve(histogram, 64)) == 90
+
+
+def test_the_bound_holds():
+    rng = random.Random(3)
+    for _ in range(20):
+        demand = {rng.randrange(1, 24): rng.randrange(1, 4) for _ in range(4)}
+        _, bound = packing.program(demand, 24, 60)
+        assert -(-sum(n * c for n, c in demand.items()) // 24) - 1 < bound <= best_fit(demand, 24) + 1e-9
+    _, bound = packing.program({13: 7}, 24, 60)  # two never fit
+    assert bound == pytest.approx(7)
+
+
 def test_pricing_is_optimal():
     rng = np.random.default_rng(2)
     for _ in range(20):

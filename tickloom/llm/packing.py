@@ -3,9 +3,9 @@
 Only the histogram of piece lengths (at most `size` numbers) reaches the driver. The program over configurations
 (multisets of lengths that fit a sequence) is solved by multiplicative weights: lengths are the experts, a length's
 weight falls exponentially with the share of its demand that is covered, and a knapsack dynamic program prices the best
-configuration under the current weights. The fractional counts are rounded down, and what is left over is packed by
-best-fit decreasing on its histogram, which also shares the free room of the configurations. The result is a list of
-runs (so many sequences of one layout); every piece finds its place from its rank among the pieces of its length.
+configuration under the current weights; the same prices give a lower bound. The fractional counts are rounded down,
+what is left over is the demand of a second and a third program, and the last rest is packed by best-fit decreasing on
+its histogram, which also shares the free room of the configurations. The result is a list of runs (so many sequences of one layout); every piece finds its place from its rank among the pieces of its length.
 
 Defined results: null text counts as empty (one piece that holds only the end id); repeated rows and ids, null ids
 included, are packed one by one; other columns are ignored; an empty table gives an empty result.
@@ -13,6 +13,7 @@ included, are packed one by one; other columns are ignored; an empty table gives
 
 from __future__ import annotations
 
+import math
 import zlib
 from array import array
 from collections import Counter
@@ -31,8 +32,11 @@ SIZE = 2048
 END_ID = 0
 #: Rounds of multiplicative weights, the share of a length's demand that one round may cover, the rate of the weights.
 ROUNDS, STEP, RATE = 500, 0.2, 6.0
-#: Shares of the fractional counts that are rounded down in turn; the packing with the fewest sequences stays.
-SHARES = (1.0, 0.9, 0.75, 0.5)
+#: Programs in a row, each over what the one before left over, the later ones of a quarter of the rounds.
+PROGRAMS = 3
+#: Shares of the fractional counts that are rounded down in turn; the packing with the fewest sequences stays. With none
+#: of them the rest is everything, which is best-fit decreasing alone.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.0)
 #: Words whose ids a worker remembers.
 MEMORY = 600_000
 CLOSING = frozenset(b".,;:!?")
@@ -144,6 +148,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
 def price(weights: np.ndarray, lengths: np.ndarray, size: int) -> Counter:
     """The configuration of largest total weight (unbounded knapsack by dynamic programming over the room used)."""
     best, last = np.zeros(size + 1), np.zeros(size + 1, dtype=np.int64)
+    lengths, weights = lengths[weights > 0], weights[weights > 0]
     fit = np.searchsorted(lengths, np.arange(size + 1), side="right")
     for room in range(1, size + 1):
         n = fit[room]
@@ -188,42 +193,101 @@ def _fit_rest(rest: dict[int, int], room: dict[int, Counter], size: int) -> None
             left -= use * each
 
 
+def program(demand: dict[int, int], size: int, rounds: int) -> tuple[Counter, float]:
+    """Fractional counts of configurations, and a lower bound on the sequences that the demand needs.
+
+    Each length is an expert whose first weight is its share of the volume, demand x length; the weight falls by
+    exp(-RATE) as its demand gets covered. The price of one piece is the weight by unit of demand, and the best
+    configuration under these prices gets a step. Prices scaled so that no configuration is worth more than one are
+    feasible in the dual program, so the demand's worth under them is a lower bound (for whole and for fractional
+    sequences)."""
+    lengths = np.array(sorted(demand), dtype=np.int64)
+    need = np.array([demand[int(n)] for n in lengths], dtype=float)
+    at = {int(n): i for i, n in enumerate(lengths)}
+    first = need * lengths / size
+    covered, chosen, bound = np.zeros(len(lengths)), Counter(), float(first.sum())
+    for _ in range(rounds):
+        open_ = covered < 1 - 1e-9
+        if not open_.any():
+            break
+        prices = np.where(open_, first * np.exp(-RATE * (covered - covered.min())), 0) / need
+        config = price(prices, lengths, size)
+        worth = sum(prices[at[n]] * k for n, k in config.items())
+        bound = max(bound, float((prices * need).sum() / worth))
+        step = min(min(STEP, 1 - covered[at[n]]) * need[at[n]] / k for n, k in config.items())
+        # a step covers as much of the scarcest length as it may, and at least one whole sequence
+        step = max(step, min(1.0, min((1 - covered[at[n]]) * need[at[n]] / k for n, k in config.items())))
+        chosen[tuple(sorted(config.elements(), reverse=True))] += step
+        for n, k in config.items():
+            covered[at[n]] = min(1.0, covered[at[n]] + k * step / need[at[n]])
+    return chosen, bound
+
+
+def _rounded(chosen: Counter, demand: dict[int, int], share: float, size: int) -> tuple[dict[int, Counter], dict[int, int]]:
+    """Whole sequences: `share` of the fractional counts, rounded down. Free room -> layouts, and the demand left over."""
+    room, rest = {}, dict(demand)
+    for layout, x in chosen.items():
+        held = Counter(layout)
+        count = min(int(share * x + 1e-6), min(rest[n] // k for n, k in held.items()))
+        if count > 0:
+            room.setdefault(size - sum(layout), Counter())[layout] += count
+            for n, k in held.items():
+                rest[n] -= k * count
+    return room, {n: c for n, c in rest.items() if c}
+
+
+def _joined(*rooms: dict[int, Counter]) -> dict[int, Counter]:
+    out: dict[int, Counter] = {}
+    for room in rooms:
+        for free, held in room.items():
+            out.setdefault(free, Counter()).update(held)
+    return out
+
+
+def _used(room: dict[int, Counter]) -> int:
+    return sum(sum(held.values()) for held in room.values())
+
+
 def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
-    """Layouts and how many sequences get each; they hold every piece of the histogram exactly once."""
+    """Layouts and how many sequences get each; they hold every piece of the histogram exactly once, in no more
+    sequences than best-fit decreasing needs. What rounding leaves over is the demand of the next program; after the
+    last, best fit packs the rest. Ends early at a packing that meets the lower bound."""
     demand = {n: c for n, c in histogram.items() if c > 0}
-    room: dict[int, Counter] = {}
+    done: dict[int, Counter] = {}
     if size in demand:  # a full piece is a configuration by itself
-        room[0] = Counter({(size,): demand.pop(size)})
-    lengths = np.array(sorted(demand), dtype=np.int64)
-    if len(lengths):
-        need = np.array([demand[int(n)] for n in lengths], dtype=float)
-        at = {int(n): i for i, n in enumerate(lengths)}
-        covered, chosen = np.zeros(len(lengths)), Counter()
-        for _ in range(rounds):
-            weights = np.where(covered < 1 - 1e-9, lengths / size * np.exp(-RATE * (covered - covered.min())), 0)
-            config = price(weights, lengths, size)
-            if not config:
-                break
-            step = min(min(STEP, 1 - covered[at[n]]) * need[at[n]] / k for n, k in config.items())
-            # a step covers as much of the scarcest length as it may, and at least one whole sequence
-            step = max(step, min(1.0, min((1 - covered[at[n]]) * need[at[n]] / k for n, k in config.items())))
-            chosen[tuple(sorted(config.elements(), reverse=True))] += step
-            for n, k in config.items():
-                covered[at[n]] = min(1.0, covered[at[n]] + k * step / need[at[n]])
+        done[0] = Counter({(size,): demand.pop(size)})
+    best, least, bound = None, None, 0.0
+    for turn in range(PROGRAMS):
+        if not demand:
+            break
+        chosen, value = program(demand, size, rounds if not turn else max(1, rounds // 4))
+        if not turn:
+            bound = _used(done) + value
         tried = []
         for share in SHARES:
-            trial, rest = {free: Counter(held) for free, held in room.items()}, dict(demand)
-            for layout, x in chosen.items():
-                held = Counter(layout)
-                count = min(int(share * x + 1e-6), min(rest[n] // k for n, k in held.items()))
-                if count > 0:
-                    trial.setdefault(size - sum(layout), Counter())[layout] += count
-                    for n, k in held.items():
-                        rest[n] -= k * count
-            _fit_rest({n: c for n, c in rest.items() if c}, trial, size)
-            tried.append((sum(sum(held.values()) for held in trial.values()), -share, trial))
-        room = min(tried, key=lambda x: x[:2])[2]
-    return [(layout, count) for held in room.values() for layout, count in held.items() if count]
+            room, rest = _rounded(chosen, demand, share, size)
+            trial = _joined(done, room)
+            _fit_rest(rest, trial, size)
+            tried.append((_used(trial), -share, trial))
+        n, _, trial = min(tried, key=lambda x: x[:2])
+        if least is None or n < least:
+            best, least = trial, n
+        if least <= math.ceil(bound - 1e-6):
+            break
+        room, rest = _rounded(chosen, demand, 1.0, size)
+        if not room:
+            break
+        # layouts with room to spare are given back: their pieces meet the others again in the next program
+        full = {0: room.pop(0)} if 0 in room else {}
+        back = Counter(rest)
+        for held in room.values():
+            for layout, count in held.items():
+                for n in layout:
+                    back[n] += count
+        done, demand = _joined(done, full), dict(back)
+        if not full:
+            break
+    return [(layout, count) for held in (best or done).values() for layout, count in held.items() if count]
 
 
 def _runs(solution: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
