@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,16 +20,43 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a temporary one, if driver
+    and executors are one process; a cluster has to name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        app = spark.sparkContext.applicationId
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = context.applicationId
         if app not in _OWN:
             _OWN[app] = f"file://{tempfile.mkdtemp(prefix='tickloom-')}"
         folder = _OWN[app]
     return folder.rstrip("/")
 
 
+#: Rows of an Arrow batch that carries whole texts to Python, while a table is written.
+BATCH_ROWS = 512
+_ROWS, _CLEAN = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _while_writing(spark: SparkSession) -> Iterator[None]:
+    """Short Arrow batches, unless the session has a limit of its own, and shuffle files that go as soon as the table is
+    written. Both settings are put back."""
+    before = {k: spark.conf.get(k, None) for k in (_ROWS, _CLEAN)}
+    if before[_ROWS] in (None, "10000"):
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 class Scratch:
     """Written tables of one operator run; each cuts the lineage and survives lost executors."""
 
@@ -35,36 +65,24 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 
-    def keep(self, df: DataFrame, *, partitions: int | None = None) -> DataFrame:
+    def keep(self, df: DataFrame, **options: str) -> DataFrame:
         """Write df as Parquet in the shared folder and read it back."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}"
-        if partitions:
-            df = df.coalesce(partitions)
-        df.write.parquet(path)
+        with _while_writing(self.spark):
+            df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tickloom_path = path
         return out
 
-    def drop(self, df: DataFrame | None) -> None:
-        """Delete a table written by keep() that nothing reads any more."""
-        path = getattr(df, "_tickloom_path", None)
-        if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-#: Rows of an Arrow batch that carries whole texts to Python.
-BATCH_ROWS = 512
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def short_batches(spark: SparkSession) -> None:
-    """Arrow batches are limited by rows, and texts can be long: the default of 10,000 rows would let a batch of long
-    documents fill an executor. A setting of the session's own is left alone."""
-    if spark.conf.get(_ROWS, "10000") == "10000":
-        spark.conf.set(_ROWS, str(BATCH_ROWS))
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables written by keep() that nothing reads any more."""
+        for df in tables:
+            path = getattr(df, "_tickloom_path", None)
+            if path:
+                jvm = self.spark.sparkContext._jvm
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def words(text: Column) -> Column:

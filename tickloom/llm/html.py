@@ -28,8 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches
-
 # Element names and markers of parts that are no main text.
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
@@ -363,7 +361,6 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts += [main_text(x) for x in b.column(2).slice(k, 256).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    short_batches(pages.sparkSession)
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return source.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 

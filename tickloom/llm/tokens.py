@@ -20,8 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches
-
 #: Texts of more characters are encoded in chunks; so many characters to a chunk, so many shared by neighbours.
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 _LOADED: dict = {}
@@ -100,7 +98,6 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHU
                 counts += count_batch(tok, b.column(2).slice(k, 512).to_pylist(), chunk, overlap)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    short_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")).mapInArrow(
         run, "doc_id long, n_bytes long, n_tokens long"
