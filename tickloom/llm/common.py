@@ -40,7 +40,7 @@ _ROWS, _CLEAN = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.class
 
 
 @contextmanager
-def _while_writing(spark: SparkSession) -> Iterator[None]:
+def while_writing(spark: SparkSession) -> Iterator[None]:
     """Short Arrow batches, unless the session has a limit of its own, and shuffle files that go as soon as the table is
     written. Both settings are put back."""
     before = {k: spark.conf.get(k, None) for k in (_ROWS, _CLEAN)}
@@ -69,7 +69,7 @@ class Scratch:
         """Write df as Parquet in the shared folder and read it back."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}"
-        with _while_writing(self.spark):
+        with while_writing(self.spark):
             df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tickloom_path = path
