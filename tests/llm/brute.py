@@ -45,6 +45,31 @@ def components(fps, radius=3):
     return [least[find(i)] for i in range(len(fps))]
 
 
+def near_components(rows, radius=3, least=0.8):
+    """rows (doc_id, text) -> smallest doc_id of each one's component over near fingerprints or alike five-word shingles."""
+    fps = [fingerprint(t) for _, t in rows]
+    sets = [shingles(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""), fold=False) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            alike = a and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and len(a & b) >= least * len(a | b) - 1e-9
+            if alike or (fps[i] ^ fps[j]).bit_count() <= radius:
+                parent[find(i)] = find(j)
+    smallest = {}
+    for i, (d, _) in enumerate(rows):
+        r = find(i)
+        smallest[r] = min(d, smallest.get(r, d))
+    return [smallest[find(i)] for i in range(len(rows))]
+
+
 def quality(text):
     w = words(text, lower=False)
     windows = {}
@@ -64,8 +89,8 @@ def quality(text):
     return f
 
 
-def shingles(text, n=5):
-    w = (text or "").lower()
+def shingles(text, n=5, fold=True):
+    w = (text or "").lower() if fold else text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", w)
     if not w:
         return set()

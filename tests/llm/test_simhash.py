@@ -119,3 +119,22 @@ def test_near_copies_beyond_the_fingerprints(docs_of):
     assert far > 10 and len(kept) > 70
     got = simhash.drop_near_duplicates(docs_of(rows + [(None, None), (1000, "")]), jaccard=0.8)
     assert sorted(r["doc_id"] for r in got.collect()) == [*kept, 1000]
+
+
+def test_a_large_group_of_near_copies(docs_of, monkeypatch):
+    """Many copies of one text with a few words changed, over several blocks, and texts of a common passage that are not
+    alike: the forest joins just what brute force joins."""
+    monkeypatch.setattr(simhash, "TEXTS", 32)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for k in range(150):
+        copy = list(base)
+        for _ in range(rng.randrange(3)):
+            copy[rng.randrange(60)] = f"c{rng.randrange(30)}"
+        rows.append((k, " ".join(copy)))
+    for k in range(40):
+        rows.append((1000 + k, " ".join([*base[:25], *(f"u{k}x{i}" for i in range(rng.randrange(4, 60)))])))
+    rows += rows[3:6] + [(2000, None), (2001, ""), (2002, "w1 w2"), (2003, "w1  W2"), (2004, "long " * 30_000)]
+    got = simhash.drop_near_duplicates(docs_of(rows), jaccard=0.8)
+    assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == sorted(set(brute.near_components(rows)))

@@ -4,9 +4,11 @@ The family: every bit position i gets a vector m(i) in F2^(r+1); table v (a non-
 <m(i), v> = 1. Up to r differing positions span at most r dimensions, so some v is orthogonal to all of them and
 the two fingerprints agree in table v: no pair within radius r is missed (r = 3: 15 tables of about 34 bits).
 
-`drop_near_duplicates` can also link texts by the Jaccard similarity of their word shingles: candidates share one of
-BANDS bands of BAND_ROWS MinHash values (a pair at 0.8 shares none with a chance of 3 in 100,000), and the similarity of
-each is computed from 64-bit hashes of all its shingles. Texts of one shingle set are looked at once.
+`drop_near_duplicates` can also link texts by the Jaccard similarity of their word shingles. Candidates share one of
+BANDS bands of BAND_ROWS MinHash values (a pair at 0.8 shares none with a chance of 3 in 100,000). Texts of one shingle
+set are looked at once. Every text points to the first one of each of its bands; within a component of these pointers,
+the texts are dealt into blocks, each pair of blocks is one bounded group, and there the similarity of candidates is
+computed from all their shingles' 64-bit hashes. No pair of candidates is written, only the edges of a forest.
 
 Defined results: null text counts as empty; an empty text has fingerprint 0 and links like any other; repeated
 doc_ids keep one row each; a component whose ids are all null has a null id; other columns are ignored; an empty
@@ -30,8 +32,9 @@ BITS = 64
 SEED = 42
 #: Rows of one block of a bucket: two blocks meet in a task and are compared there.
 BLOCK = 1024
-#: Bands of MinHash values and values in a band.
+#: Bands of MinHash values and values in a band; texts and shingles of a block in which similarities are computed.
 BANDS, BAND_ROWS = 20, 4
+TEXTS, SHINGLES = 512, 1 << 19
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -52,17 +55,48 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, *more: Column) -> DataFrame:
-    """(doc_id, fp), and `key` if an expression for it is given; fp holds the 64 bits as a signed long."""
+def row_key() -> Column:
+    """Names a row by what it holds: 128 bits of its id and text."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("doc_id", "text")]
+    return F.unhex(F.md5(F.concat(parts[0], F.lit("\n"), parts[1])))
+
+
+def _bytes(column: pa.Array) -> Iterator[bytes]:
+    """Null is the empty text."""
+    for t in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()):
+        yield t.as_py() or b""
+
+
+def fingerprints(docs: DataFrame, width: int = 3, sketched: int | None = None, key: Column | None = None) -> DataFrame:
+    """(doc_id, fp), `key` if an expression for it is given, and, if a number of words is given for `sketched`, `shingles`
+    (the name of the text's set of shingles of so many words) and its `bands`, both null for a text without words. fp
+    holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = _sketcher() if sketched else None
         for b in batches:
-            texts = b.column(0).cast(pa.binary() if pa.types.is_string(b.schema.types[0]) else pa.large_binary())
-            fps = np.fromiter((fingerprint(t.as_py() or b"", width) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.record_batch([*b.columns[1:], pa.array(fps.view(np.int64))], names=[*b.schema.names[1:], "fp"])
-
-    wanted = [F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *[c.alias("key") for c in more]]
-    return docs.select(*wanted).mapInArrow(run, "doc_id long, " + "key long, " * len(more) + "fp long")
+            fps, sets, bands = [], [], []
+            for t in _bytes(b.column(0)):
+                fps.append(fingerprint(t, width))
+                if sketch:
+                    h = _shingle_hashes(t, sketched)
+                    sets.append(xxhash.xxh128_digest(h.tobytes()) if len(h) else None)
+                    bands.append(sketch(h) if len(h) else None)
+            out = [*b.columns[1:], pa.array(np.array(fps, dtype=np.uint64).view(np.int64))]
+            if sketch:
+                out += [pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.record_batch(out, names=names)
+
+    wanted = [F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id")]
+    shape = {"doc_id": "long"}
+    if key is not None:
+        wanted.append(key.alias("key"))
+        shape["key"] = "binary"
+    shape["fp"] = "long"
+    if sketched:
+        shape |= {"shingles": "binary", "bands": "array<long>"}
+    names = list(shape)
+    return docs.select(*wanted).mapInArrow(run, ", ".join(f"{k} {v}" for k, v in shape.items()))
 
 
 def covering_masks(radius: int = 3, bits: int = BITS) -> list[int]:
@@ -124,61 +158,94 @@ def links(fps: DataFrame, scratch: Scratch, radius: int = 3, block: int = BLOCK)
 def _shingle_hashes(text: bytes, width: int) -> np.ndarray:
     """Distinct XXH64 of the word shingles; a text of fewer words is its only shingle, an empty one has none."""
     words = text.lower().split()
-    n = max(len(words) - width + 1, 1) if words else 0
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(n)], dtype=np.uint64))
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], dtype=np.uint64))
 
 
-def _sketches(docs: DataFrame, key: Column, width: int) -> DataFrame:
-    """(key, set, bands): the name of the text's set of shingles and its bands; texts without words are left out."""
+def _sketcher():
+    """A function from shingle hashes to the names of their bands."""
     rng = np.random.default_rng(SEED)
     size = BANDS * BAND_ROWS
     mult, plus = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, size, dtype=np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, sets, bands = [], [], []
-            texts = b.column(1).cast(pa.binary() if pa.types.is_string(b.schema.types[1]) else pa.large_binary())
-            for k, t in zip(b.column(0).to_pylist(), texts, strict=True):
-                h = _shingle_hashes(t.as_py() or b"", width)
-                if len(h):
-                    low = np.full(size, np.iinfo(np.uint64).max, dtype=np.uint64)
-                    for i in range(0, len(h), 4096):
-                        x = h[i : i + 4096, None] * mult + plus
-                        low = np.minimum(low, ((x ^ (x >> np.uint64(32))) * mult).min(axis=0))
-                    keys.append(k)
-                    sets.append(np.int64(xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63)))
-                    bands.append([xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(low.reshape(BANDS, BAND_ROWS))])
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(sets, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["key", "set", "bands"])
-
-    return docs.select(key.alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, set long, bands array<long>")
-
-
-def similar(docs: DataFrame, key: Column, fps: DataFrame, scratch: Scratch, least: float, width: int = 5, radius: int = 3) -> DataFrame:
-    """(u, v): fingerprints of texts whose shingles have a Jaccard similarity of `least` or more, beyond the radius.
-    fps(key, fp): the fingerprint of each row."""
-    marked = scratch.keep(_sketches(docs, key, width).join(fps.select("key", "fp").distinct(), "key"))
-    one = scratch.keep(marked.groupBy("set").agg(F.min(F.struct("key", "fp", "bands")).alias("x")).select("set", "x.*"))
-    same = marked.join(one.select("set", F.col("fp").alias("first")), "set").where("fp <> first").select(F.col("first").alias("u"), F.col("fp").alias("v"))
-    flat = scratch.keep(one.select("key", "fp", F.posexplode("bands").alias("band", "value")))
-    shared = flat.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
-    flat = scratch.keep(flat.join(shared, ["band", "value"]))
-    a, b = (flat.select("band", "value", F.col("key").alias(f"k{x}"), F.col("fp").alias(x)) for x in "uv")
-    pairs = a.join(b, ["band", "value"]).where((F.col("ku") < F.col("kv")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > radius))
-    pairs = scratch.keep(pairs.select("ku", "u", "kv", "v").distinct())
-    wanted = scratch.keep(pairs.select(F.col("ku").alias("__wanted")).union(pairs.select("kv")).distinct())
+    def sketch(h: np.ndarray) -> list[int]:
+        low = np.full(size, np.iinfo(np.uint64).max, dtype=np.uint64)
+        for i in range(0, len(h), 4096):
+            x = h[i : i + 4096, None] * mult + plus
+            low = np.minimum(low, ((x ^ (x >> np.uint64(32))) * mult).min(axis=0))
+        return [xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(low.reshape(BANDS, BAND_ROWS))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return sketch
+
+
+def _alike(bands: np.ndarray, sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
+    """Edges from the first member of each linked set of one pair of blocks to the others. A pair is linked if it shares
+    a band and a share `least` of its shingles."""
+    rest, sizes = np.arange(len(sets)), np.array([len(x) for x in sets])
+    while len(rest) > 1:
+        root, front, rest = int(rest[0]), [int(rest[0])], rest[1:]
+        while front and len(rest):
+            i = front.pop()
+            a = sizes[i]
+            maybe = (bands[rest] == bands[i]).any(axis=1) & (np.minimum(sizes[rest], a) >= least * np.maximum(sizes[rest], a) - 1e-9)
+            near = np.zeros(len(rest), dtype=bool)
+            for k in np.flatnonzero(maybe):
+                j = rest[k]
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                near[k] = common >= least * (a + sizes[j] - common) - 1e-9
+            for j in rest[near]:
+                yield root, int(j)
+                front.append(int(j))
+            rest = rest[~near]
+
+
+def similar(docs: DataFrame, key: Column, marked: DataFrame, scratch: Scratch, least: float, width: int = 5, block: int = TEXTS) -> DataFrame:
+    """(u, v): fingerprints of texts whose shingles have a Jaccard similarity of `least` or more, as a forest.
+    marked(key, fp, shingles, bands): of each row of docs."""
+    marked = marked.where("shingles is not null")
+    one = scratch.keep(marked.groupBy("shingles").agg(F.min(F.struct("key", "fp", "bands")).alias("x")).select("shingles", "x.*"))
+    same = marked.select("shingles", "fp").distinct().join(one.select("shingles", F.col("fp").alias("first")), "shingles").where("fp <> first").select(F.col("first").alias("u"), F.col("fp").alias("v"))
+    # pointers from each text to the first of its bands; names that meet by chance only make a component larger
+    flat = scratch.keep(one.select(F.xxhash64("key").alias("node"), F.posexplode("bands").alias("band", "value")))
+    firsts = scratch.keep(flat.groupBy("band", "value").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("band", "value", "first"))
+    pointers = flat.join(firsts, ["band", "value"]).where("node > first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    found = components(pointers, scratch)
+    scratch.drop(flat, firsts)
+    members = scratch.keep(one.join(found, F.xxhash64("key") == F.col("node")).select("key", "fp", "bands", "label"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            texts = x.column(1).cast(pa.binary() if pa.types.is_string(x.schema.types[1]) else pa.large_binary())
-            sets = [_shingle_hashes(t.as_py() or b"", width).view(np.int64) for t in texts]
+            sets = [_shingle_hashes(t, width).view(np.int64) for t in _bytes(x.column(1))]
             yield pa.record_batch([x.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "hashes"])
 
-    texts = docs.select(key.alias("key"), F.col("text").cast("string").alias("text")).join(wanted, F.col("key") == F.col("__wanted"), "left_semi")
-    sets = scratch.keep(texts.mapInArrow(run, "key long, hashes array<long>").dropDuplicates(["key"]))
-    both = pairs.join(sets.select(F.col("key").alias("ku"), F.col("hashes").alias("hu")), "ku").join(sets.select(F.col("key").alias("kv"), F.col("hashes").alias("hv")), "kv")
-    common = F.size(F.array_intersect("hu", "hv"))
-    near = both.where(common >= least * (F.size("hu") + F.size("hv") - common) - 1e-9).select("u", "v")
-    return scratch.keep(near.unionByName(same).distinct())
+    texts = docs.select(key.alias("key"), F.col("text").cast("string").alias("text")).join(members.select(F.col("key").alias("__wanted")), F.col("key") == F.col("__wanted"), "left_semi")
+    sets = scratch.keep(texts.mapInArrow(hashed, "key binary, hashes array<long>").dropDuplicates(["key"]))
+    both = scratch.keep(members.join(sets, "key"))
+    size = both.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.size("hashes")) / SHINGLES)).cast("int").alias("g"), F.count("*").alias("n"))
+    size = scratch.keep(size.where("n > 1").select("label", "g"))
+    full = both.join(size, "label")
+    mine = F.pmod(F.xxhash64("key"), F.col("g")).cast("int")
+    dealt = full.select("label", F.struct("fp", "bands", "hashes").alias("x"), mine.alias("b"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
+    groups = dealt.groupBy("label", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi")).agg(F.collect_list("x").alias("xs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = [], []
+            for xs in batch.column(0):
+                x = xs.values
+                bands = x.field(1).flatten().to_numpy().reshape(-1, BANDS)
+                fps = x.field(0).to_numpy()
+                for i, j in _alike(bands, [y.values.to_numpy().view(np.uint64) for y in x.field(2)], least):
+                    u.append(fps[i])
+                    v.append(fps[j])
+            yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    near = groups.where(F.size("xs") > 1).select("xs").mapInArrow(run, "u long, v long").where("u <> v")
+    out = scratch.keep(near.unionByName(same).distinct())
+    scratch.drop(one, members, sets, both, size)
+    return out
 
 
 def _labelled(fps: DataFrame, scratch: Scratch, radius: int, more: DataFrame | None = None) -> DataFrame:
@@ -205,12 +272,12 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, jaccard: float | None = None) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id (nulls last), with all columns. Rows are named
-    by a hash of id and text, so repeated ids do no harm. jaccard: the similarity of five-word shingles from which texts
+    by 128 bits of id and text, so repeated ids do no harm. jaccard: the similarity of five-word shingles from which texts
     are linked whatever their fingerprints."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    key = F.xxhash64("doc_id", "text")
-    fps = scratch.keep(fingerprints(docs, width, key))
-    more = None if jaccard is None else similar(docs, key, fps, scratch, jaccard, radius=radius)
+    key = row_key()
+    fps = scratch.keep(fingerprints(docs, width, 5 if jaccard else None, key))
+    more = None if jaccard is None else similar(docs, key, fps, scratch, jaccard)
     all_ = scratch.keep(_labelled(fps, scratch, radius, more).select("doc_id", "key", "root"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
     first = scratch.keep(all_.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.key").alias("chosen")))
