@@ -13,9 +13,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+#: Similarity of five-word shingles from which documents are near copies, whatever their fingerprints.
+JACCARD = 0.8
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each component of near copies."""
-    return simhash.drop_near_duplicates(docs)
+    """One document, that of the smallest id, of each component of near copies: near fingerprints, or shingles alike."""
+    return simhash.drop_near_duplicates(docs, jaccard=JACCARD)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
