@@ -12,8 +12,7 @@ from .test_packing import check
 def test_run_equals_brute_force(spark, small, small_docs):
     rows = {r["doc_id"]: r for r in small_docs.collect()}
     good = {d for d, r in rows.items() if brute.quality(r["text"])["kept"]}
-    fps = [(d, brute.fingerprint(rows[d]["text"])) for d in sorted(good)]
-    alone = set(brute.components(fps))
+    alone = set(brute.near_components([(d, rows[d]["text"]) for d in sorted(good)]))
     items = [r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     clean = sorted(d for d in alone if not any(brute.contained(rows[d]["text"], s)[2] for s in items))
 
