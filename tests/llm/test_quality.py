@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from tickloom.llm import quality
 
 from . import brute
@@ -52,6 +55,46 @@ def test_plan_orders_by_rejections_per_cost(docs_of):
     assert order.index(next(r for r in order if r.name == "few_words")) < order.index(next(r for r in order if r.name == "symbols"))
 
 
+def test_order_is_greedy_and_conditional():
+    """b rejects most, but all of them fall to the cheap a; c comes before it with fewer."""
+    a, b, c, d = (quality.Rule(x, ("n_words",), "n_words < 1") for x in "abcd")
+    patterns = {0b0011: 60, 0b0001: 10, 0b0100: 20, 0b0010: 5, 0: 100}
+    assert quality.ordered([a, b, c, d], [1.0, 1.0, 1.0, 0.1], patterns) == [a, c, b, d]
+    assert quality.ordered([a, b], [100.0, 1.0], patterns) == [b, a]
+
+
+def test_a_rejected_document_pays_for_no_later_rule(docs_of, monkeypatch):
+    """The second rule's feature can't be computed at all; documents that the first rejects never ask for it."""
+    plain = quality._feature
+    monkeypatch.setattr(quality, "_feature", lambda n, *of: F.raise_error(F.lit("computed")).cast("long") if n == "n_symbols" else plain(n, *of))
+    first, second = quality.RULES[0], quality.RULES[2]
+    assert second.name == "symbols"
+    short = docs_of([(i, "a b c") for i in range(9)])
+    monkeypatch.setattr(quality, "plan_cascade", lambda *_: [first, second])
+    assert quality.keep_good(short).count() == 0
+    monkeypatch.setattr(quality, "plan_cascade", lambda *_: [second, first])
+    with pytest.raises(Exception, match="computed"):
+        quality.keep_good(short).collect()
+    # in the query the shown columns are there anyway; the others only where the base rules and earlier ones let through
+    monkeypatch.setattr(quality, "_feature", lambda n, *of: F.raise_error(F.lit("computed")).cast("long") if n == "n_stutter" else plain(n, *of))
+    assert not any(r["kept"] for r in quality.features(short).collect())
+    with pytest.raises(Exception, match="computed"):
+        quality.features(docs_of([(1, " ".join(f"w{i}" for i in range(40)))])).collect()
+
+
+def test_sample_is_bounded_and_ignores_file_order(spark, docs_of):
+    data = [(i, f"text {i} " * 30) for i in range(500)] + [(7, "same " * 9)] * 300
+    ids = [sorted(r["doc_id"] for r in quality._sampled(docs_of(x), 50).collect()) for x in (data, data[::-1])]
+    assert ids[0] == ids[1] and 0 < len(ids[0]) <= 50
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40)), 5, "x", 6, 7)], "doc_id long, text string, n_words long, w string, row int, __text int")
+    got = quality.keep_good(df)
+    assert got.columns == df.columns and got.collect() == df.collect()
+    assert quality.features(df).first()["n_words"] == 40
+
+
 def test_empty_table(docs_of):
     assert quality.features(docs_of([])).count() == 0
     assert quality.keep_good(docs_of([])).count() == 0

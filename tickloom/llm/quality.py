@@ -1,17 +1,21 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-A rule has a feature expression and a rejection predicate. plan_cascade() measures, on a bounded sample, each rule's
-cost (seconds to evaluate it alone) and selectivity (share of documents it rejects) and orders the rules by rejections
-per second. The verdict is a nested CASE, so a document is tested only up to the first rule that rejects it. The order
-changes the cost, never the verdict.
+A rule has a feature expression and a rejection predicate. plan_cascade() measures each rule's cost on a bounded sample
+(seconds to evaluate it in one task, beyond those of the same task without it, the least of several runs) and takes the
+rules greedily: next comes the one that rejects most of the sample's documents still left per second. The verdict is a
+nested CASE with the features inside its branches, so a document is tested only up to the first rule that rejects it,
+and what later rules would need is never computed for it. The order changes the cost, never the verdict.
 
 Defined results: null text counts as the empty text, which fails; repeated rows give repeated results; null ids stay
-null; extra columns are untouched; an empty table gives an empty result (and the rules keep their given order).
+null; extra columns, whatever their names, are kept by keep_good() and left out by features(); an empty table gives an
+empty result (and the rules keep their given order).
 """
 
 from __future__ import annotations
 
+import math
 import time
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE
 
-#: Rows of the sample on which cost and selectivity are estimated; the verdicts are over all rows.
-SAMPLE = 400
+#: Rows of the sample on which cost and selectivity are estimated, and runs of each timing; the verdicts are over all rows.
+SAMPLE, RUNS = 1000, 2
 WINDOW = 8
 
 
@@ -90,15 +94,17 @@ def _covered(h: Column) -> Column:
     )
 
 
-def _split(df: DataFrame) -> DataFrame:
-    """Adds __text (never null) and __w (its words)."""
-    df = df.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return df.withColumn("__w", F.array_remove(F.split("__text", SPACE + "+"), ""))
+def _text() -> Column:
+    """Never null."""
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def _feature(name: str) -> Column:
-    """A feature over the columns of _split()."""
-    text, w = F.col("__text"), F.col("__w")
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, SPACE + "+"), "")
+
+
+def _feature(name: str, text: Column, w: Column) -> Column:
+    """A feature of a text and its words."""
     if name == "n_words":
         return F.size(w).cast("long")
     if name == "word_chars":
@@ -120,7 +126,7 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _verdict(rules: list[Rule] | tuple[Rule, ...], given: set[str]) -> Column:
+def _verdict(rules: list[Rule] | tuple[Rule, ...], text: Column, w: Column, given: tuple[str, ...] = ()) -> Column:
     """True if no rule rejects. Features that are not columns yet are computed inside their branch, so only where no
     earlier rule has rejected."""
     out = F.lit(True)
@@ -128,12 +134,17 @@ def _verdict(rules: list[Rule] | tuple[Rule, ...], given: set[str]) -> Column:
         test = F.expr(r.rejects)
         lazy = [n for n in r.needs if n not in given]
         if lazy:
-            made = F.array(F.struct(*[_feature(n).alias(n) for n in lazy]))
+            made = F.array(F.struct(*[_feature(n, text, w).alias(n) for n in lazy]))
             test = F.transform(made, _substituted(r.rejects, lazy))[0]
         out = F.when(test, F.lit(False)).otherwise(out)
     return out
 
 
+def _passes(rules) -> Column:
+    """The verdict on the column text, which is split once."""
+    return _let(_text(), lambda t: _let(_words(t), lambda w: _verdict(rules, t, w)))
+
+
 def _substituted(text: str, lazy: list[str]):
     return lambda s: _substitute(text, s, lazy)
 
@@ -164,54 +175,79 @@ def _substitute(text: str, s: Column, lazy: list[str]) -> Column:
     return build(ast.parse(text, mode="eval").body)
 
 
-def plan_cascade(docs: DataFrame, rules=RULES, sample: int = SAMPLE) -> list[Rule]:
-    """The rules by rejections per second on a sample, best first. The sample is every row whose hashed text falls
-    under a threshold chosen from the row count, at most a few times `sample` rows."""
+def _sampled(docs: DataFrame, sample: int) -> DataFrame:
+    """At most `sample` rows, those of the smallest hashes of id and text, in one partition. Only rows under a threshold
+    that some `sample` rows pass are sorted."""
     n = docs.count()
-    if not n:
-        return list(rules)
-    every = max(1, n // sample)
-    part = docs.select("text").where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)) == 0).limit(4 * sample)
-    rows = part.persist()
+    h = F.xxhash64("doc_id", "text")
+    limit = math.ceil(min(1.0, 1.5 * sample / max(n, 1)) * (1 << 20))
+    few = docs.select("doc_id", "text").where(F.pmod(h, F.lit(1 << 20)) < limit)
+    return few.orderBy(h).limit(sample).coalesce(1)
+
+
+def ordered(rules, costs: list[float], patterns: dict[int, int]) -> list[Rule]:
+    """Greedily by rejections per cost among the documents that no earlier rule rejects. patterns: how many documents
+    have which set of rejecting rules, as bits by the rules' places. Rules that reject none come last, cheapest first."""
+    left, todo, out = dict(patterns), list(range(len(rules))), []
+    while todo:
+        hits = {i: sum(n for bits, n in left.items() if bits >> i & 1) for i in todo}
+        best = min(todo, key=lambda i: (-hits[i] / costs[i], costs[i], i))
+        out.append(rules[best])
+        todo.remove(best)
+        left = {bits: n for bits, n in left.items() if not bits >> best & 1}
+    return out
+
+
+def plan_cascade(docs: DataFrame, rules=RULES, sample: int = SAMPLE) -> list[Rule]:
+    """The rules in the order of ordered(), rated on a sample."""
+    rows = _sampled(docs, sample).persist()
     try:
-        total = rows.count()
-        if not total:
+        if rows.isEmpty():
             return list(rules)
-        wide = _split(rows)
-        wide.agg(F.sum(F.size("__w"))).first()  # code paths are warm before any rule is timed
-        rated = []
-        for place, r in enumerate(rules):
-            one = wide.select("*", *[_feature(f).alias(f) for f in r.needs])
-            began = time.monotonic()
-            hits = one.agg(F.count_if(F.expr(r.rejects))).first()[0]
-            cost = time.monotonic() - began
-            rated.append((-(hits + 0.5) / (total + 1) / max(cost, 1e-3), place, r))
-        return [r for _, _, r in sorted(rated, key=lambda x: x[:2])]
+
+        def seconds(column: Column) -> float:
+            took = []
+            for _ in range(RUNS):
+                began = time.monotonic()
+                rows.agg(F.count_if(column)).first()
+                took.append(time.monotonic() - began)
+            return min(took)
+
+        idle = _let(_words(_text()), lambda w: F.size(w) >= 0)  # what all have in common
+        seconds(idle)  # compiles it
+        least = seconds(idle)
+        costs = [max(seconds(_passes([r])) - least, 1e-4) for r in rules]
+        bits = sum((F.when(~_passes([r]), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(rules)), F.lit(0))
+        return ordered(rules, costs, Counter(r["bits"] for r in rows.select(bits.alias("bits")).collect()))  # at most the sample
     finally:
         rows.unpersist()
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_stutter, n_lines, n_dup_lines, n_repeat_words and base_failed."""
-    names = ("n_words", "word_chars", "n_symbols", "n_stutter", "n_lines", "n_dup_lines", "n_repeat_words")
-    df = _split(docs.drop(*names))
-    df = df.select("*", *[_feature(n).alias(n) for n in names]).drop("__text", "__w")
-    failed = " or ".join(f"({r.rejects})" for r in RULES if r.name in BASE)
-    return df.withColumn("base_failed", F.expr(failed))
+#: Features that are part of a result by themselves.
+SHOWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def features(docs: DataFrame, order=RULES) -> DataFrame:
+    """(doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept): what is shown is
+    computed for every document, what only other rules need inside their branch."""
+    df = docs.select("doc_id", "text", _text().alias("t")).withColumn("w", _words(F.col("t")))
+    df = df.select("doc_id", "text", "t", "w", *[_feature(n, F.col("t"), F.col("w")).alias(n) for n in SHOWN])
+    failed = F.expr(" or ".join(f"({r.rejects})" for r in RULES if r.name in BASE))
+    df = df.select("*", failed.alias("base_failed"))
+    others = [r for r in order if r.name not in BASE]
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(_verdict(others, F.col("t"), F.col("w"), SHOWN))
+    return df.select("doc_id", "text", *SHOWN, "base_failed", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """The documents that no rule rejects, with their own columns; features are computed only as far as needed."""
     order = plan_cascade(docs, rules, sample)
-    return _split(docs).where(_verdict(order, set())).drop("__text", "__w")
+    return docs.where(_passes(order))
 
 
 def op10_quality_cascade(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    order = plan_cascade(docs)
-    df = features(docs)
-    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(_verdict(order, set(df.columns)))
-    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    return features(docs, plan_cascade(docs)).drop("text")
 
 
 #: The rules' thresholds, as RULES states them.
