@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import html
+import math
+import random
 import re
 import time
 
@@ -66,6 +68,85 @@ def test_query(spark, small):
         assert (r["url"], r["text"], r["n_chars"]) == (pages[r["page_id"]]["url"], expected(pages[r["page_id"]]["html"]), len(r["text"]))
 
 
+def test_density_alone_finds_the_article(spark, small):
+    """The same texts without the element that marks the article."""
+    pages = [r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    bare = [re.sub(r"(</?)(?:article|main)\b", r"\1div", h) for h in pages]
+    assert [hx.main_text(h) for h in bare] == [expected(h) for h in pages]
+
+
+def test_a_page_without_any_names():
+    paragraphs = "".join(f"<p>{'Sentences of some length, in a row. ' * 5}</p>" for _ in range(6))
+    links = "".join(f"<li><a href=/{i}>A link of some words {i}</a></li>" for i in range(30))
+    page = f"<body><div><ul>{links}</ul></div><div><div><h2>The heading</h2>{paragraphs}</div><div><ul>{links}</ul></div></div><div>{links}</div></body>"
+    got = hx.main_text(page)
+    assert got.startswith("The heading\nSentences") and got.count("\n") == 6 and "link" not in got
+
+
+def tree(rng, depth=0):
+    """A random element: (name, children), children are elements or texts."""
+    if depth and rng.random() < 0.5:
+        return " ".join("word" * rng.randrange(1, 4) for _ in range(rng.randrange(1, 12)))
+    name = rng.choice(["div", "section", "ul", "div", "a", "b"]) if depth else "body"
+    children = [tree(rng, depth + 1) for _ in range(rng.randrange(0 if depth else 1, 5))] if depth < 5 else []
+    return name, children
+
+
+def written(node):
+    return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(written, node[1]))}</{node[0]}>"
+
+
+def brute_densities(node, out, share, linked=False):
+    """(C, T, LC, LT, densities of the block nodes that are its children, inline elements seen through) in document
+    order: out gets (name, density, sum) of every element."""
+    place = len(out)
+    out.append(None)
+    linked = linked or node[0] == "a"
+    c = t = lc = lt = 0
+    below = []
+    for x in node[1]:
+        if isinstance(x, str):
+            c += len(x)
+            lc += len(x) * linked
+            continue
+        c2, t2, lc2, lt2, below2, own = brute_densities(x, out, share, linked)
+        c, t, lc, lt = c + c2, t + t2 + 1, lc + lc2, lt + lt2 + (x[0] == "a")
+        below += below2 if x[0] in "ab" else [own]
+    own = 0.0
+    if c and node[0] not in "ab":
+        inner = math.log((c / (c - lc) if c > lc else c) * lc + share * c + math.e)
+        own = c / (t or 1) * math.log((c / lc if lc else c) * ((t or 1) / lt if lt else (t or 1))) / max(1.0, math.log(inner))
+    out[place] = (node[0], own, 0.0 if node[0] in "ab" else sum(below))
+    return c, t, lc, lt, below, own
+
+
+def test_densities_and_sums_equal_brute_force():
+    rng = random.Random(12)
+    chosen = set()
+    for _ in range(300):
+        page = tree(rng)
+        p = hx.Page(written(page))
+        first: list = []
+        c, _, lc, *_ = brute_densities(page, first, 0.0)
+        want: list = []
+        brute_densities(page, want, lc / max(c, 1))
+        density, total, _, _ = hx._densities(p, 1)
+        assert p.tag[1:] == [n for n, _, _ in want]
+        assert density[1:] == pytest.approx([d for _, d, _ in want])
+        assert total[1:] == pytest.approx([x for _, _, x in want])
+        k = hx._holder(p, total, 1)
+        assert total[k] == pytest.approx(max(x for n, _, x in want if n not in "ab"))
+        chosen.add(k)
+    assert len(chosen) > 5
+
+
+def test_long_pages_are_read_whole():
+    n = 20_000
+    page = "<body><nav><a href=/>x</a></nav><div>" + "".join(f"<p>Paragraph {i} of a page.</p>" for i in range(n)) + "</div></body>"
+    lines = hx.main_text(page).split("\n")
+    assert len(lines) == n and lines[0] == "Paragraph 0 of a page." and lines[-1] == f"Paragraph {n - 1} of a page."
+
+
 def test_nulls_and_repeats(spark):
     d = spark.createDataFrame([(None, None, None, 1), (1, "u", "<p>x", 2), (1, "u", "<p>x", 2)], "page_id long, url string, html string, text int")
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in hx.extract(d).collect()) == [(0, "", 0), (1, "x", 1), (1, "x", 1)]

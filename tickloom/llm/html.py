@@ -5,11 +5,15 @@ characters r = LCb / Cb, its density is
 
     C/T * log( C/LC * T/LT ) / log( ln( C/(C-LC) * LC + r * C + e ) )
 
-(zero divisors count as one). A node's sum is that of its children's densities; the node with the largest sum holds the
-text, and siblings on its path to the body that are at least as dense as the least dense node of the path, and are not
-mostly links, belong to it as well; so do runs of text directly in the path's nodes, by the same test. Parts that are by their markup no main text (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments) are taken out first; where the page marks its article, the
-selection is brought to that element.
+(zero divisors count as one, and the divisor at the end is at least one: with few links the inner logarithm is near one).
+Inline elements are no nodes of their own: they count as tags of their block. A node's sum is that of its children's
+densities; the node with the largest sum, the first among equals, holds the text. Siblings on its path to the body that
+are at least as dense as the least dense node of the path, and are not mostly links, belong to it as well; so do runs of
+text directly in the path's nodes, by the same test, and headings that lead a part that belongs to it.
+
+What density can't tell, since it is prose or no text at all, is taken out first: elements that are by their name no main
+text (scripts, styles, forms, menus, footers, asides), hidden ones, and parts named as adverts, notices or reader
+comments. Parts named as menus, sidebars and the like are counted as all others are, and taken out of the selection.
 
 Defined results: null or empty html gives the empty text; broken markup is read as browsers do (implied end tags, text
 outside any element, cut pages); repeated rows give repeated results; null ids and addresses stay null; other columns are
@@ -36,12 +40,17 @@ DROPPED = frozenset(
     "head title script style noscript template nav footer aside form button select textarea input iframe svg canvas object embed audio video dialog menu noembed noframes xmp datalist map math".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist status".split())
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adsbygoogle adbox adslot sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices "
-    "notification alert alerts announcement disclaimer toast popup modal overlay newsletter subscribe subscription signup login paywall sidebar sidenav aside rail menu nav navbar navigation "
-    "breadcrumb breadcrumbs footer masthead comment comments commentlist disqus responses discussion reactions replies respond social share sharing related recommended recommendations widget "
-    "widgets toolbar pagination pager search skip".split()
+#: Parts of prose.
+PROSE = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adsbygoogle adbox adslot sponsor sponsored sponsors promo promoted promotion cookie cookies consent gdpr notice notices "
+    "notification alert alerts announcement disclaimer toast popup modal overlay newsletter paywall comment comments commentlist disqus responses discussion reactions replies respond".split()
+)
+#: Parts of links and controls.
+LINKS = frozenset(
+    "banner subscribe subscription signup login sidebar sidenav aside rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead social share sharing related recommended "
+    "recommendations widget widgets toolbar pagination pager search skip".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEADERS = frozenset("header topbar".split())
 #: Class names that begin so tell about the layout or belong to the article, whatever follows.
 LAYOUT = frozenset("has with without no is js".split())
@@ -83,7 +92,8 @@ class Page:
 
     def __init__(self, page: str, marked: bool = True):
         self.marked = marked  # class and id names count
-        self.tag, self.parent, self.drop = ["#root"], [-1], [False]
+        self.tag, self.parent = ["#root"], [-1]
+        self.drop, self.late = [False], [False]  # taken out before anything is counted, or of what is selected
         self.events: list[tuple[int, str | None]] = []  # (node, text), or (node, None) where a block begins or ends
         self.open = [0]
         self.held: Counter = Counter()  # open elements by name, so that a search for one that isn't open costs nothing
@@ -97,7 +107,9 @@ class Page:
         node, up = len(self.tag), self.open[-1]
         self.tag.append(name)
         self.parent.append(up)
-        self.drop.append(self.drop[up] or self._unwanted(name, attributes))
+        drop, late = self._unwanted(name, attributes)
+        self.drop.append(self.drop[up] or drop)
+        self.late.append(self.late[up] or late)
         if name not in INLINE:
             self.events.append((up, None))
         elif name == "br":
@@ -106,39 +118,35 @@ class Page:
             self.open.append(node)
             self.held[name] += 1
 
-    def _unwanted(self, name: str, attributes: str) -> bool:
+    def _unwanted(self, name: str, attributes: str) -> tuple[bool, bool]:
         if name in DROPPED:
-            return True
+            return True, False
         if name in HOLDERS:
             inside = attributes.lower() if name == "article" and attributes else ""
-            return bool(inside) and any(w in ("comment", "comments", "related", "ad", "advert", "sponsored", "promo") for m in re.finditer(r"class\s*=\s*[\"']?([^\"'>]*)", inside) for w in _WORD.findall(m[1]))
-        if name == "header":
-            return not self._in_article()
-        if not attributes:
-            return False
-        for m in _ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if key in ("class", "id") and self.marked and any(self._marks(x) for x in value.split()):
-                return True
-            if key == "role" and value.strip() in ROLES:
-                return True
-            if key == "hidden" or (key == "aria-hidden" and value == "true"):
-                return True
-            if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        return False
+            return bool(inside) and any(w in ("comment", "comments", "related", "ad", "advert", "sponsored", "promo") for m in re.finditer(r"class\s*=\s*[\"']?([^\"'>]*)", inside) for w in _WORD.findall(m[1])), False
+        late = name == "header" and not self._in_article()
+        if attributes:
+            for m in _ATTRIBUTE.finditer(attributes):
+                key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+                if key in ("class", "id") and self.marked:
+                    for x in value.split():
+                        parts = _WORD.findall(x)
+                        if not parts or parts[0] in LAYOUT:
+                            continue
+                        if not PROSE.isdisjoint(parts):
+                            return True, False
+                        late = late or not LINKS.isdisjoint(parts) or (not HEADERS.isdisjoint(parts) and parts[0] not in OWN and not self._in_article())
+                if key == "role" and value.strip() in ROLES:
+                    late = True
+                if key == "hidden" or (key == "aria-hidden" and value == "true"):
+                    return True, False
+                if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                    return True, False
+        return False, late
 
     def _in_article(self) -> bool:
         return bool(self.held["article"] or self.held["main"])
 
-    def _marks(self, label: str) -> bool:
-        parts = _WORD.findall(label)
-        if not parts or parts[0] in LAYOUT:
-            return False
-        if not MARKS.isdisjoint(parts):
-            return True
-        return not HEADERS.isdisjoint(parts) and parts[0] not in OWN and not self._in_article()
-
     def _close(self, names: tuple[str, ...], barrier) -> None:
         if not any(self.held[n] for n in names):
             return
@@ -228,16 +236,20 @@ def _density(c: int, t: int, lc: int, lt: int, share: float) -> float:
     if not c:
         return 0.0
     t = max(t, 1)
-    base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-    return c / t * math.log(max(c / max(lc, 1) * (t / max(lt, 1)), 1.0)) / max(math.log(base + 1e-9), 1.0)
+    inner = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+    return c / t * math.log(c / max(lc, 1) * (t / max(lt, 1))) / max(math.log(inner), 1.0)
 
 
 def _densities(p: Page, body: int) -> tuple[list[float], list[float], list[int], list[int]]:
+    """Density of each node, the sum of its children's, its characters and those in links."""
     n = len(p.tag)
     chars, tags, linked, links = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
+    block = list(range(n))  # the nearest element that is not inline
     for i in range(1, n):
         in_link[i] = in_link[p.parent[i]] or p.tag[i] == "a"
+        if p.tag[i] in INLINE:
+            block[i] = block[p.parent[i]]
     for node, text in p.events:
         if text and not p.drop[node]:
             k = len(_SPACE.sub(" ", text).strip())
@@ -254,10 +266,10 @@ def _densities(p: Page, body: int) -> tuple[list[float], list[float], list[int],
     share = linked[body] / max(chars[body], 1)
     density, total = [0.0] * n, [0.0] * n
     for i in range(n):
-        if not p.drop[i]:
+        if not p.drop[i] and block[i] == i:
             density[i] = _density(chars[i], tags[i], linked[i], links[i], share)
-    for i in range(n - 1, 0, -1):
-        total[p.parent[i]] += density[i]
+            if i:
+                total[block[p.parent[i]]] += density[i]
     return density, total, chars, linked
 
 
@@ -268,7 +280,7 @@ def _bare_runs(p: Page, above: set[int], keep: list[bool], least: float, share:
     run: list[int] = []
     for k, (node, text) in enumerate([*p.events, (0, None)]):
         if text is not None:
-            if not p.drop[node] and not keep[node]:
+            if not p.drop[node] and not p.late[node] and not keep[node]:
                 run.append(k)
             continue
         if any(p.events[i][0] in above and p.events[i][1].strip() for i in run):
@@ -296,48 +308,42 @@ def main_text(page: str | None) -> str:
     return _selected(Page(page)) or _selected(Page(page, marked=False))
 
 
+def _holder(p: Page, total: list[float], body: int) -> int:
+    """The node of the largest sum below the body."""
+    inside = [False] * len(p.tag)
+    inside[body] = True
+    for i in range(1, len(p.tag)):
+        inside[i] = inside[i] or inside[p.parent[i]]
+    return max((i for i in range(len(p.tag)) if inside[i] and not p.drop[i] and (i == body or p.tag[i] not in INLINE)), key=lambda i: (total[i], -i))
+
+
 def _selected(p: Page) -> str:
     n = len(p.tag)
     body = next((i for i in range(n) if p.tag[i] == "body" and not p.drop[i]), 0)
     density, total, chars, linked = _densities(p, body)
     if not chars[0]:
         return ""
-    inside = [False] * n  # of the body
-    inside[body] = True
-    for i in range(1, n):
-        inside[i] = inside[i] or inside[p.parent[i]]
-    best = max((i for i in range(n) if inside[i] and not p.drop[i]), key=lambda i: (total[i], -i))
-    path = [best]
+    path = [_holder(p, total, body)]
     while path[-1] != body:
         path.append(p.parent[path[-1]])
-    # the article that the page marks: around the selection, or inside it with at least half its text
-    marked = [i for i in path if p.tag[i] in ("article", "main")]
-    above: set[int] = set()
-    least = 0.0
-    if marked:
-        chosen = {next((i for i in marked if p.tag[i] == "article"), marked[-1])}
-    else:
-        within = [False] * n
-        within[best] = True
-        for i in range(1, n):
-            within[i] = within[i] or within[p.parent[i]]
-        tops = [i for i in range(n) if within[i] and p.tag[i] in ("article", "main") and not p.drop[i] and chars[i]]
-        inner = set(tops)
-        tops = [i for i in tops if p.parent[i] not in inner]
-        if tops and 2 * sum(chars[i] for i in tops) >= chars[best]:
-            chosen = set(tops)
-        else:
-            least = min(density[i] for i in path)
-            chosen, on_path, above = {best}, set(path), set(path[1:])
-            for i in range(1, n):
-                if p.parent[i] in above and i not in on_path and not p.drop[i] and density[i] >= least and 2 * linked[i] < chars[i]:
-                    chosen.add(i)
+    least = min(density[i] for i in path if i == body or p.tag[i] not in INLINE)
+    chosen, on_path, above = {path[0]}, set(path), set(path[1:])
+    beside: dict[int, list[int]] = {i: [] for i in above}
+    for i in range(1, n):
+        if p.parent[i] in above and not p.drop[i] and p.tag[i] not in INLINE and chars[i]:
+            beside[p.parent[i]].append(i)
+            if i not in on_path and density[i] >= least and 2 * linked[i] < chars[i]:
+                chosen.add(i)
+    for children in beside.values():  # headings that lead a chosen part, or the part that holds the selection
+        leads = False
+        for i in reversed(children):
+            if p.tag[i] in HEADINGS and leads and 2 * linked[i] < chars[i]:
+                chosen.add(i)
+            leads = i in chosen or i in on_path
     keep = [False] * n
-    bare: set[int] = set()
     for i in range(n):
         keep[i] = i in chosen or (i > 0 and keep[p.parent[i]])
-    if above:
-        bare = _bare_runs(p, above, keep, least, linked[body] / max(chars[body], 1))
+    bare = _bare_runs(p, above, keep, least, linked[body] / max(chars[body], 1)) if above else set()
     blocks: list[str] = []
     parts: list[str] = []
     for k, (node, text) in enumerate(p.events):
@@ -345,7 +351,7 @@ def _selected(p: Page) -> str:
             if parts:
                 blocks.append("".join(parts))
                 parts = []
-        elif (keep[node] or k in bare) and not p.drop[node]:
+        elif (keep[node] or k in bare) and not p.drop[node] and not p.late[node]:
             parts.append(text)
     blocks.append("".join(parts))
     return "\n".join(x for x in (_SPACE.sub(" ", b).strip() for b in blocks) if x)
