@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import math
+import re
+import time
+from collections import Counter
+
 import numpy as np
 
 from tickloom.llm import language as lg
@@ -25,29 +30,77 @@ def test_text_decides_and_host_helps_where_text_is_silent(spark):
     assert all(1 / 3 <= r["confidence"] <= 1 for r in got.values())
 
 
+def brute_posteriors(texts):
+    """Naive Bayes over letter trigrams of padded words, fitted to LABELLED, tempered to 60 letters."""
+    counts = {}
+    grams = lambda t: [f" {w} "[k : k + 3] for w in re.findall(r"[^\W\d_]+", t.lower()) for k in range(len(w))]
+    for _, t, x in LABELLED:
+        counts.setdefault(x, Counter()).update(grams(t))
+    names = sorted(counts)
+    kinds = len(set().union(*counts.values())) + 1
+    out = []
+    for t in texts:
+        logs = np.array([sum(math.log((counts[x][g] + 0.5) / (counts[x].total() + 0.5 * kinds)) for g in grams(t)) for x in names], dtype=float)
+        logs *= min(1.0, 60 / max(len(grams(t)), 1))
+        p = np.exp(logs - logs.max())
+        out.append(p / p.sum())
+    return names, out
+
+
+def brute(pages, texts, codes):
+    """Sums over all other pages, level by level; pages: (id, url)."""
+    names, p = brute_posteriors(texts)
+    n = len(names)
+    hosts = [(u or "").split("/")[2] if "//" in (u or "") else "" for _, u in pages]
+    suffix = [".".join(h.split(".")[-2:]) if h.endswith(".co.uk") else h.split(".")[-1] for h in hosts]
+    domain = [".".join(h.split(".")[-3:]) if h.endswith(".co.uk") else ".".join(h.split(".")[-2:]) for h in hosts]
+    kinds, out = [*names, "other", "none"], {}
+    for i, (page, _) in enumerate(pages):
+        others = [j for j in range(len(pages)) if j != i]
+        mass = lambda at: sum((p[j] for j in others if at[j] == at[i]), np.zeros(n))  # noqa: E731, B023
+        prior = (sum((p[j] for j in others), np.zeros(n)) + 1) / (len(others) + n)
+        for at in (suffix, domain, hosts):
+            prior = (mass(at) + lg.LEVEL * prior) / (mass(at).sum() + lg.LEVEL)
+        said = (mass(codes) + 1) / (sum((p[j] for j in others), np.zeros(n)) + len(kinds))
+        q = np.maximum(p[i], 1e-12) * said * prior
+        out[page] = (names[int(q.argmax())], q.max() / q.sum())
+    return out
+
+
 def test_fusion_equals_brute_force(spark):
-    pages = [(i, f"http://{'ab'[i % 2]}.{'xy'[i % 3 == 0]}.example/{i}", f"<html lang={['en', 'de', 'zz'][i % 3]}><p>{['the', 'der', 'q', 'le chat'][i % 4]}</p>", 0, 0) for i in range(24)]
-    d, docs = tables(spark, pages)
-    got = {r["page_id"]: r for r in lg.identify(d, docs).collect()}
-    model = lg.fit(docs)
-    names, n = model.languages, len(model.languages)
-    rows = []
-    for i, url, page, *_ in pages:
-        text, code = lg.read_page(page, frozenset(names))
-        host = lg.host_of(url)
-        rows.append((i, host, ".".join(host.split(".")[-2:]), host.rsplit(".", 1)[-1], code, model.posterior(text)))
-    mass = lambda k, v: sum((r[5] for r in rows if r[k] == v), np.zeros(n))
-    overall = (sum(r[5] for r in rows) + 1) / (len(rows) + n)
-    smooth = lambda m, parent: (m + lg.LEVEL * parent) / (m.sum() + lg.LEVEL)
-    codes = [*names, "other", "none"]
-    for i, host, dom, suf, code, p in rows:
-        prior = smooth(mass(2, dom), smooth(mass(3, suf), overall))
-        prior = (np.maximum(mass(1, host) - p, 0) + lg.LEVEL * prior) / (mass(1, host).sum() - 1 + lg.LEVEL)
-        said = (mass(4, code) + lg.DECLARED) / (sum(mass(4, c) for c in codes) + lg.DECLARED * len(codes))
-        q = p * said * prior
-        q /= q.sum()
-        assert got[i]["lang"] == names[int(q.argmax())]
-        assert abs(got[i]["confidence"] - q.max()) < 1e-9
+    texts = ["the", "der", "q", "le chat"]
+    hosts = ["a.x.example", "b.x.example", "shop.a.co.uk", "www.b.co.uk", "b.co.uk"]
+    pages = [(i, f"http://{hosts[i % 5]}/{i}", f"<html lang={['en', 'de', 'zz'][i % 3]}><p>{texts[i % 4]}</p>", 0, 0) for i in range(40)]
+    pages += [(100, None, "<p>der hund", 0, 0), (101, "http://alone.example.test/", "<meta http-equiv=Content-Language content=fr><p>12", 0, 0)]
+    codes = [["en", "de", "other"][i % 3] for i in range(40)] + ["none", "fr"]
+    got = {r["page_id"]: r for r in lg.identify(*tables(spark, pages)).collect()}
+    want = brute([x[:2] for x in pages], [texts[i % 4] for i in range(40)] + ["der hund", "12"], codes)
+    assert {i: r["lang"] for i, r in got.items()} == {i: x for i, (x, _) in want.items()}
+    assert all(abs(got[i]["confidence"] - c) < 1e-9 for i, (_, c) in want.items())
+    assert got[101]["declared"] == "fr"
+
+
+def test_domains():
+    assert [lg.parts_of(h) for h in ("a.b.example", "x.co.uk", "www.x.co.uk", "co.uk", "x.com", "")] == [
+        ("b.example", "example"), ("x.co.uk", "co.uk"), ("x.co.uk", "co.uk"), ("co.uk", "uk"), ("x.com", "com"), ("", ""),
+    ]
+
+
+def test_broken_and_very_long_pages(spark):
+    began = time.monotonic()
+    for page in ("<html " * 170_000, "<meta " * 170_000, "<" * 1_000_000, "<html lang" * 100_000 + ">", "<a <b " * 150_000):
+        assert lg.read_page(page, frozenset(["en"]))[1] in ("none", "other")
+    assert time.monotonic() - began < 5
+    pages = [(1, "http://a.example/", "<html lang=en><p>" + "der hund und die katze mit dem haus " * 30_000, 0, 0), (2, "http://b.example/", "<html " * 100_000, 0, 0)]
+    got = {r["page_id"]: r["lang"] for r in lg.identify(*tables(spark, pages)).collect()}
+    assert got[1] == "de" and got[2] in ("de", "en", "fr")
+
+
+def test_ties_and_repeated_rows(spark):
+    pages = [(7, "http://a.example/", "<p>12345", 0, 0)] * 3
+    got = lg.identify(*tables(spark, pages)).collect()
+    assert [(r["lang"], r["text_lang"]) for r in got] == [("de", "de")] * 3  # all equal: the first of the alphabet
+    assert all(abs(r["confidence"] - 1 / 3) < 1e-9 for r in got)
 
 
 def test_accuracy_on_held_out_documents(spark):

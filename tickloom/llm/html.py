@@ -96,10 +96,13 @@ class Page:
         self.drop, self.late = [False], [False]  # taken out before anything is counted, or of what is selected
         self.events: list[tuple[int, str | None]] = []  # (node, text), or (node, None) where a block begins or ends
         self.open = [0]
+        self.language: str | None = None  # as the page declares it
         self.held: Counter = Counter()  # open elements by name, so that a search for one that isn't open costs nothing
         self._read(page)
 
     def _start(self, name: str, attributes: str, closed: bool) -> None:
+        if name in ("html", "meta") and self.language is None and attributes:
+            self._declare(name, attributes)
         if name in CLOSES_P:
             self._close(("p",), SCOPE)
         if name in IMPLIED:
@@ -118,6 +121,13 @@ class Page:
             self.open.append(node)
             self.held[name] += 1
 
+    def _declare(self, name: str, attributes: str) -> None:
+        given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
+        if name == "html":
+            self.language = given.get("lang") or given.get("xml:lang") or None
+        elif given.get("http-equiv", "").strip().lower() == "content-language":
+            self.language = given.get("content") or None
+
     def _unwanted(self, name: str, attributes: str) -> tuple[bool, bool]:
         if name in DROPPED:
             return True, False
@@ -308,6 +318,15 @@ def main_text(page: str | None) -> str:
     return _selected(Page(page)) or _selected(Page(page, marked=False))
 
 
+def read(page: str | None) -> tuple[str, str | None]:
+    """Main text, or all text where there is none, and the declared language."""
+    if not page:
+        return "", None
+    p = Page(page)
+    text = _selected(p) or _selected(Page(page, marked=False))
+    return text or " ".join(x for _, x in p.events if x), p.language
+
+
 def _holder(p: Page, total: list[float], body: int) -> int:
     """The node of the largest sum below the body."""
     inside = [False] * len(p.tag)

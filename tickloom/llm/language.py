@@ -4,7 +4,8 @@ Text: a naive Bayes model over letter trigrams of words, fitted to a bounded sam
 whole page texts; its log-likelihood is tempered, since neighbouring trigrams are not independent. Markup: the declared
 language, with P(declared | language) counted over all pages. Address: the host's prior, smoothed towards its domain's,
 that towards its suffix's and that towards the prior of all pages; each level is a grouped sum of the text posteriors
-over all pages, and a page's own posterior is left out of its host's sum. The posterior is proportional to the product.
+over all pages. A page's own posterior is left out of every sum that judges it. The posterior is proportional to the
+product. A domain is what registries sell names under, and one label more (SECOND_LEVEL).
 
 Defined results: null html counts as empty (evidence from the address alone), a null address as an unknown host; repeated
 rows give repeated results; null ids stay null; equal posteriors go to the language first in the alphabet; other columns
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .html import main_text
+from .html import read
 
 #: Labelled documents that the text model is fitted to, about.
 FIT_DOCS = 3000
@@ -33,10 +34,10 @@ INDEPENDENT, PSEUDO, LEVEL, DECLARED = 60, 0.5, 5.0, 1.0
 MEMORY = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
-_DECLARED = re.compile(r"""<html\b[^>]*?\slang\s*=\s*["']?([A-Za-z]+)""", re.IGNORECASE)
-_META = re.compile(r"""<meta\b[^>]*?content-language["'][^>]*?content\s*=\s*["']?([A-Za-z]+)""", re.IGNORECASE)
 _HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", re.IGNORECASE)
-_TAG = re.compile(r"<[^>]*>")
+_CODE = re.compile(r"[A-Za-z]+")
+#: Second-level labels under which names of a country are registered.
+SECOND_LEVEL = frozenset("ac co com edu gob gouv gov gv id ltd mil ne net nhs nom or org plc police sch".split())
 
 
 def trigrams(word: str) -> list[str]:
@@ -95,10 +96,17 @@ def fit(labelled: DataFrame, size: int = FIT_DOCS) -> TextModel | None:
 
 def read_page(page: str | None, known: frozenset[str]) -> tuple[str, str]:
     """Text and declared language: a known one, 'other' or 'none'."""
-    page = page or ""
-    m = _DECLARED.search(page) or _META.search(page)
-    code = m[1].lower() if m else ""
-    return main_text(page) or _TAG.sub(" ", page), code if code in known else "other" if code else "none"
+    text, said = read(page)
+    m = _CODE.match((said or "").strip())
+    code = m[0].lower() if m else ""
+    return text, code if code in known else "other" if code else "none"
+
+
+def parts_of(host: str) -> tuple[str, str]:
+    """Domain and suffix of a host: a suffix of two labels where a country's second-level label is one."""
+    labels = host.split(".")
+    k = 2 if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in SECOND_LEVEL else 1
+    return ".".join(labels[-k - 1 :]), ".".join(labels[-k:])
 
 
 def host_of(url: str | None) -> str:
@@ -119,8 +127,7 @@ def evidence(pages: DataFrame, model: TextModel) -> DataFrame:
                     text, code = read_page(page, known)
                     declared.append(code)
                     p.append(model.posterior(text).tolist())
-            domains = [".".join(h.split(".")[-2:]) for h in hosts]
-            suffixes = [h.rsplit(".", 1)[-1] for h in hosts]
+            domains, suffixes = (list(x) for x in zip(*map(parts_of, hosts), strict=True)) if hosts else ([], [])
             yield pa.record_batch(
                 [b.column(0), pa.array(hosts, pa.string()), pa.array(domains, pa.string()), pa.array(suffixes, pa.string()), pa.array(declared, pa.string()), pa.array(p, pa.list_(pa.float64()))],
                 names=["page_id", "host", "domain", "suffix", "declared", "p"],
@@ -151,33 +158,30 @@ def identify(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     domains = scratch.keep(level(hosts, ["domain", "suffix"], [F.sum(f"h{i}") for i in range(n)], "d"))
     suffixes = scratch.keep(level(domains, ["suffix"], [F.sum(f"d{i}") for i in range(n)], "s"))
     total = suffixes.agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)) for i in range(n)]).first()
-    overall = [(x + 1.0) / (sum(total) + n) for x in total]
     declared: dict[str, list[float]] = {x: [0.0] * n for x in (*names, "other", "none")}
     for r in seen.groupBy("declared").agg(*[m.alias(f"m{i}") for i, m in enumerate(mass)]).collect():  # at most n + 2 rows
         declared[r["declared"]] = [r[f"m{i}"] for i in range(n)]
-    given = {x: [(row[i] + DECLARED) / (sum(y[i] for y in declared.values()) + DECLARED * len(declared)) for i in range(n)] for x, row in declared.items()}
-
-    def smooth(tag: str, parent: list[Column]) -> list[Column]:
-        whole = sum((F.col(f"{tag}{i}") for i in range(n)), F.lit(0.0))
-        return [(F.col(f"{tag}{i}") + LEVEL * parent[i]) / (whole + LEVEL) for i in range(n)]
-
-    by_suffix = suffixes.select("suffix", *[c.alias(f"q{i}") for i, c in enumerate(smooth("s", [F.lit(x) for x in overall]))])
-    by_domain = domains.join(by_suffix, "suffix").select("domain", "suffix", *[c.alias(f"r{i}") for i, c in enumerate(smooth("d", [F.col(f"q{i}") for i in range(n)]))])
-    by_domain = scratch.keep(by_domain)
-    by_host = hosts.join(by_domain, ["domain", "suffix"]).select(
-        F.col("host"), F.array(*[F.col(f"h{i}") for i in range(n)]).alias("h"), F.array(*[F.col(f"r{i}") for i in range(n)]).alias("r")
-    )
-    by_host = scratch.keep(by_host)
+    sums = hosts.join(domains, ["domain", "suffix"]).join(suffixes, "suffix")
+    by_host = scratch.keep(sums.select("host", *[F.array(*[F.col(f"{tag}{i}") for i in range(n)]).alias(tag) for tag in "hds"]))
     joined = seen.join(by_host, "host")
-    rest = F.greatest(F.aggregate("h", F.lit(0.0), lambda a, x: a + x) - 1, F.lit(0.0)) + LEVEL
+    own = [F.get("p", F.lit(i)) for i in range(n)]
+
+    def without(values: list[Column]) -> list[Column]:
+        return [F.greatest(v - p, F.lit(0.0)) for v, p in zip(values, own, strict=True)]
+
+    prior = [(x + 1.0) / (max(sum(total) - 1, 0.0) + n) for x in without([F.lit(x) for x in total])]
+    for tag in "sdh":  # from the suffix to the host
+        rest = without([F.get(tag, F.lit(i)) for i in range(n)])
+        size = sum(rest, F.lit(LEVEL))
+        prior = [(x + LEVEL * q) / size for x, q in zip(rest, prior, strict=True)]
     raw = []
     for i in range(n):
-        p = F.greatest(F.get("p", F.lit(i)), F.lit(1e-12))
-        prior = (F.greatest(F.get("h", F.lit(i)) - F.get("p", F.lit(i)), F.lit(0.0)) + LEVEL * F.get("r", F.lit(i))) / rest
-        said = F.lit(given["none"][i])
-        for x, row in given.items():
+        of = sum(row[i] for row in declared.values())
+        said = F.lit(0.0)
+        for x, row in declared.items():
             said = F.when(F.col("declared") == x, F.lit(row[i])).otherwise(said)
-        raw.append(p * said * prior)
+        said = (F.greatest(said - own[i], F.lit(0.0)) + DECLARED) / (F.greatest(F.lit(of) - own[i], F.lit(0.0)) + DECLARED * len(declared))
+        raw.append(F.greatest(own[i], F.lit(1e-12)) * said * prior[i])
     whole = sum(raw, F.lit(0.0))
 
     def first(values: list[Column]) -> Column:
