@@ -1,27 +1,35 @@
 """Personal data by weak supervision, in DataFrame and SQL functions only.
 
-Candidates come from patterns. Four labelers vote on each (for, against or abstain): the strict form of its kind
-(checksums, number ranges), gazetteers (top-level domains, country codes, card prefixes), the words before
-it, and its borders. Votes are counted by pattern of votes: a table of at most kinds x 3^4 x length classes rows, all
-that reaches the driver. Expectation-maximisation on it estimates each labeler's reliability and the share of true spans
-per kind, and a logistic span classifier is trained on the resulting soft labels. The classifier is then an expression
-over each candidate. Matches of the base patterns that pass their own test are always kept.
-
-An abstention says nothing. Two constraints make the two classes of the mixture identifiable: a true span is seldom
-voted against (at most MISS of them by one labeler), and no kind's prior exceeds PRIOR.
-
-Defined results: null text counts as empty; repeated rows give repeated results; null ids stay null; other columns are
-ignored by find() and kept by redact(); an empty table gives an empty result. Positions are code points, end exclusive.
+Three sorts of labelers propose spans and vote on them. Regular expressions: strict forms of each kind. Gazetteers: top
+level domains (name at host dot com), country codes (0044 20 ...), countries of bank accounts. Context: what follows
+"token =", "passport no." or "born on". Whoever has proposed it, each span gets LABELERS votes (for, against, abstain):
+its form (checksums, number ranges), gazetteers, the words before it, and its borders.
+
+Spans are counted by pattern of votes and features: a table of classes, all that reaches the driver. By
+expectation-maximisation on it each labeler's reliability by kind and the share of true spans of each kind are estimated.
+A logistic span classifier is trained on the resulting soft labels. Besides the votes it sees what no labeler looks at:
+length, make-up of the characters, the character before. It is then an expression over each span. Matches of the base
+patterns that pass their own test are always kept.
+
+An abstention says nothing. What tells the two classes of the mixture apart is the first belief that labelers are right
+more often than not; it stays in force as pseudo-votes, TRUST of their number, at every size.
+
+Defined results: null text counts as empty; repeated rows give repeated results; null ids stay null; other columns,
+whatever their names, are ignored by find() and kept by redact(); an empty table gives an empty result; of spans at one
+place all kinds are listed, in the order of KINDS. Positions are code points, end exclusive.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 # Patterns. The base patterns equal
 #   email  [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
 #   ip     [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
@@ -35,20 +43,32 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# Gazetteers.
+TOP_LEVEL = "com org net edu gov mil int info io dev app ai co uk de fr es it nl be ch at pt pl se no dk fi ie eu us ca mx br ar jp cn in au nz ru za test example".split()
+COUNTRY_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 212 213 216 351 352 353 354 355 356 357 358 359 370 371 372 380 385 386 420 421 971 972".split()
+ACCOUNT_COUNTRIES = "AD AE AL AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IL IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK TR".split()
+KEY_HEADS = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "xoxb-", "xoxp-", "eyJ", "AIza")
+_KEY = "(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)"
+_NUMBERED = "(?i:passport|account|member|customer|policy|patient|tax|driver'?s? licen[cs]e) (?i:no\\.?|number|id|#)"
 MORE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+().-])(?<!\+[0-9]{1,3}[ .-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z_+/-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[po]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,100}|xox[bp]-[A-Za-z0-9-]{10,100}|AIza[A-Za-z0-9_-]{35})(?![0-9A-Za-z])",
+}
+GAZETTEERS = {
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{2,64}}+ at [A-Za-z0-9-]{{2,63}}+ dot (?:{'|'.join(TOP_LEVEL)})(?![A-Za-z0-9])",
+    "phone": rf"(?<![0-9+().-])00[ -]?(?:{'|'.join(COUNTRY_CODES)})(?:[ .()-]{{0,2}}[0-9]){{7,12}}(?![0-9])",
+    "iban": rf"(?<![0-9A-Za-z])(?:{'|'.join(ACCOUNT_COUNTRIES)})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![0-9A-Za-z])",
+}
+CONTEXTS = {
+    "secret": rf"(?<![0-9A-Za-z+/_-])(?<={_KEY}[\x22']?\s{{0,3}}[=:]\s{{0,3}}[\x22']?)[0-9A-Za-z+/_-]{{12,128}}+",
+    "number": rf"(?<={_NUMBERED}[ :]{{0,3}})(?<![A-Za-z0-9-])[A-Za-z0-9][A-Za-z0-9-]{{4,19}}+",
+    "birth": r"(?<=(?i:born|birth|d\.?o\.?b\.?)[a-z ]{0,12}[ :]{1,3})(?<![0-9./-])[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}+(?![./-]?[0-9])",
 }
-#: Where a text can hold a match at all; the patterns run on those texts only.
-GATE = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
-MORE_GATE = {"email": r"[\[(]at[\])]", "phone": r"[0-9]{3}[ .-][0-9]{4}", "ssn": r"-[0-9]{2}-[0-9]{4}", "iban": r"[A-Z]{2}[0-9]{2}"}
-KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
+KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret", "number", "birth")
 
-# Gazetteers.
-TOP_LEVEL = "com org net edu gov mil int info io dev app ai co uk de fr es it nl be ch at pt pl se no dk fi ie eu us ca mx br ar jp cn in au nz ru za test example".split()
-COUNTRY_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 212 213 216 351 352 353 354 355 356 357 358 359 370 371 372 380 385 386 420 421 971 972".split()
+# Words before a span.
 FOR = {
     "email": "e-?mail|mailto|contact|write to|correo|courriel|kontakt",
     "ip": r"\bip\b|address|host|server|client|adresse",
@@ -56,14 +76,21 @@ FOR = {
     "phone": r"phone|\bcall\b|mobile|\btel\b|\bfax\b|telefon|téléphone|teléfono",
     "ssn": r"\bssn\b|social security",
     "iban": "iban|account|konto|compte|cuenta",
+    "secret": "key|password|passwd|pwd|token|secret|credential",
+    "number": "passport|account|member|customer|policy|patient|tax|licen[cs]e",
+    "birth": "born|birth|dob|d\\.o\\.b",
 }
 AGAINST = r"version|release|\bisbn\b|invoice|order|serial|section|figure|licen[cs]e|\bv$|§ ?$"
+PLACEHOLDERS = r"(?i)^(?:x+|\*+|your[a-z_-]*|change[_-]?me|example[a-z_-]*|placeholder[a-z_-]*|(.)\1+)$"
 
 LABELERS = 4
-MISS, PRIOR = 0.01, 0.9
-#: Spans' worth of belief in the labelers' first reliabilities, which rare votes fall back on.
-BELIEF = 20.0
-ROUNDS, EPOCHS, RATE = 50, 400, 0.5
+#: First belief: a labeler votes for a true span, and against a false one, with these chances, when it votes.
+RIGHT, REJECTS = 0.95, 0.7
+#: Probability from which the classifier accepts a span.
+ACCEPT = 0.8
+#: Share of the votes that the first belief weighs; weight of a kind's first share of true spans, one half, in spans.
+TRUST, EVEN = 0.2, 2.0
+ROUNDS, EPOCHS, RATE = 100, 400, 0.5
 _STEP = 256  # matches a block of the running sum
 
 
@@ -153,7 +180,8 @@ def _votes(kind: str, base: bool, x: Column) -> list[Column]:
     v, digits = x["value"], _digits(x["value"])
     none = F.lit(False)
     if kind == "email":
-        domain = F.regexp_replace(F.lower(F.regexp_extract(v, r"(?:@|[\])])(.*)$", 1)), r"[\s\[\]()]|dot(?=[\])])", ".")
+        domain = F.lower(F.regexp_extract(v, r"(?:@|\[at\]|\(at\)| at ) ?(.*)$", 1))
+        domain = F.regexp_replace(domain, r" ?(?:\[dot\]|\(dot\)| dot |\.) ?", ".")
         last = F.element_at(F.split(domain, r"\.+"), -1)
         form = _vote(last.rlike("^[a-z]{2,24}$") & ~v.rlike(r"^\.|\.@|\.\."), ~last.rlike("^[a-z]{2,24}$"))
         gazette = _vote(last.isin(TOP_LEVEL), ~last.rlike("^[a-z-]+$"))
@@ -173,10 +201,24 @@ def _votes(kind: str, base: bool, x: Column) -> list[Column]:
     elif kind == "ssn":
         form = _vote(~digits.rlike("^(?:000|666|9)|^...00|0000$"), digits.rlike("^(?:000|666|9)|^...00|0000$"))
         gazette = _vote(none, digits.rlike(r"^(\d)\1+$"))
-    else:
+    elif kind == "iban":
         compact = F.regexp_replace(v, " ", "")
         form = _vote(F.length(compact).between(15, 34) & compact.rlike("[0-9]{8}"), ~compact.rlike("[0-9]{6}"))
-        gazette = _vote(F.substr(v, F.lit(1), F.lit(2)).isin("DE FR ES GB IT NL BE CH AT PT PL SE NO DK FI IE LU".split()), ~compact.rlike("^(?:[A-Z]{2})[0-9]"))
+        gazette = _vote(F.substr(v, F.lit(1), F.lit(2)).isin(ACCOUNT_COUNTRIES), ~compact.rlike("^(?:[A-Z]{2})[0-9]"))
+    elif kind == "secret":
+        form = _vote(v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.length(v) >= 16), ~v.rlike("[0-9]") | v.rlike(PLACEHOLDERS))
+        heads = [v.startswith(h) for h in KEY_HEADS]
+        gazette = _vote(reduce(lambda a, b: a | b, heads), v.rlike(PLACEHOLDERS) | v.rlike("^[a-z-]+$"))
+    elif kind == "number":
+        form = _vote(F.length(digits) >= 4, F.length(digits) == 0)
+        gazette = _vote(none, v.rlike(PLACEHOLDERS))
+    else:
+        parts = F.transform(F.split(v, "[./-]"), lambda p: p.cast("int"))
+        year = F.greatest(F.get(parts, F.lit(0)), F.get(parts, F.lit(2)))
+        low = F.least(F.get(parts, F.lit(0)), F.get(parts, F.lit(2)))
+        fits = low.between(1, 31) & F.get(parts, F.lit(1)).between(1, 31) & (F.least(low, F.get(parts, F.lit(1))) <= 12)
+        form = _vote(fits, ~fits)
+        gazette = _vote(year.between(1900, 2030) | (year < 100), (year > 2030) | year.between(100, 1899))
     before = F.lower(x["before"])
     context = _vote(before.rlike(FOR[kind]), before.rlike(AGAINST))
     glued = x["before"].rlike("[A-Za-z0-9_]$") | x["after"].rlike("[A-Za-z0-9_@]")
@@ -192,117 +234,156 @@ def _shape(kind: str, base: bool):
             x["end"].alias("end"),
             (_passes(kind, x["value"]) if base else F.lit(False)).alias("base"),
             F.array(*_votes(kind, base, x)).alias("votes"),
-            F.when(n < 12, 0).when(n < 20, 1).otherwise(2).alias("size"),
+            _features_of(x).alias("of"),
         )
 
     return shape
 
 
+#: Features by class: length, make-up, character before.
+CLASSES = (3, 6, 4)
+
+
+def _features_of(x: Column) -> Column:
+    """The classes of a span, in the order of CLASSES."""
+    v = x["value"]
+    n = F.length(v)
+    size = F.when(n < 12, 0).when(n < 20, 1).otherwise(2)
+    digits = F.length(_digits(v))
+    letters = v.rlike("[A-Za-z]")
+    alike = v.rlike(r"^[^A-Za-z0-9]*([A-Za-z0-9])(?:\1|[^A-Za-z0-9])*$")  # one letter or digit only
+    make = F.when(alike, 0).when(digits == 0, 1).when(~letters & (digits == n), 2).when(~letters, 3).when(v.rlike("[A-Z]") & v.rlike("[a-z]"), 4).otherwise(5)
+    last = F.right(x["before"], F.lit(1))
+    before = F.when(last == "", 0).when(last.rlike(r"\s"), 1).when(last.rlike(r"[\x22'(\[<=:]"), 2).otherwise(3)
+    return F.array(size, make, before)
+
+
 def _of_rank(i: int):
     return lambda s: s["rank"] == i
 
 
+def _any(text: Column, *parts: str) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
+
+
+def _gate(kind: str, patterns: dict, t: Column) -> Column:
+    """Where a text can hold a match at all, the cheapest test first; the patterns run on those texts only."""
+    if patterns is BASE:
+        return {"email": t.contains("@"), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike("[0-9]"), "phone": t.rlike(r"\+[0-9]")}[kind]
+    if patterns is MORE:
+        return {
+            "email": _any(t, "[at]", "(at)"), "phone": t.rlike(r"[0-9]{3}[ .-][0-9]{4}"), "ssn": t.rlike(r"-[0-9]{2}-[0-9]{4}"),
+            "secret": _any(t, "AKIA", "ASIA", "ghp_", "gho_", "sk-", "xoxb-", "xoxp-", "AIza"),
+        }[kind]
+    if patterns is GAZETTEERS:
+        return {"email": t.contains(" at ") & t.contains(" dot "), "phone": t.rlike(r"00[ -]?[1-9]"), "iban": t.rlike(r"[A-Z]{2}[0-9]{2}")}[kind]
+    return {
+        "secret": _any(t, "=", ":") & t.rlike(_KEY + r"[\x22']?\s{0,3}[=:]"), "number": t.rlike("[0-9]") & t.rlike(_NUMBERED),
+        "birth": t.rlike("[0-9][./-][0-9]") & t.rlike(r"(?i:born|birth|d\.?o\.?b)"),
+    }[kind]
+
+
 def _candidates(text: Column) -> Column:
-    """All candidates of a text as an array of (start, rank, end, base, votes, size)."""
-    kind_type = "array<struct<start:int,rank:int,end:int,base:boolean,votes:array<int>,size:int>>"
+    """All candidates of a text as an array of (start, rank, end, base, votes, of)."""
+    kind_type = "array<struct<start:int,rank:int,end:int,base:boolean,votes:array<int>,of:array<int>>>"
     parts = []
-    for patterns, gates, base in ((BASE, GATE, True), (MORE, MORE_GATE, False)):
+    for patterns in (BASE, MORE, GAZETTEERS, CONTEXTS):
         for kind, pattern in patterns.items():
             hits = _found(text, pattern)
             if kind == "card":  # shorter runs of digits are no candidates
                 hits = F.filter(hits, lambda x: F.length(_digits(x["value"])).between(12, 19))
-            parts.append(F.when(text.rlike(gates[kind]), F.transform(hits, _shape(kind, base))).otherwise(F.array().cast(kind_type)).cast(kind_type))
+            parts.append(F.when(_gate(kind, patterns, text), F.transform(hits, _shape(kind, patterns is BASE))).otherwise(F.array().cast(kind_type)).cast(kind_type))
     return F.concat(*parts)
 
 
-def _with_candidates(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("__c", _candidates(F.col("__text")))
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def estimate(counts: dict[tuple, int]) -> tuple[dict[int, float], list[dict[tuple[int, int], float]], dict[tuple, float]]:
-    """Expectation-maximisation on (rank, votes, size) -> count: the prior of each kind, P(vote | class, no
-    abstention) of each labeler, and the posterior of each row."""
-    chance = [{(1, 1): 1 - MISS, (-1, 1): MISS, (1, 0): 0.3, (-1, 0): 0.7} for _ in range(LABELERS)]
-    first = [dict(c) for c in chance]
-    prior = dict.fromkeys(range(len(KINDS)), 0.5)
+def estimate(counts: dict[tuple, int]) -> tuple[dict[int, float], dict[tuple[int, int], dict[tuple[int, int], float]], dict[tuple, float]]:
+    """Expectation-maximisation on (rank, votes, of) -> count: the prior of each kind, P(vote | class, no abstention) of
+    each labeler and kind, and the posterior of each row."""
+    first = {(1, 1): RIGHT, (-1, 1): 1 - RIGHT, (1, 0): 1 - REJECTS, (-1, 0): REJECTS}
+    ranks = sorted({k[0] for k in counts})
+    chance = {(j, r): dict(first) for j in range(LABELERS) for r in ranks}
+    prior = dict.fromkeys(ranks, 0.5)
     posterior: dict[tuple, float] = {}
     for _ in range(ROUNDS):
         for key in counts:
-            odds = math.log(prior[key[0]] / (1 - prior[key[0]])) + sum(math.log(chance[j][v, 1] / chance[j][v, 0]) for j, v in enumerate(key[1]) if v)
+            rank, votes = key[0], key[1]
+            odds = math.log(prior[rank] / (1 - prior[rank])) + sum(math.log(chance[j, rank][v, 1] / chance[j, rank][v, 0]) for j, v in enumerate(votes) if v)
             posterior[key] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-        for j in range(LABELERS):
-            mass = {k: BELIEF * p for k, p in first[j].items()}
-            for key, n in counts.items():
-                if v := key[1][j]:
-                    mass[v, 1] += n * posterior[key]
-                    mass[v, 0] += n * (1 - posterior[key])
-            miss = min(MISS, mass[-1, 1] / (mass[1, 1] + mass[-1, 1]))
-            false = min(0.9, mass[1, 0] / (mass[1, 0] + mass[-1, 0]))  # a vote for a span never counts against it
-            chance[j] = {(1, 1): 1 - miss, (-1, 1): miss, (1, 0): false, (-1, 0): 1 - false}
-        for rank in prior:
-            seen = [(n, posterior[k]) for k, n in counts.items() if k[0] == rank]
-            prior[rank] = min(PRIOR, max(0.05, (1 + sum(n * p for n, p in seen)) / (2 + sum(n for n, _ in seen))))
+        for j, r in chance:
+            voted = [(n, key[1][j], posterior[key]) for key, n in counts.items() if key[0] == r and key[1][j]]
+            belief = 1 + TRUST * sum(n for n, _, _ in voted)
+            for c in (0, 1):
+                mass = {v: belief * first[v, c] + sum(n * (p if c else 1 - p) for n, w, p in voted if w == v) for v in (1, -1)}
+                for v in mass:
+                    chance[j, r][v, c] = mass[v] / sum(mass.values())
+        for r in ranks:
+            seen = [(n, posterior[k]) for k, n in counts.items() if k[0] == r]
+            prior[r] = (EVEN / 2 + sum(n * p for n, p in seen)) / (EVEN + sum(n for n, _ in seen))
     return prior, chance, posterior
 
 
-def _features(rank: int, votes: tuple, size: int) -> list[str]:
-    return ["bias", f"kind{rank}", f"size{size}"] + [f"vote{j}:{v}" for j, v in enumerate(votes) if v]
+def _features(rank: int, votes: tuple, of: tuple) -> list[str]:
+    return ["bias", f"kind{rank}"] + [f"vote{j}:{rank}:{v}" for j, v in enumerate(votes) if v] + [f"of{i}:{c}" for i, c in enumerate(of)]
 
 
 def train(counts: dict[tuple, int]) -> dict[str, float]:
-    """Weights of the logistic span classifier, fitted to the posteriors by gradient steps over the counted rows."""
-    prior, chance, soft = estimate(counts)
+    """Weights of the logistic span classifier: gradient steps on the soft labels over the counted rows, from zero."""
+    _, _, soft = estimate(counts)
     weights: dict[str, float] = defaultdict(float)
-    for rank, p in prior.items():  # what rows are too few to correct stays at the mixture's own log-odds
-        weights[f"kind{rank}"] = math.log(p / (1 - p))
-    for j in range(LABELERS):
-        for v in (1, -1):
-            weights[f"vote{j}:{v}"] = math.log(chance[j][v, 1] / chance[j][v, 0])
-    start = dict(weights)
-    total = sum(counts.values()) or 1
+    rows = [(_features(*key), n, soft[key]) for key, n in counts.items()]
+    held: dict[str, int] = defaultdict(int)  # each weight steps by its own number of spans
+    for names, n, _ in rows:
+        for f in names:
+            held[f] += n
     for _ in range(EPOCHS):
         slope: dict[str, float] = defaultdict(float)
-        for key, n in counts.items():
-            names = _features(*key)
-            p = 1 / (1 + math.exp(-sum(weights[f] for f in names)))
+        for names, n, want in rows:
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights[f] for f in names)))))
             for f in names:
-                slope[f] += n / total * (soft[key] - p)
+                slope[f] += n * (want - p)
         for f, g in slope.items():
-            weights[f] += RATE * (g * 8 - 1e-3 * (weights[f] - start.get(f, 0.0)))
+            weights[f] += RATE * (g / (held[f] + EVEN) - 1e-3 * weights[f])
     return dict(weights)
 
 
-def fit(docs: DataFrame) -> dict[str, float]:
-    """Votes over all documents, counted, and the classifier trained on them."""
-    each = _with_candidates(docs.select("text")).select(F.explode("__c").alias("c"))
-    rows = each.groupBy("c.rank", "c.votes", "c.size").agg(F.count("*").alias("n")).collect()  # at most 6 * 3^4 * 3 rows
-    counts = {(r["rank"], tuple(r["votes"]), r["size"]): r["n"] for r in sorted(rows, key=lambda r: (r["rank"], r["votes"], r["size"]))}
+def fit(candidates: DataFrame) -> dict[str, float]:
+    """From a table with a column c of candidates: votes over all of them, counted, and the classifier trained on them."""
+    each = candidates.select(F.explode("c").alias("c"))
+    rows = each.groupBy("c.rank", "c.votes", "c.of").agg(F.count("*").alias("n")).collect()  # at most kinds * 3^4 * 72 rows
+    counts = {(r["rank"], tuple(r["votes"]), tuple(r["of"])): r["n"] for r in sorted(rows, key=lambda r: (r["rank"], r["votes"], r["of"]))}
     return train(counts)
 
 
 def _score(c: Column, weights: dict[str, float]) -> Column:
-    def pick(value: Column, names: dict[int, str]) -> Column:
+    """The classifier over a candidate; kinds, votes and classes that it has never seen add nothing."""
+
+    def pick(value: Column, names: dict) -> Column:
         out = F.lit(0.0)
         for v, name in names.items():
-            out = F.when(value == v, F.lit(weights.get(name, 0.0))).otherwise(out)
+            if weights.get(name):
+                out = F.when(value == F.lit(v), F.lit(weights[name])).otherwise(out)
         return out
 
-    total = F.lit(weights.get("bias", -10.0)) + pick(c["rank"], {i: f"kind{i}" for i in range(len(KINDS))}) + pick(c["size"], {i: f"size{i}" for i in range(3)})
+    total = F.lit(weights.get("bias", -10.0)) + pick(c["rank"], {i: f"kind{i}" for i in range(len(KINDS))})
     for j in range(LABELERS):
-        total = total + pick(F.get(c["votes"], F.lit(j)), {v: f"vote{j}:{v}" for v in (1, -1)})
+        vote = F.get(c["votes"], F.lit(j)) + 10 * c["rank"]
+        total = total + pick(vote, {v + 10 * r: f"vote{j}:{r}:{v}" for r in range(len(KINDS)) for v in (1, -1)})
+    for i, n in enumerate(CLASSES):
+        total = total + pick(F.get(c["of"], F.lit(i)), {k: f"of{i}:{k}" for k in range(n)})
     return total
 
 
-def spans(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """docs with __text, __base and __all: arrays of (start, rank, end), sorted; __all also holds what the classifier
-    accepts."""
-    weights = fit(docs) if weights is None else weights
-    df = _with_candidates(docs)
+def _bare(c: Column, keep) -> Column:
+    """Accepted candidates as (start, rank, end), in order, once each."""
+    return F.array_sort(F.array_distinct(F.transform(F.filter(c, keep), lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end")))))
 
-    def bare(keep) -> Column:
-        return F.array_sort(F.array_distinct(F.transform(F.filter("__c", keep), lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end")))))
 
-    return df.withColumn("__base", bare(lambda c: c["base"])).withColumn("__all", bare(lambda c: c["base"] | (_score(c, weights) > 0))).drop("__c")
+def _accepted(c: Column, weights: dict[str, float]) -> Column:
+    return _bare(c, lambda c: c["base"] | (_score(c, weights) > math.log(ACCEPT / (1 - ACCEPT))))
 
 
 def _written(found: Column) -> Column:
@@ -311,34 +392,41 @@ def _written(found: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """documents -> (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)."""
-    df = spans(docs.select("doc_id", "text"))
-    counts = [F.size(F.filter("__base", _of_rank(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
-    return df.select("doc_id", *counts, F.sha2(_written(F.col("__base")), 256).alias("base_sha256"), _written(F.col("__all")).alias("spans"))
+    """documents -> (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans). Candidates are written once; the
+    classifier is trained on them and applied to them."""
+    scratch = Scratch(docs.sparkSession, "pii")
+    found = scratch.keep(docs.select("doc_id", _candidates(_text()).alias("c")))
+    weights = fit(found)
+    df = found.select("doc_id", _bare(F.col("c"), lambda c: c["base"]).alias("base"), _accepted(F.col("c"), weights).alias("spans"))
+    counts = [F.size(F.filter("base", _of_rank(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
+    return df.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets (overlapping spans become one, of the kind that begins
     first) and n_chars, where it is a column, brought up to date."""
-    df = spans(docs)
+    weights = fit(docs.select(_candidates(_text()).alias("c")))
+    df = docs.select(F.struct("*").alias("row"), _text().alias("text"), _accepted(_candidates(_text()), weights).alias("spans"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def step(acc: Column, s: Column) -> Column:
         inside = s["start"] < acc["at"]
-        piece = F.substr(F.col("__text"), acc["at"] + 1, s["start"] - acc["at"])
+        piece = F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
         return F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
             F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(piece, F.get(names, s["rank"])))).alias("out"),
         )
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate("__all", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(F.col("__text"), a["at"] + 1, F.length("__text"))))
-    changed = F.size("__all") > 0
-    df = df.withColumn("text", F.when(changed, done).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
+    done = F.aggregate("spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(F.col("text"), a["at"] + 1, F.length("text"))))
+    changed = F.size("spans") > 0
+    df = df.select("row", F.when(changed, done).alias("new"))
+    out = {c: F.col("row").getField(c) for c in docs.columns}
+    out["text"] = F.coalesce("new", F.col("row.text"))
+    if "n_chars" in out:
         kind = docs.schema["n_chars"].dataType
-        df = df.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return df.select(*docs.columns)
+        out["n_chars"] = F.when(F.col("new").isNotNull(), F.length("new").cast(kind)).otherwise(F.col("row.n_chars"))
+    return df.select(*[c.alias(k) for k, c in out.items()])
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
