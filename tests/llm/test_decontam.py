@@ -26,9 +26,10 @@ def tables():
     return docs + docs[-2:], items
 
 
-@pytest.mark.parametrize("rows", [0, 10**6])
-def test_leaks_equal_brute_force(spark, docs_of, monkeypatch, rows):
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", rows)  # shuffled and broadcast joins
+@pytest.mark.parametrize(("limit", "bits"), [(-1, 20), (1 << 24, 20), (1 << 24, 6)])
+def test_leaks_equal_brute_force(spark, docs_of, monkeypatch, limit, bits):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)  # shuffled and broadcast joins
+    monkeypatch.setattr(decontam, "FILTER_BITS", bits)  # and bitmaps that let nearly everything through
     docs, items = tables()
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["n_shared"], r["n_item"]) for r in decontam.contaminated(docs_of(docs), bench).collect()}
@@ -36,6 +37,33 @@ def test_leaks_equal_brute_force(spark, docs_of, monkeypatch, rows):
     assert got == want and len(want) > 30
 
 
+def test_many_items_one_very_long_and_one_popular(spark, docs_of):
+    """Five thousand items, one of 20,000 words, one that every third document holds."""
+    rng = random.Random(17)
+    word = lambda: f"v{rng.randrange(50_000)}"
+    items = [(i, " ".join(word() for _ in range(12))) for i in range(5000)] + [(9000, " ".join(word() for _ in range(20_000)))]
+    docs = []
+    for k in range(300):
+        body = [word() for _ in range(40)]
+        if k % 3 == 0:
+            body += items[7][1].split()
+        if k % 50 == 1:
+            body += items[k][1].split()
+        docs.append((k, " ".join(body)))
+    docs.append((1000, "before it " + items[-1][1] + " after"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs_of(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    sets = [(i, brute.shingles(t)) for i, t in items]
+    want = {(d, i) for d, t in docs for a in [brute.shingles(t)] for i, b in sets if 10 * len(a & b) >= 8 * len(b)}
+    assert got == want and len(got) > 106
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "z a b c d e f", 5, 6, "n"), (2, "clean", 7, 8, None)], "doc_id long, text string, row int, key long, name string")
+    some = spark.createDataFrame([(1, "a b c d e f", 1)], "item_id long, text string, item int")
+    got = decontam.drop_contaminated(docs, some)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(2, "clean", 7, 8, None)]
+
+
 def test_clean_documents_stay(spark, docs_of):
     docs, items = tables()
     bench = spark.createDataFrame(items, "item_id long, text string")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, row_key
 from .graph import components
 
 BITS = 64
@@ -55,12 +55,6 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def row_key() -> Column:
-    """Names a row by what it holds: 128 bits of its id and text."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("doc_id", "text")]
-    return F.unhex(F.md5(F.concat(parts[0], F.lit("\n"), parts[1])))
-
-
 def _bytes(column: pa.Array) -> Iterator[bytes]:
     """Null is the empty text."""
     for t in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()):
