@@ -26,7 +26,7 @@ def tables():
     return docs + docs[-2:], items
 
 
-@pytest.mark.parametrize(("limit", "bits"), [(-1, 20), (1 << 24, 20), (1 << 24, 6)])
+@pytest.mark.parametrize(("limit", "bits"), [(-1, 22), (1 << 24, 22), (1 << 24, 6)])
 def test_leaks_equal_brute_force(spark, docs_of, monkeypatch, limit, bits):
     monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)  # shuffled and broadcast joins
     monkeypatch.setattr(decontam, "FILTER_BITS", bits)  # and bitmaps that let nearly everything through

@@ -33,7 +33,7 @@ THRESHOLD = 8
 #: popular items.
 BROADCAST_BYTES = 16 << 20
 #: Bits of a bitmap, as a power of two, at most; fuller bitmaps let more through to the exact check.
-FILTER_BITS = 20
+FILTER_BITS = 22
 
 
 def _let(value: Column, body) -> Column:
@@ -74,18 +74,22 @@ def _small(df: DataFrame, n_bytes: int) -> DataFrame:
 
 
 def _bitmap(hashes: DataFrame, n: int):
-    """A test whether a hash can be among the n ones in the column h: its leading bits are looked up. Sixteen bits an
-    entry, up to the limit; at most 2^FILTER_BITS / 64 rows reach the driver."""
-    power = min(FILTER_BITS, max(6, (16 * n).bit_length()))
-    at = F.shiftrightunsigned("h", 64 - power)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
-    rows = hashes.groupBy(F.shiftrightunsigned(at, 6).alias("k")).agg(F.bit_or(bit).alias("w")).collect()
+    """A test whether a hash can be among the n ones in the column h: two parts of it are looked up. 256 bits an entry,
+    up to the limit; at most 2^FILTER_BITS / 64 rows reach the driver."""
+    power = min(FILTER_BITS, max(6, (256 * n).bit_length()))
+
+    def places(h) -> list[Column]:
+        return [F.shiftrightunsigned(h, 64 - power), F.shiftrightunsigned(h, 32 - power // 2).bitwiseAND((1 << power) - 1)]
+
+    at = hashes.select(F.explode(F.array(*places("h"))).alias("at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+    rows = at.groupBy(F.shiftrightunsigned("at", 6).alias("k")).agg(F.bit_or(bit).alias("w")).collect()
     held = dict.fromkeys(range(1 << (power - 6)), 0) | {r["k"]: r["w"] for r in rows}
     table = F.split(F.lit(",".join(str(held[k]) for k in sorted(held))), ",").cast("array<bigint>")  # folded to one literal
 
     def test(h: Column) -> Column:
-        at = F.shiftrightunsigned(h, 64 - power)
-        return F.call_function("getbit", F.get(table, F.shiftrightunsigned(at, 6).cast("int")), (at % 64).cast("int")) == 1
+        one, two = (F.call_function("getbit", F.get(table, F.shiftrightunsigned(x, 6).cast("int")), (x % 64).cast("int")) == 1 for x in places(h))
+        return one & two
 
     return test
 
