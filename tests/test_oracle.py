@@ -38,8 +38,10 @@ def test_same_rows(spark, duck, small, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_runs(spark, small, name):
-    assert QUERIES[name](spark, small).count() >= 0
+def test_has_rows(spark, small, name):
+    """Their values are held against numpy, pandas or plain Python in test_values and test_operators."""
+    folder = small if name not in ("l3_principal_components", "l5_macro_factors") else "/root/testdata/sf0.01"  # no day with all tenors below
+    assert QUERIES[name](spark, folder).count() > 0
 
 
 def test_entry(spark):

@@ -271,11 +271,11 @@ def best_worst(df: DataFrame, name: str, value: str, keys: list[str]) -> DataFra
 
 
 def freshness(df: DataFrame) -> DataFrame:
-    """(date, symbols, is_newest, gap_days) of the symbols' latest dates."""
+    """(symbol, date, is_newest, is_oldest, gap_days) of each symbol's latest date."""
     last = df.groupBy("symbol").agg(F.max("date").alias("date"))
-    per = last.groupBy("date").agg(F.array_join(F.array_sort(F.collect_list("symbol")), ",").alias("symbols"))
-    ends = last.agg(F.max("date").alias("newest"))
-    return per.join(F.broadcast(ends)).select("date", "symbols", (F.col("date") == F.col("newest")).alias("is_newest"), F.date_diff("newest", "date").alias("gap_days"))
+    ends = last.agg(F.max("date").alias("newest"), F.min("date").alias("oldest"))  # one row
+    each = last.join(F.broadcast(ends))
+    return each.select("symbol", "date", (F.col("date") == F.col("newest")).alias("is_newest"), (F.col("date") == F.col("oldest")).alias("is_oldest"), F.date_diff("newest", "date").alias("gap_days"))
 
 
 def claim_scores(claims: DataFrame, boost: float = 0.10, bar: float = 0.7) -> DataFrame:
@@ -299,10 +299,48 @@ def price_summary(df: DataFrame, keys: list[str], band: float = 10.0, calm: floa
 
 
 def top_share(df: DataFrame, c: str, share: float, tie: str) -> DataFrame:
-    """The best round(share * n) rows by c, at least one (halves to even). The count is an aggregate; the cut is a sort
-    with a limit."""
-    n = df.where(F.col(c).isNotNull()).count()
-    return df.where(F.col(c).isNotNull()).orderBy(F.desc(c), tie).limit(max(1, round(n * share)))
+    """The best round(share * n) rows by c, at least one (halves to even), ties by `tie`. Approximate quantiles bracket
+    the cut: rows above the bracket are in, and only rows inside it, about a five-thousandth, are sorted."""
+    d = df.where(F.col(c).isNotNull())
+    edges = F.percentile_approx(c, F.array(F.lit(max(0.0, 1 - share - 1e-4)), F.lit(min(1.0, 1 - share + 1e-4))), 10_000)
+    r = d.agg(F.count("*").alias("n"), edges.alias("e")).first()
+    if not r["n"]:
+        return d
+    wanted = max(1, round(r["n"] * share))
+    low, high = r["e"]
+    # approximation may put either edge on the wrong side of the cut by a few rows
+    above = {x: d.where(F.col(c) > x).count() for x in (low, high)}
+    high = high if above[high] <= wanted else None
+    low = low if above[low] + d.where(F.col(c) == low).count() >= wanted else None
+    inside = d if low is None else d.where(F.col(c) >= low)
+    sure = d.limit(0) if high is None else d.where(F.col(c) > high)
+    n = 0 if high is None else above[high]
+    rest = inside if high is None else inside.where(F.col(c) <= high)
+    return sure.unionByName(rest.orderBy(F.desc(c), tie).limit(wanted - n))
+
+
+def overall_rank(df: DataFrame, c: str, out: str, buckets: int = 200) -> DataFrame:
+    """df with the average rank of c over all rows. Values are counted, dealt into ranges by approximate quantiles, and
+    summed up within each range on top of the ranges before, so no task sees all rows, however many share a value."""
+    d = df.where(F.col(c).isNotNull())
+    edges = d.agg(F.percentile_approx(c, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10_000)).first()[0] or []
+    edges = sorted(set(edges))
+    values = d.groupBy(F.col(c).alias("__v")).agg(F.count("*").alias("n")).withColumn("k", F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e < F.col("__v"))))
+    sizes = {r["k"]: r["n"] for r in values.groupBy("k").agg(F.sum("n").alias("n")).collect()}  # at most `buckets` rows
+    before, at = {}, 0
+    for k in sorted(sizes):
+        before[k], at = at, at + sizes[k]
+    first = F.get(F.array(*[F.lit(before.get(k, 0)) for k in range(len(edges) + 1)]), F.col("k"))
+    up_to = F.sum("n").over(Window.partitionBy("k").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = values.select("__v", (first + up_to - (F.col("n") - 1) / 2).alias(out))
+    return df.join(ranks, F.col(c) == F.col("__v"), "left").drop("__v")
+
+
+def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: the correlation of the average ranks over rows where both are there."""
+    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    d = overall_rank(overall_rank(d, "a", "ra"), "b", "rb")
+    return d.agg(pearson(F.col("ra"), F.col("rb")).alias("spearman"))
 
 
 def hit_rate(df: DataFrame, a: str, b: str, key: str, share: float = 0.2) -> DataFrame:

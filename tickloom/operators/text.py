@@ -77,8 +77,8 @@ MOATS = {
 
 def normalise_url(url: Column | str) -> Column:
     """Trailing slashes off before parsing (so /a/#x keeps its slash), host lower-case without www., no fragment, no
-    /index.html, no tracking or blank parameters. Parameters are kept as written: they are not decoded and encoded
-    again."""
+    /index.html, no tracking or blank parameters. Parameters are decoded and encoded again (space as +, escapes in upper
+    case), those of one name behind its first."""
     url = F.col(url) if isinstance(url, str) else url
     u = F.regexp_replace(F.coalesce(url, F.lit("")), "/+$", "")
     u = F.regexp_replace(u, "#.*$", "")
@@ -87,14 +87,29 @@ def normalise_url(url: Column | str) -> Column:
     path = F.regexp_replace(F.regexp_extract(u, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*)?([^?]*)", 1), "/index\\.html$", "")
     query = F.regexp_extract(u, r"\?(.*)$", 1)
 
-    def wanted(pair: Column) -> Column:
-        name = F.regexp_extract(pair, "^([^=]*)", 1)
-        tracks = F.lit(False)
+    def tracks(name: Column) -> Column:
+        out = F.lit(False)
         for t in TRACKING:
-            tracks = tracks | (F.startswith(name, F.lit(t)) if t.endswith("_") else name == t)
-        return pair.rlike("^[^=]*=.") & ~tracks
+            out = out | (F.startswith(name, F.lit(t)) if t.endswith("_") else name == t)
+        return out
+
+    def decoded(x: Column) -> Column:  # a percent sign that begins no escape stands for itself
+        return F.url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+    def encoded(x: Column) -> Column:
+        return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+    given = F.transform(
+        F.filter(F.split(query, "&"), lambda x: x.rlike("^[^=]*=.")),
+        lambda x: F.struct(decoded(F.regexp_extract(x, "^([^=]*)", 1)).alias("name"), decoded(F.regexp_extract(x, "^[^=]*=(.*)$", 1)).alias("value")),
+    )
+
+    def written(pairs: Column) -> Column:
+        names = F.array_distinct(F.transform(pairs, lambda x: x["name"]))
+        ordered = F.flatten(F.transform(names, lambda n: F.filter(pairs, lambda x: x["name"] == n)))
+        return F.array_join(F.transform(ordered, lambda x: F.concat(encoded(x["name"]), F.lit("="), encoded(x["value"]))), "&")
 
-    kept = F.array_join(F.filter(F.split(query, "&"), wanted), "&")
+    kept = _once(F.filter(given, lambda x: ~tracks(x["name"])), written)
     return F.concat(F.lower(head), site, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
 
 

@@ -29,7 +29,9 @@ _TRACK = " or ".join(f"starts_with(k, '{t}')" if t.endswith("_") else f"k = '{t}
 p as (select page_id, lower(regexp_extract(u, '^([a-zA-Z][a-zA-Z0-9+.-]*://)', 1)) as head, regexp_replace(lower(regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?]*)', 1)), '^www\\.', '') as site,
   regexp_replace(regexp_extract(u, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*)?([^?]*)', 1), '/index\\.html$', '') as path,
   list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda x: regexp_matches(x, '^[^=]*=.')) as q from u),
-k as (select page_id, head, site, path, array_to_string(list_transform(list_filter(list_transform(q, lambda x: {{'k': regexp_extract(x, '^([^=]*)', 1), 'x': x}}), lambda s: not ({_TRACK.replace('starts_with(k,', 'starts_with(s.k,').replace('k = ', 's.k = ')})), lambda s: s.x), '&') as q from p)
+n as (select *, list_filter(list_transform(q, lambda x: {{'k': url_decode(replace(regexp_extract(x, '^([^=]*)', 1), '+', ' ')), 'v': url_decode(replace(regexp_extract(x, '^[^=]*=(.*)$', 1), '+', ' '))}}), lambda s: not ({_TRACK.replace('starts_with(k,', 'starts_with(s.k,').replace('k = ', 's.k = ')})) as kv from p),
+o as (select *, list_sort(list_transform(range(1, len(kv) + 1), lambda i: {{'p': list_position(list_transform(kv, lambda s: s.k), kv[i].k), 'i': i, 'x': replace(url_encode(kv[i].k), '%20', '+') || '=' || replace(url_encode(kv[i].v), '%20', '+')}})) as z from n),
+k as (select page_id, head, site, path, array_to_string(list_transform(z, lambda s: s.x), '&') as q from o)
 select page_id, head || site || path || case when coalesce(q, '') <> '' then '?' || q else '' end as url from k""",
 )
 def _(p):
@@ -193,17 +195,7 @@ def _(p):
     return h.select("symbol", rounded("now", 4).alias("now"), rounded("percentile").alias("percentile"))
 
 
-@query("s12_feed_items", "select 'f' || (page_id % 10) as feed_id, 'g' || page_id as item_id, url as link from pages where page_id < 100")
-def _(p):
-    """Feeds written from the pages as XML, parsed back."""
-    safe = F.regexp_replace("url", "&", "&amp;")
-    item = F.concat(F.lit("<item><guid>g"), F.col("page_id").cast("string"), F.lit("</guid><link>"), safe, F.lit("</link></item>"))
-    d = p.table("pages").where("page_id < 100").groupBy((F.col("page_id") % 10).alias("k")).agg(F.array_join(F.collect_list(item), "").alias("items"))
-    xml = F.concat(F.lit("<rss><channel><title>x</title>"), F.col("items"), F.lit("</channel></rss>"))
-    return fd.feed_items(d.select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("feed_id"), xml.alias("xml"))).select("feed_id", "item_id", "link")
-
-
-@query("s12_feed_pages", "select 'f' || (page_id // 100) as feed_id, 'g' || page_id as item_id, url as link from pages")
+@query("s12_feed_items", "select 'f' || (page_id // 100) as feed_id, 'g' || page_id as item_id, url as link from pages")
 def _(p):
     """All pages, a hundred ids to a feed, written as XML and parsed back."""
     safe = F.regexp_replace(F.regexp_replace("url", "&", "&amp;"), "<", "&lt;")
@@ -227,54 +219,64 @@ def _(p):
 
 
 def _replay(p):
-    """Events as about ten files that arrive in the order of time: one task writes them one after the other."""
-    path = tb.work_dir(p.spark, "events")
+    """Events as about ten files that arrive in the order of time: one task writes them one after the other. The folder
+    also holds the stream's table and state."""
+    root = tb.work_dir(p.spark, "events")
     e = p.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    e.coalesce(1).sortWithinPartitions("ts", "event_id").write.option("maxRecordsPerFile", max(1, e.count() // 10)).parquet(path)
-    return inc.file_stream(p.spark, path, e.schema), e
+    e.coalesce(1).sortWithinPartitions("ts", "event_id").write.option("maxRecordsPerFile", max(1, e.count() // 10)).parquet(f"{root}/in")
+    return inc.file_stream(p.spark, f"{root}/in", e.schema), f"{root}/out"
 
 
 @query("t1_stream_dedup", "select distinct user_id from events")
 def _(p):
     """Users, each once, over a retention longer than the data."""
-    stream, _e = _replay(p)
-    first = inc.run_to_table(inc.deduplicated(stream, "ts", "user_id", "60 days"), "dedup")
-    return first.select("user_id")
+    stream, path = _replay(p)
+    return inc.run_to_table(inc.deduplicated(stream, "ts", "user_id", "60 days"), path).select("user_id")
 
 
 @query("t1_stream_dedup_sliding", "select user_id, event_id from (select *, lag(ts) over (partition by user_id order by ts, event_id) as before from events) where before is null or ts > before + interval 24 hours")
 def _(p):
     """Events of users not seen for a day before."""
-    stream, _e = _replay(p)
-    out = inc.run_to_table(inc.deduplicated_sliding(stream, "ts", "user_id", 24), "sliding")
-    return out.select("user_id", "event_id")
+    stream, path = _replay(p)
+    return inc.run_to_table(inc.deduplicated_sliding(stream, "ts", "user_id", 24), path).select("user_id", "event_id")
 
 
 @query("t2_new_items", "select user_id, event_type from events group by 1, 2")
 def _(p):
-    stream, e = _replay(p)
+    stream, path = _replay(p)
     keyed = stream.select("user_id", "event_type", F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("link"))
-    store = inc.NewItems(p.spark, "items", keyed.schema, "link")
-    batches = []
-
-    def step(batch, number):
-        store.step(batch, number)
-        batches.append(number)
-
-    inc.for_each_batch(keyed, "new-items", step)
-    return store.stored(max(batches) + 1).select("user_id", "event_type")
+    return inc.run_to_table(inc.new_items(keyed, "link"), path).select("user_id", "event_type")
 
 
 @query("t3_incremental_series", "select event_type, cast(ts as date) as date, max_by(event_id, (ts, event_id)) as event_id from events group by 1, 2")
 def _(p):
-    stream, _e = _replay(p)
+    stream, path = _replay(p)
     seq = F.unix_micros("ts") * 1000 + F.col("event_id") % 1000
     rows = stream.select("event_type", F.col("ts").cast("date").alias("date"), "event_id", seq.alias("seq"))
-    table = inc.Upserted(p.spark, "series", rows.drop("seq").schema, ["event_type", "date"])
-    inc.for_each_batch(rows, "series-state", table.step)
+    table = inc.Series(p.spark, path, rows.schema, ["event_type", "date"])
+    table.run(rows)
     return table.now()
 
 
+@query("t6_ttl_cache", "with l as (select user_id as key, max_by(event_id, (ts, event_id)) as value, max(ts) as stored_at from events group by 1), n as (select max(ts) as now from events) select key, value from (select key, value, row_number() over (order by stored_at desc, key) as k from l, n where stored_at > now - interval 20 days) where k <= 100")
+def _(p):
+    """The hundred newest of the live entries: an entry lives for twenty days from when it was stored last."""
+    e = p.table("events").select(F.col("user_id").alias("key"), F.col("event_id").alias("value"), F.col("ts").cast("timestamp").alias("stored_at"))
+    now = e.agg(F.max("stored_at")).first()[0]
+    order = F.struct("stored_at", "value")
+    last = e.groupBy("key").agg(F.max_by("value", order).alias("value"), F.max("stored_at").alias("stored_at"))
+    return tb.live_entries(last, now, 20 * 24 * 3600, 100).select("key", "value")
+
+
 @query("t7_resume_point", with_views("select symbol, max(date) as last from px_day group by symbol", "px_day"))
 def _(p):
     return inc.resume_point(p.px_day, "date", ["symbol"])
+
+
+@query("s15_transcripts", "select conv_id, cast(turn as integer) as turn, role, text from conversations")
+def _(p):
+    """Conversations written as JSON arrays with trailing commas, one file's text a row, and read back."""
+    turn = F.struct(F.col("turn").cast("int").alias("turn"), "role", "text")
+    d = p.table("conversations").groupBy("conv_id").agg(F.collect_list(F.to_json(turn)).alias("turns"))
+    text = F.concat(F.lit("[\n"), F.array_join("turns", ",\n"), F.lit(",\n]"))
+    return fd.json_records(d.select("conv_id", text.alias("doc")), "doc", "turn int, role string, text string").drop("doc")

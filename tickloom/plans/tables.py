@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import by, change, clip, finite, rounded, safe_div
@@ -30,6 +32,23 @@ def _(p):
     return tb.run_sql(p.spark, _S2, {"orders": p.table("orders")})
 
 
+@query("s3_execute", "select n_nationkey, n_name, n_regionkey from nation where n_regionkey <> 2 union all select 100, 'NOWHERE', 9")
+def _(p):
+    """A table made, filled, and rewritten by statements."""
+    name, path = f"nations_{uuid.uuid4().hex[:12]}", tb.work_dir(p.spark, "nations")
+    p.table("nation").createOrReplaceTempView(f"all_{name}")
+    out = tb.execute(
+        p.spark,
+        f"create table {name} (n_nationkey int, n_name string, n_regionkey int) using parquet location '{path}'",
+        f"insert into {name} select n_nationkey, n_name, n_regionkey from all_{name} where n_regionkey <> 2",
+        f"insert into {name} values (100, 'NOWHERE', 9)",
+        f"drop view all_{name}",
+        f"drop table {name}",
+    )
+    assert len(out) == 5
+    return p.spark.read.parquet(path)
+
+
 @query("s4_bound_sql", "select n_nationkey, n_name from nation where n_regionkey = 2")
 def _(p):
     return tb.run_sql(p.spark, "select n_nationkey, n_name from nation_v where n_regionkey = :region", {"nation_v": p.table("nation")}, {"region": 2})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,12 @@ from pyspark.sql import types as T
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share; a temporary one only where none is set."""
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a temporary
+    one, if driver and executors are one process; a cluster has to name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tickloom-')}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -29,6 +33,18 @@ def run_sql(spark: SparkSession, sql: str, views: dict[str, DataFrame], args: di
     return spark.sql(sql, args=args) if args else spark.sql(sql)
 
 
+def execute(spark: SparkSession, *statements: str, args: dict | None = None) -> list[DataFrame]:
+    """DDL and DML, run in order as they come, with bound parameters; the results of each."""
+    return [spark.sql(x, args=args) if args else spark.sql(x) for x in statements]
+
+
+def live_entries(entries: DataFrame, now, ttl_seconds: int, most: int) -> DataFrame:
+    """entries(key, stored_at, ...): those not older than the time to live, at most `most` of them, the oldest evicted
+    first, ties by key."""
+    live = entries.where(F.col("stored_at") > F.lit(now) - F.make_dt_interval(secs=F.lit(ttl_seconds)))
+    return live.orderBy(F.desc("stored_at"), "key").limit(most)
+
+
 def tables(spark: SparkSession) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables())
 

@@ -1,19 +1,18 @@
 """Streams over files: de-duplication with retention, new-item detection, incremental series.
 
-All of them run with availableNow triggers, so that a scheduler can start them at any time and a checkpoint makes a
-restart skip what is done.
+All of them run with availableNow triggers, so that a scheduler can start them at any time. Table and state live under a
+path that the caller names: a later run with the same path, in the same session or another, goes on where the last one
+ended, and files that are done are not read again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import upsert, work_dir
-
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
@@ -54,54 +53,48 @@ def deduplicated_sliding(stream: DataFrame, ts: str, key: str, retention_hours:
     return marked.groupBy(key).applyInPandasWithState(each, stream.schema, T.StructType([T.StructField("last", T.LongType())]), "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Run what is there to the end, append to a Parquet table, read it back."""
+def new_items(stream: DataFrame, key: str) -> DataFrame:
+    """The first row of each key there ever was. The keys are the stream's state, so no stored table is read again."""
+    return stream.dropDuplicates([key])
+
+
+def run_to_table(stream: DataFrame, path: str) -> DataFrame:
+    """Run what is there to the end, append to the Parquet table path/rows, read it back. The state is in path/state."""
     spark = stream.sparkSession
-    path = work_dir(spark, name)
     q = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def for_each_batch(stream: DataFrame, name: str, step: Callable[[DataFrame, int], None]) -> None:
-    path = work_dir(stream.sparkSession, name)
-    q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-
+class Series:
+    """A series of which later rows replace earlier ones of the same keys. Each micro-batch adds its own rows, the last
+    one a key, as a part of its own; now() takes the last of each key over all parts. A batch that is run again overwrites
+    its part, and nothing else is written again."""
 
-class Upserted:
-    """A table of versions: each micro-batch writes a new one, so a failed batch leaves the last one whole. A replayed
-    batch number overwrites its own version, which makes the step idempotent."""
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], seq: str = "seq"):
+        self.spark, self.path, self.schema, self.keys, self.seq = spark, path, schema, keys, seq
 
-    def __init__(self, spark: SparkSession, name: str, schema: T.StructType, keys: list[str]):
-        self.spark, self.schema, self.keys = spark, schema, keys
-        self.root, self.at = work_dir(spark, name), -1
+    def _last(self, df: DataFrame) -> DataFrame:
+        values = [c for c in self.schema.names if c not in self.keys]
+        last = df.groupBy(*self.keys).agg(F.max_by(F.struct(*values), self.seq).alias("x"))
+        return last.select(*self.keys, *[F.col(f"x.{c}").alias(c) for c in values]).select(*self.schema.names)
 
-    def now(self) -> DataFrame:
-        if self.at < 0:
+    def _parts(self) -> DataFrame:
+        """All parts; a folder that isn't there yet is empty."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/parts")
+        if not folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{self.at}")
-
-    def step(self, batch: DataFrame, number: int) -> None:
-        """batch has the table's columns and seq."""
-        upsert(self.now(), batch, self.keys).write.mode("overwrite").parquet(f"{self.root}/{number}")
-        self.at = number
-
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/parts")
 
-class NewItems:
-    """Items whose link is not stored yet are stored; the rest are dropped."""
+    def run(self, stream: DataFrame) -> None:
+        def step(batch: DataFrame, number: int) -> None:
+            self._last(batch).write.mode("overwrite").parquet(f"{self.path}/parts/{number}")
 
-    def __init__(self, spark: SparkSession, name: str, schema: T.StructType, key: str):
-        self.spark, self.schema, self.key = spark, schema, key
-        self.path = work_dir(spark, name)
+        q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{self.path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
 
-    def stored(self, before: int) -> DataFrame:
-        parts = [f"{self.path}/batch={i}" for i in range(before)]
-        return self.spark.read.schema(self.schema).parquet(*parts) if parts else self.spark.createDataFrame([], self.schema)
-
-    def step(self, batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates([self.key]).join(self.stored(number).select(self.key), self.key, "left_anti")
-        fresh.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+    def now(self) -> DataFrame:
+        return self._last(self._parts()).drop(self.seq)
 
 
 def windowed_counts(stream: DataFrame, ts: str, key: str, window: str = "1 day", late: str = "1 hour") -> DataFrame:
