@@ -173,7 +173,7 @@ def needed(vectors: list[dict[str, float]], idf: dict[str, float], threshold: fl
     out: set[str] = set()
     for vector in vectors:
         left = 1.0
-        for t in sorted(vector, key=lambda t: (-idf[t], t)):
+        for t in sorted(vector, key=lambda t: (-idf[t], "." in t, t.isdigit(), t)):  # the gate sees terms with a dot by halves
             if left < threshold**2 - 1e-9:
                 break
             out.add(t)
