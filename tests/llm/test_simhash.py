@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -100,8 +101,11 @@ def test_shared_folder(spark, monkeypatch):
     assert first.startswith("file://") and common.shared_dir(Unset) == first
 
 
-def test_near_copies_beyond_the_fingerprints(docs_of):
-    """Of pairs of every similarity, exactly those of five-word Jaccard 0.8 or more, or of near fingerprints, are linked."""
+@pytest.mark.parametrize("most", [0, simhash.BROADCAST_BYTES])
+def test_near_copies_beyond_the_fingerprints(docs_of, monkeypatch, most):
+    """Of pairs of every similarity, exactly those of five-word Jaccard 0.8 or more, or of near fingerprints, are linked,
+    whether or not the join is told to broadcast the candidates' names."""
+    monkeypatch.setattr(simhash, "BROADCAST_BYTES", most)
     rng = random.Random(5)
     rows, kept, far = [], [], 0
     for k in range(60):

@@ -35,6 +35,8 @@ BLOCK = 1024
 #: Bands of MinHash values and values in a band; texts and shingles of a block in which similarities are computed.
 BANDS, BAND_ROWS = 20, 4
 TEXTS, SHINGLES = 512, 1 << 19
+#: Bytes of the candidates' names up to which they are broadcast, and of one name in a hashed relation.
+BROADCAST_BYTES, KEY_BYTES = 16 << 20, 64
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -214,7 +216,10 @@ def similar(docs: DataFrame, key: Column, marked: DataFrame, scratch: Scratch, l
             sets = [_shingle_hashes(t, width).view(np.int64) for t in _bytes(x.column(1))]
             yield pa.record_batch([x.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "hashes"])
 
-    texts = docs.select(key.alias("key"), F.col("text").cast("string").alias("text")).join(members.select(F.col("key").alias("__wanted")), F.col("key") == F.col("__wanted"), "left_semi")
+    wanted = members.select(F.col("key").alias("__wanted"))
+    if members.count() * KEY_BYTES <= BROADCAST_BYTES:  # beyond, the join moves the texts
+        wanted = F.broadcast(wanted)
+    texts = docs.select(key.alias("key"), F.col("text").cast("string").alias("text")).join(wanted, F.col("key") == F.col("__wanted"), "left_semi")
     sets = scratch.keep(texts.mapInArrow(hashed, "key binary, hashes array<long>").dropDuplicates(["key"]))
     both = scratch.keep(members.join(sets, "key"))
     size = both.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.size("hashes")) / SHINGLES)).cast("int").alias("g"), F.count("*").alias("n"))
