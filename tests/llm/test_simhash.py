@@ -102,9 +102,9 @@ def test_shared_folder(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("most", [0, simhash.BROADCAST_BYTES])
-def test_near_copies_beyond_the_fingerprints(docs_of, monkeypatch, most):
+def test_near_copies_beyond_the_fingerprints(spark, docs_of, monkeypatch, most):
     """Of pairs of every similarity, exactly those of five-word Jaccard 0.8 or more, or of near fingerprints, are linked,
-    whether or not the join is told to broadcast the candidates' names."""
+    whether or not the candidates' names are broadcast."""
     monkeypatch.setattr(simhash, "BROADCAST_BYTES", most)
     rng = random.Random(5)
     rows, kept, far = [], [], 0
@@ -121,8 +121,14 @@ def test_near_copies_beyond_the_fingerprints(docs_of, monkeypatch, most):
         rows += [(2 * k, texts[0]), (2 * k + 1, texts[1])]
         kept += [2 * k] if near or bits <= 3 else [2 * k, 2 * k + 1]
     assert far > 10 and len(kept) > 70
-    got = simhash.drop_near_duplicates(docs_of(rows + [(None, None), (1000, "")]), jaccard=0.8)
-    assert sorted(r["doc_id"] for r in got.collect()) == [*kept, 1000]
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        got = simhash.drop_near_duplicates(docs_of(rows + [(None, None), (1000, "")]), jaccard=0.8)
+        assert sorted(r["doc_id"] for r in got.collect()) == [*kept, 1000]
+    finally:
+        spark.conf.set(limit, before)
 
 
 def test_a_large_group_of_near_copies(docs_of, monkeypatch):
