@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -148,3 +149,32 @@ def test_a_large_group_of_near_copies(docs_of, monkeypatch):
     rows += rows[3:6] + [(2000, None), (2001, ""), (2002, "w1 w2"), (2003, "w1  W2"), (2004, "long " * 30_000)]
     got = simhash.drop_near_duplicates(docs_of(rows), jaccard=0.8)
     assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == sorted(set(brute.near_components(rows)))
+
+
+def test_texts_are_not_moved(spark, docs_of):
+    """Where no join may broadcast, the step moves sketches of all texts and hashes of candidates, not the texts."""
+
+    def moved():
+        spark.range(1).count()
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        time.sleep(1)
+        spark.range(1).count()
+        context.listenerBus().waitUntilEmpty()
+        all_ = context.statusStore().executorList(True)
+        return sum(all_.apply(i).totalShuffleWrite() for i in range(all_.size()))
+
+    rng = random.Random(6)
+    rows = [(k, " ".join(f"{rng.getrandbits(64):x}" for _ in range(1000))) for k in range(400)]
+    rows += [(1000 + k, f"{rows[k][1]} more") for k in range(15)] + [rows[20]]
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        docs = simhash.Scratch(spark, "texts").keep(docs_of(rows))
+        start = moved()
+        got = simhash.drop_near_duplicates(docs, jaccard=0.8).select("doc_id", "text").collect()
+        assert sorted(map(tuple, got)) == sorted(rows[:400])
+        assert moved() - start < 0.4 * sum(len(t) for _, t in rows)
+    finally:
+        spark.conf.set(limit, before)

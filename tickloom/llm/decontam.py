@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_key, words
+from .common import Scratch, bitmap, row_key, words
 
 WIDTH = 5
 #: Containment from which a document counts as contaminated, in tenths.
@@ -73,27 +73,6 @@ def _small(df: DataFrame, n_bytes: int) -> DataFrame:
     return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df
 
 
-def _bitmap(hashes: DataFrame, n: int):
-    """A test whether a hash can be among the n ones in the column h: two parts of it are looked up. 256 bits an entry,
-    up to the limit; at most 2^FILTER_BITS / 64 rows reach the driver."""
-    power = min(FILTER_BITS, max(6, (256 * n).bit_length()))
-
-    def places(h) -> list[Column]:
-        return [F.shiftrightunsigned(h, 64 - power), F.shiftrightunsigned(h, 32 - power // 2).bitwiseAND((1 << power) - 1)]
-
-    at = hashes.select(F.explode(F.array(*places("h"))).alias("at"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
-    rows = at.groupBy(F.shiftrightunsigned("at", 6).alias("k")).agg(F.bit_or(bit).alias("w")).collect()
-    held = dict.fromkeys(range(1 << (power - 6)), 0) | {r["k"]: r["w"] for r in rows}
-    table = F.split(F.lit(",".join(str(held[k]) for k in sorted(held))), ",").cast("array<bigint>")  # folded to one literal
-
-    def test(h: Column) -> Column:
-        one, two = (F.call_function("getbit", F.get(table, F.shiftrightunsigned(x, 6).cast("int")), (x % 64).cast("int")) == 1 for x in places(h))
-        return one & two
-
-    return test
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, doc_id, item_id, n_shared, n_item) of documents and the items contained in them."""
     items = benchmark.select(F.xxhash64("item_id", "text").alias("item"), "item_id", _lowered().alias("w")).dropDuplicates(["item"])
@@ -107,7 +86,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     n_flat = sketches.count()
     # by size class of the documents (number of bits of the shingle count): the largest hash worth a look-up
     top = {r["c"]: r["h"] for r in sketches.groupBy(F.length(F.bin("need")).alias("c")).agg(F.max("h").alias("h")).collect()}  # at most 64 rows
-    sketched, known = _bitmap(sketches, n_flat), _bitmap(items.select(F.explode("hashes").alias("h")), whole["n"])
+    sketched, known = bitmap(sketches, n_flat, FILTER_BITS), bitmap(items.select(F.explode("hashes").alias("h")), whole["n"], FILTER_BITS)
 
     def bound(c: Column) -> Column:
         out = F.lit(None).cast("long")

@@ -10,6 +10,9 @@ set are looked at once. Every text points to the first one of each of its bands;
 the texts are dealt into blocks, each pair of blocks is one bounded group, and there the similarity of candidates is
 computed from all their shingles' 64-bit hashes. No pair of candidates is written, only the edges of a forest.
 
+Texts are never moved to be told apart by name: a bitmap of the candidates' (or dropped) names decides in place for nearly
+all rows, and only those it lets through are looked up. Candidates move as shingle hashes, by name and by group.
+
 Defined results: null text counts as empty; an empty text has fingerprint 0 and links like any other; repeated
 doc_ids keep one row each; a component whose ids are all null has a null id; other columns are ignored; an empty
 table gives an empty result.
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_key
+from .common import Scratch, bitmap, row_key
 from .graph import components
 
 BITS = 64
@@ -35,8 +38,8 @@ BLOCK = 1024
 #: Bands of MinHash values and values in a band; texts and shingles of a block in which similarities are computed.
 BANDS, BAND_ROWS = 20, 4
 TEXTS, SHINGLES = 512, 1 << 19
-#: Bytes of the candidates' names up to which they are broadcast, and of one name in a hashed relation.
-BROADCAST_BYTES, KEY_BYTES = 16 << 20, 64
+#: Bytes of a bitmap of names, and its bits as a power of two, at most; a fuller one lets more rows through to the look-up.
+BROADCAST_BYTES, FILTER_BITS = 16 << 20, 22
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -65,22 +68,23 @@ def _bytes(column: pa.Array) -> Iterator[bytes]:
 
 def fingerprints(docs: DataFrame, width: int = 3, sketched: int | None = None, key: Column | None = None) -> DataFrame:
     """(doc_id, fp), `key` if an expression for it is given, and, if a number of words is given for `sketched`, `shingles`
-    (the name of the text's set of shingles of so many words) and its `bands`, both null for a text without words. fp
-    holds the 64 bits as a signed long."""
+    (the name of the text's set of shingles of so many words), its `bands`, both null for a text without words, and its
+    `size`. fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = _sketcher() if sketched else None
         for b in batches:
-            fps, sets, bands = [], [], []
+            fps, sets, bands, sizes = [], [], [], []
             for t in _bytes(b.column(0)):
                 fps.append(fingerprint(t, width))
                 if sketch:
                     h = _shingle_hashes(t, sketched)
                     sets.append(xxhash.xxh128_digest(h.tobytes()) if len(h) else None)
                     bands.append(sketch(h) if len(h) else None)
+                    sizes.append(len(h))
             out = [*b.columns[1:], pa.array(np.array(fps, dtype=np.uint64).view(np.int64))]
             if sketch:
-                out += [pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                out += [pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
             yield pa.record_batch(out, names=names)
 
     wanted = [F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id")]
@@ -90,7 +94,7 @@ def fingerprints(docs: DataFrame, width: int = 3, sketched: int | None = None, k
         shape["key"] = "binary"
     shape["fp"] = "long"
     if sketched:
-        shape |= {"shingles": "binary", "bands": "array<long>"}
+        shape |= {"shingles": "binary", "bands": "array<long>", "size": "long"}
     names = list(shape)
     return docs.select(*wanted).mapInArrow(run, ", ".join(f"{k} {v}" for k, v in shape.items()))
 
@@ -197,11 +201,17 @@ def _alike(bands: np.ndarray, sets: list[np.ndarray], least: float) -> Iterator[
             rest = rest[~near]
 
 
+def _named(names: DataFrame):
+    """A test whether a row name can be among those in the column key."""
+    held = bitmap(names.select(F.xxhash64("key").alias("h")), names.count(), min(FILTER_BITS, (8 * BROADCAST_BYTES).bit_length()))
+    return lambda key: held(F.xxhash64(key))
+
+
 def similar(docs: DataFrame, key: Column, marked: DataFrame, scratch: Scratch, least: float, width: int = 5, block: int = TEXTS) -> DataFrame:
     """(u, v): fingerprints of texts whose shingles have a Jaccard similarity of `least` or more, as a forest.
-    marked(key, fp, shingles, bands): of each row of docs."""
+    marked(key, fp, shingles, bands, size): of each row of docs."""
     marked = marked.where("shingles is not null")
-    one = scratch.keep(marked.groupBy("shingles").agg(F.min(F.struct("key", "fp", "bands")).alias("x")).select("shingles", "x.*"))
+    one = scratch.keep(marked.groupBy("shingles").agg(F.min(F.struct("key", "fp", "bands", "size")).alias("x")).select("shingles", "x.*"))
     same = marked.select("shingles", "fp").distinct().join(one.select("shingles", F.col("fp").alias("first")), "shingles").where("fp <> first").select(F.col("first").alias("u"), F.col("fp").alias("v"))
     # pointers from each text to the first of its bands; names that meet by chance only make a component larger
     flat = scratch.keep(one.select(F.xxhash64("key").alias("node"), F.posexplode("bands").alias("band", "value")))
@@ -209,22 +219,18 @@ def similar(docs: DataFrame, key: Column, marked: DataFrame, scratch: Scratch, l
     pointers = flat.join(firsts, ["band", "value"]).where("node > first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     found = components(pointers, scratch)
     scratch.drop(flat, firsts)
-    members = scratch.keep(one.join(found, F.xxhash64("key") == F.col("node")).select("key", "fp", "bands", "label"))
+    members = scratch.keep(one.join(found, F.xxhash64("key") == F.col("node")).select("key", "fp", "bands", "size", "label"))
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / SHINGLES)).cast("int")
+    members = scratch.keep(members.join(members.groupBy("label").agg(blocks.alias("g")), "label").select("key", "fp", "bands", "label", "g"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             sets = [_shingle_hashes(t, width).view(np.int64) for t in _bytes(x.column(1))]
             yield pa.record_batch([x.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "hashes"])
 
-    wanted = members.select(F.col("key").alias("__wanted"))
-    if members.count() * KEY_BYTES <= BROADCAST_BYTES:  # beyond, the join moves the texts
-        wanted = F.broadcast(wanted)
-    texts = docs.select(key.alias("key"), F.col("text").cast("string").alias("text")).join(wanted, F.col("key") == F.col("__wanted"), "left_semi")
-    sets = scratch.keep(texts.mapInArrow(hashed, "key binary, hashes array<long>").dropDuplicates(["key"]))
-    both = scratch.keep(members.join(sets, "key"))
-    size = both.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.size("hashes")) / SHINGLES)).cast("int").alias("g"), F.count("*").alias("n"))
-    size = scratch.keep(size.where("n > 1").select("label", "g"))
-    full = both.join(size, "label")
+    named = _named(members)
+    texts = docs.select(key.alias("key"), F.col("text").cast("string").alias("text")).where(named(F.col("key")))
+    full = texts.mapInArrow(hashed, "key binary, hashes array<long>").dropDuplicates(["key"]).join(members, "key")
     mine = F.pmod(F.xxhash64("key"), F.col("g")).cast("int")
     dealt = full.select("label", F.struct("fp", "bands", "hashes").alias("x"), mine.alias("b"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
     groups = dealt.groupBy("label", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi")).agg(F.collect_list("x").alias("xs"))
@@ -243,7 +249,7 @@ def similar(docs: DataFrame, key: Column, marked: DataFrame, scratch: Scratch, l
 
     near = groups.where(F.size("xs") > 1).select("xs").mapInArrow(run, "u long, v long").where("u <> v")
     out = scratch.keep(near.unionByName(same).distinct())
-    scratch.drop(one, members, sets, both, size)
+    scratch.drop(one, members)
     return out
 
 
@@ -281,16 +287,14 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, jacca
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
     first = scratch.keep(all_.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.key").alias("chosen")))
     dropped = all_.select("key").distinct().join(first, F.col("key") == F.col("chosen"), "left_anti")
-    dropped = scratch.keep(dropped.select(F.col("key").alias("__dropped_key")))
-    kept = docs.withColumn("__row_key", key).join(dropped, F.col("__row_key") == F.col("__dropped_key"), "left_anti")
-    same = all_.join(first, F.col("key") == F.col("chosen"), "left_semi").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    same = scratch.keep(same.select(F.col("key").alias("__same_key")))
-    if same.isEmpty():
-        return kept.drop("__row_key")
+    dropped = scratch.keep(dropped)
     # rows repeated as a whole: one of each stays
-    match = F.col("__row_key") == F.col("__same_key")
-    twice = kept.join(same, match, "left_semi").dropDuplicates(["__row_key"])
-    return kept.join(same, match, "left_anti").unionByName(twice).drop("__row_key")
+    same = all_.join(first, F.col("key") == F.col("chosen"), "left_semi").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    named = _named(scratch.keep(dropped.unionByName(same.select("key"))))
+    rows = docs.withColumn("__row_key", key)
+    maybe = named(F.col("__row_key"))
+    looked_up = rows.where(maybe).dropDuplicates(["__row_key"]).join(dropped.select(F.col("key").alias("__dropped_key")), F.col("__row_key") == F.col("__dropped_key"), "left_anti")
+    return rows.where(~maybe).unionByName(looked_up).drop("__row_key")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
