@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tickloom.llm import simhash
+from tickloom.llm import graph, simhash
 
 from . import brute
 
@@ -178,3 +178,50 @@ def test_texts_are_not_moved(spark, docs_of):
         assert moved() - start < 0.4 * sum(len(t) for _, t in rows)
     finally:
         spark.conf.set(limit, before)
+
+
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_components_of_any_graph(spark, monkeypatch, tmp_path, few):
+    """Small graphs are solved at once, others in rounds over tables, with the same labels."""
+    monkeypatch.setattr(graph, "FEW", few)
+    r = random.Random(8)
+    low, high = -(2**63), 2**63 - 1
+    path = [(i, i + 1) for i in range(100, 160)]
+    r.shuffle(path)
+    hub = [(7, r.randint(low, high)) for _ in range(50)]
+    edges = [*path, *hub, *hub, (high, low), (3, 3), (None, 4), (5, None), *((r.randint(1000, 1200), r.randint(1000, 1200)) for _ in range(120))]
+    parent = {x: x for u, v in edges if u is not None and v is not None and u != v for x in (u, v)}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        if u in parent and v in parent and u != v:
+            a, b = sorted((root(u), root(v)))
+            parent[b] = a
+    got = graph.components(spark.createDataFrame(edges, "u long, v long"), simhash.Scratch(spark, "graph"))
+    assert sorted(map(tuple, got.collect())) == sorted((x, root(x)) for x in parent)
+    none = graph.components(spark.createDataFrame([], "u long, v long"), simhash.Scratch(spark, "graph"))
+    assert none.columns == ["node", "label"] and not none.count()
+
+
+def test_plans_stay_short(spark, docs_of):
+    """Bitmaps of names don't stand in plans, which the driver writes out with each of their updates, and small graphs
+    take no rounds of jobs."""
+    words = [f"w{i}" for i in range(5000)]
+    r = random.Random(9)
+    rows = []
+    for i in range(0, 1200, 2):
+        text = r.sample(words, 40)
+        rows += [(i, " ".join(text)), (i + 1, " ".join(text[:-1]) + " end")]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plans", "")
+    try:
+        got = simhash.drop_near_duplicates(docs_of(rows), jaccard=0.8)
+        assert len(got._jdf.queryExecution().toString()) < 200_000
+        assert got.count() == 600
+        assert len(tracker.getJobIdsForGroup("plans")) < 120
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

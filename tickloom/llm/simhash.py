@@ -203,7 +203,7 @@ def _alike(bands: np.ndarray, sets: list[np.ndarray], least: float) -> Iterator[
 
 def _named(names: DataFrame):
     """A test whether a row name can be among those in the column key."""
-    held = bitmap(names.select(F.xxhash64("key").alias("h")), names.count(), min(FILTER_BITS, (8 * BROADCAST_BYTES).bit_length()))
+    held = bitmap(names.select(F.xxhash64("key").alias("h")), names.count(), min(FILTER_BITS, (8 * BROADCAST_BYTES).bit_length()), apart=True)
     return lambda key: held(F.xxhash64(key))
 
 
